@@ -36,6 +36,23 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size * 2 + 1940 END AS year,
                p_size AS runtime, p_type AS genre, p_brand AS studio
         FROM part"""),
+    "title_info": ((), """
+        SELECT p.p_partkey AS title_id, p.p_name AS title, CAST(f.sup AS VARCHAR) AS director,
+               replace(p.p_name, ' ', ', ') AS actors, p.p_brand AS studio, p.p_type AS genre,
+               p.p_size AS runtime, p.p_retailprice AS box_office
+        FROM part p LEFT JOIN (
+            SELECT l_partkey, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS sup
+            FROM lineitem GROUP BY l_partkey) f ON p.p_partkey = f.l_partkey"""),
+    "history_full": (("history", "title_info"), """
+        SELECT h.user_id, h.title_id, h.rating, h.year, h.l_orderkey, h.l_linenumber,
+               h.l_partkey, h.l_suppkey, h.l_extendedprice,
+               t.title, t.director, t.actors, t.studio, t.genre, t.runtime, t.box_office
+        FROM history h JOIN title_info t ON h.title_id = t.title_id"""),
+    "title_vectors": (("catalog_base",), """
+        SELECT e.vec_id AS title_id, e.embedding AS vec,
+               list_distinct(list_filter(string_split(c.title, ' '), lambda w: length(w) >= 5)) AS tags,
+               c.imdb_score AS score
+        FROM embeddings e JOIN catalog_base c ON e.vec_id = c.title_id"""),
 }
 
 
@@ -58,6 +75,11 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> st
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in _order(names)]
     for k, v in (extra or {}).items():
         parts.append(f"{k} AS ({v})")
+    sql = sql.strip()
+    if sql.startswith(","):          # the query brings CTEs of its own
+        head, body = sql[1:].split("\n    SELECT", 1) if "\n    SELECT" in sql else (sql[1:], "")
+        parts.append(head.strip())
+        sql = "SELECT" + body
     if not parts:
         return sql
     return "WITH " + ",\n".join(parts) + "\n" + sql

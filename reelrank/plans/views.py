@@ -94,3 +94,40 @@ def catalog_base(t: Tables) -> DataFrame:
         F.col("p_size").alias("runtime"),
         F.col("p_type").alias("genre"),
         F.col("p_brand").alias("studio"))
+
+
+def title_info(t: Tables) -> DataFrame:
+    """Title attributes used by the encoders.
+
+    director = supplier of the title's first line item (one aggregate over
+    lineitem, combined map-side); cast list = the words of the name.
+    """
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    first = (li.groupBy("l_partkey")
+               .agg(F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber")).alias("sup")))
+    p = t.part
+    return (p.join(first, p.p_partkey == first.l_partkey, "left")
+             .select(F.col("p_partkey").alias("title_id"), F.col("p_name").alias("title"),
+                     F.col("sup").cast("string").alias("director"),
+                     F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")).alias("actors"),
+                     F.col("p_brand").alias("studio"), F.col("p_type").alias("genre"),
+                     F.col("p_size").alias("runtime"),
+                     F.col("p_retailprice").alias("box_office")))
+
+
+def history_full(t: Tables) -> DataFrame:
+    """``history`` with the title attributes attached."""
+    h = history(t).select("user_id", "title_id", "rating", "year", *RATED_ORDER)
+    return h.join(title_info(t), "title_id")
+
+
+def title_vectors(t: Tables) -> DataFrame:
+    """Titles that have a plot vector: embeddings row ``vec_id`` is title ``vec_id``.
+
+    tags = the words of the title name with five letters or more (may be empty);
+    score = the catalog score of the title.
+    """
+    e = t.embeddings.select(F.col("vec_id").alias("title_id"), F.col("embedding").alias("vec"))
+    c = catalog_base(t).select("title_id", "title", F.col("imdb_score").alias("score"))
+    tags = F.array_distinct(F.filter(F.split(F.col("title"), " "), lambda w: F.length(w) >= 5))
+    return e.join(c, "title_id").select("title_id", "vec", tags.alias("tags"), "score")
