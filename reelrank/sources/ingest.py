@@ -191,14 +191,14 @@ def ingest_tag_replies(replies: DataFrame, tax: DataFrame, id_col="title_id",
     unknown categories are dropped; at most two kept values per category.
     """
     body = strip_fence(F.col(text_col))
-    as_lists = F.from_json(body, T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    as_single = F.from_json(body, T.MapType(T.StringType(), T.StringType()))
+    # values may be lists or single strings: read every value as raw JSON
+    # text first, then parse the lists one by one.
+    raw = F.from_json(body, T.MapType(T.StringType(), T.StringType()))
     keep = [id_col] + ([source_col] if source_col else [])
-    exploded = (replies.select(*keep, as_lists.alias("ml"), as_single.alias("ms"))
-                .select(*keep, F.explode(F.coalesce("ml", F.map_from_arrays(
-                    F.map_keys("ms"), F.transform(F.map_values("ms"), lambda v: F.array(v)))))
-                    .alias("category", "vals"))
-                .select(*keep, "category", F.posexplode("vals").alias("i", "value")))
+    as_list = lambda v: F.when(F.trim(v).startswith("["),
+                               F.from_json(v, T.ArrayType(T.StringType()))).otherwise(F.array(v))
+    exploded = (replies.select(*keep, F.explode(raw).alias("category", "raw"))
+                .select(*keep, "category", F.posexplode(as_list(F.col("raw"))).alias("i", "value")))
     valid = exploded.join(F.broadcast(tax.select("category", "value")), ["category", "value"], "left_semi")
     w_keys = keep + ["category"]
     ranked = valid.groupBy(*w_keys).agg(
