@@ -105,13 +105,15 @@ def guide_live_over_cache(live: DataFrame, cached: DataFrame, cols=GUIDE_COLUMNS
 
 # ---------------------------------------------------------------- set operations
 
-def union_titles(frames: list[DataFrame], key="title_id", order=("_src", "_ord")) -> DataFrame:
-    """G1: union several title tables by name, one row per id, first source wins."""
+def union_titles(frames: list[DataFrame], key="title_id", source_col: str | None = None) -> DataFrame:
+    """G1: union several title tables by name, one row per id, first source
+    (then first ``_ord``) wins; ``source_col`` keeps the winning source index."""
     tagged = [f.withColumn("_src", F.lit(i)) for i, f in enumerate(frames)]
     u = tagged[0]
     for f in tagged[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
-    return dedupe(u, key, list(order), keep="first").drop("_src")
+    out = dedupe(u, key, ["_src", "_ord"], keep="first").drop("_ord")
+    return out.withColumnRenamed("_src", source_col) if source_col else out.drop("_src")
 
 
 def merge_keep_last(base: DataFrame, parts: list[DataFrame], key="title_id") -> DataFrame:

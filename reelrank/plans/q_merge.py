@@ -283,3 +283,386 @@ def b7_needs_work(spark, sf_dir):
                     (F.col("writer").isNull() | F.trim("writer").isin("", "N/A")).alias("needs_writer"),
                     F.coalesce(complete, F.lit(False)).alias("guide_complete"),
                     F.coalesce("has_tags", F.lit(False)).alias("has_tags")))
+
+
+# ---------------------------------------------------------------- C11, C8
+
+def search_queries(t):
+    p = t.part
+    s, n = F.col("p_size"), F.col("p_name")
+    q = (F.when(s % 4 == 0, n).when(s % 4 == 1, F.replace(n, F.lit(" "), F.lit("")))
+          .when(s % 4 == 2, F.concat(n, F.lit("!"))).otherwise(F.replace(n, F.lit(" "), F.lit("-"))))
+    return p.select(F.col("p_partkey").alias("query_id"), q.alias("query"))
+
+
+QUERIES_SQL = """SELECT p_partkey AS query_id,
+    CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '')
+                    WHEN 2 THEN p_name || '!' ELSE replace(p_name, ' ', '-') END AS query
+    FROM part"""
+
+NORM_SQL = "trim(regexp_replace(regexp_replace(regexp_replace({q}, '([A-Za-z])[''‘’`]([A-Za-z])', '\\1\\2', 'g'), '[-,!?.;:]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+C11_CTES = {
+    "queries": QUERIES_SQL,
+    "qn": f"SELECT query_id, query, {NORM_SQL.format(q='query')} AS norm FROM queries",
+    "qb": "SELECT query_id, query, norm, CASE WHEN norm <> '' THEN norm ELSE query END AS base FROM qn",
+    "words": """SELECT query_id, base, w FROM (SELECT query_id, base, unnest(string_split(base, ' ')) AS w FROM qb)
+                WHERE length(w) > 5 AND regexp_matches(w, '^[A-Za-z]+$')""",
+    "variants": """
+        SELECT query_id, query AS variant, 0 AS rank FROM qb
+        UNION ALL SELECT query_id, norm, 1 FROM qb WHERE norm <> query
+        UNION ALL SELECT query_id,
+               substr(base, 1, instr(base, w) - 1) || substr(w, 1, pos) || ' ' || substr(w, pos + 1)
+               || substr(base, instr(base, w) + length(w)) AS variant, 2
+        FROM (SELECT query_id, base, w, unnest(range(greatest(3, length(w) - 4), length(w) - 2)) AS pos FROM words)""",
+    "keys": """SELECT title_id, k FROM (
+        SELECT title_id, lower(title) AS k,
+               row_number() OVER (PARTITION BY lower(title) ORDER BY title_id) AS rn FROM catalog_base)
+        WHERE rn <= 10""",
+    "hits": """SELECT query_id, title_id, rank FROM (
+        SELECT query_id, title_id, rank,
+               row_number() OVER (PARTITION BY query_id ORDER BY rank, title_id) AS rn FROM (
+          SELECT v.query_id, k.title_id, min(v.rank) AS rank
+          FROM variants v JOIN keys k ON lower(v.variant) = k.k GROUP BY v.query_id, k.title_id))
+        WHERE rn <= 10""",
+}
+
+
+def resolved(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    return R.resolve_titles(search_queries(t), V.catalog_base(t), max_hits=10)
+
+
+@query("c11_resolve_titles", with_views("SELECT query_id, title_id, CAST(rank AS INTEGER) AS rank FROM hits",
+                                        "catalog_base", extra=C11_CTES))
+def c11_resolve_titles(spark, sf_dir):
+    return resolved(spark, sf_dir).select("query_id", "title_id", F.col("rank").cast("int"))
+
+
+@query("c8_attach_scores", with_views("""
+    SELECT h.title_id, h.rank, s.pct AS a_pct FROM (
+        SELECT title_id, CAST(rank AS INTEGER) AS rank FROM hits WHERE query_id = 1
+        ORDER BY rank, title_id LIMIT 10) h
+    LEFT JOIN scores s ON h.title_id = s.title_id AND s.user_id = '""" + A + "'",
+    "rated", "seen", "listing", "catalog_base", extra={**CATALOG_CTES, **C11_CTES}))
+def c8_attach_scores(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    hits = resolved(spark, sf_dir).filter(F.col("query_id") == 1).select("title_id", F.col("rank").cast("int"))
+    scores = cat.person_scores(V.rated(t)).filter(F.col("user_id") == A) \
+                .select("title_id", F.col("pct").alias("a_pct"))
+    return M.attach_scores_to_hits(hits, scores, n=10, order=["rank", "title_id"])
+
+
+# ---------------------------------------------------------------- C12, G4, G5
+
+def services_df(t):
+    return cat.first_service(V.listing(t))
+
+
+def cache_table(t):
+    d = t.documents
+    return d.select(F.col("doc_id").alias("title_id"),
+                    F.when(F.col("n_chars") % 4 == 0, None).otherwise(F.col("n_chars")).alias("box_office"))
+
+
+CACHE_SQL = "SELECT doc_id AS title_id, CASE WHEN n_chars % 4 = 0 THEN NULL ELSE n_chars END AS box_office FROM documents"
+
+
+@query("c12_reuse_or_refetch", catalog_sql("""
+    SELECT s.title_id, s.service,
+           CASE WHEN c.title_id IS NULL THEN 'new' WHEN c.box_office IS NULL THEN 'refresh' ELSE 'reuse' END AS status,
+           CASE WHEN c.title_id IS NULL THEN 1 WHEN c.box_office IS NULL THEN 0 ELSE 2 END AS priority
+    FROM services s LEFT JOIN cache c ON s.title_id = c.title_id""").replace(
+        "WITH ", "WITH cache AS (" + CACHE_SQL + "),\n", 1))
+def c12_reuse_or_refetch(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    out = M.reuse_or_refetch(services_df(t), cache_table(t), ["box_office"])
+    return out.select("title_id", "service", "status", "priority")
+
+
+CURRENT_SQL = "SELECT title_id FROM services WHERE service <> 'AFRICA'"
+
+
+def current_ids(t):
+    return services_df(t).filter(F.col("service") != "AFRICA").select("title_id")
+
+
+def old_new(t):
+    old = V.catalog_base(t).select("title_id", "title", "imdb_score")
+    new = (V.catalog_base(t).filter(F.col("runtime") > 40)
+           .select("title_id", F.upper("title").alias("title"), (F.col("imdb_score") + 1).alias("imdb_score")))
+    return old, new
+
+
+@query("g4_merge_catalog", catalog_sql(f"""
+    SELECT o.title_id, o.title, o.imdb_score FROM catalog_base o
+    WHERE o.title_id NOT IN (SELECT title_id FROM catalog_base WHERE runtime > 40)
+      AND o.title_id IN ({CURRENT_SQL})
+    UNION ALL
+    SELECT title_id, upper(title), imdb_score + 1 FROM catalog_base WHERE runtime > 40"""))
+def g4_merge_catalog(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    old, new = old_new(t)
+    return M.merge_catalog(old, new, current_ids(t), keep_unlisted=False)
+
+
+@query("g5_removed_titles", catalog_sql(f"""
+    SELECT DISTINCT title_id FROM catalog_base WHERE title_id NOT IN ({CURRENT_SQL})"""))
+def g5_removed_titles(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    return M.removed_titles(V.catalog_base(t), current_ids(t))
+
+
+# ---------------------------------------------------------------- C13, H16
+
+SLUG_SQL = ("rtrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[''‘’]', '', 'g'), "
+            "'[^a-z0-9 ]', '_', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g'), '_')")
+
+
+def landed_pages(t):
+    li = t.lineitem.select("l_partkey", "l_linenumber", "l_shipdate")
+    p = t.part.select("p_partkey", "p_name")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    sl = P.slug(F.col("p_name"))
+    y = F.year("l_shipdate")
+    return j.select(
+        F.when(F.col("l_linenumber") % 2 == 0, sl).otherwise(F.concat_ws("_", sl, y.cast("string")))
+         .alias("page_slug"),
+        y.alias("page_year"),
+        F.when(F.col("l_linenumber") == 5, F.lit("")).otherwise(F.lit("x")).alias("cast"))
+
+
+@query("c13_match_pages", with_views(f"""
+    , pages_l AS (
+      SELECT DISTINCT CASE WHEN l.l_linenumber % 2 = 0 THEN {SLUG_SQL.format(c='p.p_name')}
+                           ELSE {SLUG_SQL.format(c='p.p_name')} || '_' || CAST(year(l.l_shipdate) AS VARCHAR) END AS page_slug,
+             CAST(year(l.l_shipdate) AS INTEGER) AS page_year
+      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_linenumber <> 5),
+    cands AS (
+      SELECT t.title_id, t.year, c.page_slug, c.pref, c.page_year
+      FROM catalog_base t,
+           LATERAL (SELECT {SLUG_SQL.format(c='t.title')} AS page_slug, 0 AS pref
+                    UNION ALL SELECT {SLUG_SQL.format(c='t.title')} || '_' || CAST(t.year AS VARCHAR), 1) s0,
+           LATERAL (SELECT s0.page_slug, s0.pref, t.year + d AS page_year FROM range(-1, 2) r(d)) c
+      WHERE t.year IS NOT NULL)
+    SELECT title_id, page_slug, page_year, pref FROM (
+      SELECT c.title_id, c.page_slug, c.page_year, c.pref,
+             row_number() OVER (PARTITION BY c.title_id
+                                ORDER BY c.pref, abs(c.page_year - c.year), c.page_year) AS rn
+      FROM cands c JOIN pages_l p ON c.page_slug = p.page_slug AND c.page_year = p.page_year)
+    WHERE rn = 1""", "catalog_base"))
+def c13_match_pages(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    titles = V.catalog_base(t).filter(F.col("year").isNotNull())
+    return R.match_pages_by_slug_year(titles, landed_pages(t))
+
+
+@query("h16_slug", f"SELECT p_partkey AS title_id, {SLUG_SQL.format(c='p_name || ' + chr(39) + ': It' + chr(39) + chr(39) + 's  Back!' + chr(39))} AS slug FROM part")
+def h16_slug(spark, sf_dir):
+    p = V.Tables(spark, sf_dir).part
+    return p.select(F.col("p_partkey").alias("title_id"),
+                    P.slug(F.concat(F.col("p_name"), F.lit(": It's  Back!"))).alias("slug"))
+
+
+# ---------------------------------------------------------------- C14, C15
+
+def audience(t):
+    """Latest audience score per title from the events stream (title = event user)."""
+    ev = I.explode_score_map(t.events, "props", keep=("user_id", "ts", "event_id"))
+    latest = dedupe(ev.select(F.col("user_id").alias("title_id"), "ts", "event_id",
+                              F.col("score").alias("audience_score")),
+                    "title_id", [F.col("ts"), F.col("event_id")], keep="last")
+    return latest.select("title_id", "audience_score")
+
+
+@query("c14_attach_audience_awards", with_views("""
+    , aud AS (SELECT title_id, audience_score FROM (
+        SELECT e.user_id AS title_id, CAST(j.value AS INTEGER) AS audience_score,
+               row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts DESC, e.event_id DESC) AS rn
+        FROM events e, json_each(e.props) j) WHERE rn = 1)
+    SELECT t.title_id, a.audience_score,
+           coalesce(CAST(f.oscar_win AS INTEGER), 0) AS oscar_wins,
+           coalesce(CAST(f.oscar_nom AS INTEGER), 0) AS oscar_noms,
+           coalesce(CAST(f.award_wins AS INTEGER), 0) AS gg_wins,
+           coalesce(CAST(f.award_noms AS INTEGER), 0) AS gg_noms
+    FROM title_info t LEFT JOIN aud a ON t.title_id = a.title_id
+    LEFT JOIN flat f ON t.title_id = f.title_id""", "title_info",
+    extra={"replies": REPLY_SQL, "flat": FLAT_SQL}))
+def c14_attach_audience_awards(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    aw = flat(spark, sf_dir).select(
+        "title_id", F.col("oscar_win").cast("int").alias("oscar_wins"),
+        F.col("oscar_nom").cast("int").alias("oscar_noms"),
+        F.col("award_wins").cast("int").alias("gg_wins"), F.col("award_noms").cast("int").alias("gg_noms"))
+    return M.attach_audience_awards(V.title_info(t).select("title_id"), audience(t), aw)
+
+
+@query("c15_guide_live_over_cache", with_views(
+    "SELECT coalesce(l.title_id, c.title_id) AS title_id, " + ", ".join(
+        f"coalesce(l.{c}, c.{c}) AS {c}" for c in G5) +
+    " FROM live l FULL JOIN cached c ON l.title_id = c.title_id",
+    extra={"live": GUIDE_SQL, "cached": GUIDE_CACHED_SQL}))
+def c15_guide_live_over_cache(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    return M.guide_live_over_cache(guide(t), guide_cached(t))
+
+
+# ---------------------------------------------------------------- G1, G2, G3, G6, G7
+
+@query("g1_union_titles", with_views(f"""
+    SELECT title_id, year, src FROM (
+      SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY src, l_orderkey, l_linenumber) AS rn FROM (
+        SELECT title_id, coalesce(TRY_CAST(nullif(regexp_extract(CAST(year AS VARCHAR), '(\\d{{4}})', 1), '') AS INTEGER), 2000) AS year,
+               CASE user_id WHEN '{A}' THEN 0 ELSE 1 END AS src, l_orderkey, l_linenumber
+        FROM history WHERE user_id IN ('{A}', '{B}')))
+    WHERE rn = 1""", "history"))
+def g1_union_titles(spark, sf_dir):
+    h = V.history(V.Tables(spark, sf_dir))
+    def person(u):
+        return h.filter(F.col("user_id") == u).select(
+            "title_id", P.clean_year("year").alias("year"),
+            F.struct("l_orderkey", "l_linenumber").alias("_ord"))
+    out = M.union_titles([person(A), person(B)], source_col="src")
+    return out.select("title_id", "year", "src")
+
+
+def chunks(t):
+    l = t.labels
+    c0 = l.filter(F.col("quality") == 1).select(
+        F.col("doc_id").alias("title_id"), F.concat(F.lit("Q, "), F.col("doc_id").cast("string")).alias("actors_rt"),
+        F.lit("chunk0").alias("studio"), F.col("doc_id").alias("_ord"))
+    c1 = l.filter(F.col("toxic") == 1).select(
+        F.col("doc_id").alias("title_id"), F.lit("").alias("actors_rt"),
+        F.lit("chunk1").alias("studio"), F.col("doc_id").alias("_ord"))
+    return c0, c1
+
+
+CHUNK_SQL = {
+    "c0": "SELECT doc_id AS title_id, 'Q, ' || CAST(doc_id AS VARCHAR) AS actors_rt, 'chunk0' AS studio, doc_id AS _ord FROM labels WHERE quality = 1",
+    "c1": "SELECT doc_id AS title_id, '' AS actors_rt, 'chunk1' AS studio, doc_id AS _ord FROM labels WHERE toxic = 1",
+}
+
+
+@query("g2_merge_keep_last", with_views("""
+    SELECT title_id, actors_rt, studio FROM (
+      SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY src DESC, _ord DESC) AS rn FROM (
+        SELECT *, 0 AS src FROM cast_studio UNION ALL SELECT *, 1 FROM c0 UNION ALL SELECT *, 2 FROM c1))
+    WHERE rn = 1""", extra={"cast_studio": CAST_SQL, **CHUNK_SQL}))
+def g2_merge_keep_last(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    c0, c1 = chunks(t)
+    return M.merge_keep_last(cast_studio(t), [c0, c1]).select("title_id", "actors_rt", "studio")
+
+
+@query("g3_upsert_non_blank", with_views("""
+    SELECT coalesce(b.title_id, u.title_id) AS title_id,
+           CASE WHEN u.title_id IS NOT NULL THEN u.actors_rt ELSE b.actors_rt END AS actors_rt,
+           CASE WHEN u.title_id IS NOT NULL THEN u.studio ELSE b.studio END AS studio,
+           coalesce(u.title_id IS NOT NULL AND (b.actors_rt IS NULL OR trim(b.actors_rt) = ''), false) AS rescued
+    FROM cast_studio b FULL JOIN (
+        SELECT * FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1)
+        WHERE actors_rt IS NOT NULL AND trim(actors_rt) <> '') u ON b.title_id = u.title_id""",
+    extra={"cast_studio": CAST_SQL, **CHUNK_SQL}))
+def g3_upsert_non_blank(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    c0, c1 = chunks(t)
+    base = cast_studio(t).drop("_ord")
+    upd = c0.unionByName(c1).drop("_ord")
+    return M.upsert_non_blank(base, upd, "actors_rt").select("title_id", "actors_rt", "studio", "rescued")
+
+
+@query("g6_append_if_absent", with_views("""
+    SELECT title_id, sex_nudity, 'live' AS origin FROM live
+    UNION ALL SELECT title_id, sex_nudity, 'cached' FROM cached c
+    WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.title_id = c.title_id)""",
+    extra={"live": GUIDE_SQL, "cached": GUIDE_CACHED_SQL}))
+def g6_append_if_absent(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    live = guide(t).select("title_id", "sex_nudity", F.lit("live").alias("origin"))
+    cached = guide_cached(t).select("title_id", "sex_nudity", F.lit("cached").alias("origin"))
+    return M.append_if_absent(live, cached)
+
+
+@query("g7_incremental_append_dedupe", with_views("""
+    SELECT title_id, title, runtime FROM (
+      SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY src, title_id) AS rn FROM (
+        SELECT title_id, title, runtime, 0 AS src FROM flat WHERE runtime IS NULL OR runtime <= 90
+        UNION ALL SELECT title_id, upper(title), runtime, 1 FROM flat WHERE runtime > 60))
+    WHERE rn = 1""", extra={"replies": REPLY_SQL, "flat": FLAT_SQL}))
+def g7_incremental_append_dedupe(spark, sf_dir):
+    f = flat(spark, sf_dir)
+    done = f.filter(F.col("runtime").isNull() | (F.col("runtime") <= 90)).select(
+        "title_id", "title", "runtime", F.col("title_id").alias("_ord"))
+    new = f.filter(F.col("runtime") > 60).select(
+        "title_id", F.upper("title").alias("title"), "runtime", F.col("title_id").alias("_ord"))
+    return M.incremental_append_dedupe(done, new).select("title_id", "title", "runtime")
+
+
+# ---------------------------------------------------------------- F4, H24, B6
+
+@query("f4_quota_per_service", catalog_sql("""
+    SELECT title_id, service FROM (
+      SELECT title_id, service, row_number() OVER (PARTITION BY service ORDER BY title_id) AS rn
+      FROM services) WHERE rn <= 50"""))
+def f4_quota_per_service(spark, sf_dir):
+    return M.quota_per_group(services_df(V.Tables(spark, sf_dir)), "service", [F.col("title_id")], 50)
+
+
+@query("f4_daily_budget", with_views("""
+    SELECT t.title_id FROM title_info t
+    WHERE NOT EXISTS (SELECT 1 FROM cast_studio c WHERE c.title_id = t.title_id
+                      AND c.actors_rt IS NOT NULL AND trim(c.actors_rt) <> '')
+    ORDER BY t.title_id LIMIT 100""", "title_info", extra={"cast_studio": CAST_SQL}))
+def f4_daily_budget(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    todo = M.pending(V.title_info(t).select("title_id"), cast_studio(t), result_col="actors_rt")
+    return M.quota(todo, [F.col("title_id")], 100)
+
+
+# Provider names used to exercise the service-key rules.
+PROVIDERS = ["Netflix", "HBO Max", "Amazon Prime Video", "Disney Plus", "Hulu", "Apple TV+",
+             "Peacock", "Paramount Plus", "Starz", "Hulu Live TV", "Prime Video Channel", "MAX",
+             "Disney+", "Showmax", "Paramount+ Amazon Channel", "Pluto TV"]
+
+
+@query("h24_service_key", "SELECT n_nationkey, provider, " + """
+    CASE WHEN contains(n, 'netflix') THEN 'netflix'
+         WHEN n IN ('max', 'hbo max') OR (contains(n, 'max') AND NOT contains(n, 'starz') AND NOT contains(n, 'showmax')
+              AND NOT contains(n, 'amazon') AND NOT contains(n, 'paramount')) THEN 'max'
+         WHEN (contains(n, 'prime video') OR (contains(n, 'amazon') AND contains(n, 'prime'))) AND NOT contains(n, 'channel') THEN 'prime'
+         WHEN contains(n, 'disney') AND contains(n, 'plus') THEN 'disney'
+         WHEN contains(n, 'disney+') THEN 'disney'
+         WHEN n = 'hulu' OR (contains(n, 'hulu') AND NOT contains(n, 'live')) THEN 'hulu'
+         WHEN contains(replace(n, ' ', ''), 'appletv+') OR (contains(n, 'apple') AND contains(n, 'tv') AND contains(n, '+')) THEN 'apple'
+         WHEN contains(n, 'peacock') THEN 'peacock'
+         WHEN contains(n, 'paramount') AND (contains(n, 'plus') OR contains(n, '+')) THEN 'paramount'
+    END AS service_key
+    FROM (SELECT n_nationkey, provider, lower(trim(provider)) AS n FROM (
+        SELECT n_nationkey, """ + "[" + ", ".join("'" + p + "'" for p in PROVIDERS) + """][n_nationkey % 16 + 1] AS provider
+        FROM nation))""")
+def h24_service_key(spark, sf_dir):
+    n = V.Tables(spark, sf_dir).nation
+    prov = F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), (F.col("n_nationkey") % 16 + 1).cast("int"))
+    return n.select("n_nationkey", prov.alias("provider")).withColumn("service_key", P.service_key("provider"))
+
+
+@query("b6_title_details", with_views("""
+    SELECT t.title_id, t.title,
+           list_filter(list_transform(string_split(coalesce(f.actors, ''), ','), lambda x: trim(x)),
+                       lambda x: x NOT IN ('', 'N/A')) AS cast_list,
+           CAST(f.rt_score AS INTEGER) AS rt_int, CAST(f.metascore AS INTEGER) AS meta_int,
+           """ + ", ".join(f"coalesce({ORD_CASE.format(c='g.' + c)}, 0) AS {c}" for c in G5) + """
+    FROM title_info t LEFT JOIN flat f ON t.title_id = f.title_id
+    LEFT JOIN guide g ON t.title_id = g.title_id""", "title_info",
+    extra={"replies": REPLY_SQL, "flat": FLAT_SQL, "guide": GUIDE_SQL}))
+def b6_title_details(spark, sf_dir):
+    t = V.Tables(spark, sf_dir)
+    f = flat(spark, sf_dir)
+    g = guide(t)
+    j = V.title_info(t).select("title_id", "title").join(f.drop("title"), "title_id", "left") \
+        .join(g, "title_id", "left")
+    from ..functions.nulls import split_list
+    return j.select("title_id", "title", split_list("actors").alias("cast_list"),
+                    F.col("rt_score").cast("int").alias("rt_int"),
+                    F.col("metascore").cast("int").alias("meta_int"),
+                    *[P.severity_ordinal(F.col(c), 0).alias(c) for c in G5])
