@@ -124,9 +124,11 @@ def genre_vocabulary(df: DataFrame, genre_col: str = "genre") -> DataFrame:
                  .orderBy("genre"))
 
 
-def catalog_freshness(df: DataFrame, ts_col: str, now_col, max_age_days: int = 7) -> DataFrame:
-    """Age in days of the newest row; missing or older than max age -> refresh."""
-    newest = df.agg(F.max(ts_col).alias("newest"))
-    age = F.datediff(F.to_date(now_col), F.to_date("newest"))
-    return newest.select("newest", age.alias("age_days"),
-                         (F.col("newest").isNull() | (age > max_age_days)).alias("needs_refresh"))
+def catalog_freshness(df: DataFrame, ts_col: str, now: DataFrame, max_age_days: int = 7) -> DataFrame:
+    """Age in days of the newest row against ``now`` (a one-row frame
+    with column ``now``); missing or older than max age -> refresh."""
+    newest = df.agg(F.max(ts_col).alias("newest")).withColumn("_k", F.lit(1))
+    j = newest.join(now.withColumn("_k", F.lit(1)), "_k")   # one row with one row
+    age = F.datediff(F.to_date("now"), F.to_date("newest"))
+    return j.select("newest", age.alias("age_days"),
+                    (F.col("newest").isNull() | (age > max_age_days)).alias("needs_refresh"))
