@@ -107,3 +107,52 @@ GBT_PARAMS = {"maxIter": 500, "stepSize": 0.03, "maxDepth": 5,
 
 # champion/challenger promotion margin.
 PROMOTION_MARGIN = 0.005
+
+# Human-readable labels of model features.
+FEATURE_LABELS = {
+    "imdbRating": "IMDb Rating",
+    "imdbVotes": "IMDb Popularity",
+    "Metascore": "Metacritic Score",
+    "RT_score": "RT Critic",
+    "BoxOffice": "Box Office",
+    "Runtime": "Runtime",
+    "award_wins": "Awards Won",
+    "award_noms": "Award Nominations",
+    "oscar_win": "Oscar Winner",
+    "oscar_nom": "Oscar Nominated",
+    "decade_pre1970s": "Pre-1970s Film",
+    "decade_1970s": "1970s Film",
+    "decade_1980s": "1980s Film",
+    "decade_1990s": "1990s Film",
+    "decade_2000s": "2000s Film",
+    "decade_2010s": "2010s Film",
+    "decade_2020s": "2020s Film",
+    "rated_G": "Rated G",
+    "rated_PG": "Rated PG",
+    "rated_PG13": "Rated PG-13",
+    "rated_R": "Rated R",
+    "rated_NR": "Not Rated",
+    "lang_english": "English Language",
+    "lang_hindi": "Hindi Language",
+    "lang_other": "Foreign Language",
+    "country_us": "US Production",
+    "country_uk": "UK Production",
+    "country_india": "Indian Production",
+    "country_other": "International Production",
+    "director_film_count": "Director: Films Seen",
+    "director_avg_rating": "Director: Avg Rating",
+    "actor1_film_count": "Actor: Films Seen",
+    "actor1_avg_rating": "Actor: Avg Rating",
+    "studio_film_count": "Studio: Films Seen",
+    "studio_avg_rating": "Studio: Avg Rating",
+    "pg_sex_nudity": "PG: Sex & Nudity",
+    "pg_violence_gore": "PG: Violence & Gore",
+    "pg_profanity": "PG: Profanity",
+    "pg_alcohol_drugs": "PG: Alcohol & Drugs",
+    "pg_intensity": "PG: Intensity",
+}
+
+# One-hot feature prefixes (shown only when the value is 1).
+ONE_HOT_PREFIXES = ["genre_", "tag_", "decade_", "rated_", "lang_", "country_"]
+MAX_DRIVERS = 8
+TOP_SIGNED = 4
