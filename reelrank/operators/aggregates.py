@@ -102,7 +102,8 @@ def regression_metrics(df: DataFrame, label: str = "rating", pred: str = "predic
 def feature_importance(contrib: DataFrame, n: int = 15, by: str = "user_id") -> DataFrame:
     """D10 + F3: mean absolute contribution per feature, top ``n`` per group."""
     imp = contrib.groupBy(by, "feature").agg(F.avg(F.abs("contrib")).alias("importance"))
-    w = Window.partitionBy(by).orderBy(F.col("importance").desc(), F.col("feature").asc())
+    # importance to 9 digits, then name: a stable rule for exact ties
+    w = Window.partitionBy(by).orderBy(F.round("importance", 9).desc(), F.col("feature").asc())
     return imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
