@@ -666,3 +666,24 @@ def b6_title_details(spark, sf_dir):
                     F.col("rt_score").cast("int").alias("rt_int"),
                     F.col("metascore").cast("int").alias("meta_int"),
                     *[P.severity_ordinal(F.col(c), 0).alias(c) for c in G5])
+
+
+# ---------------------------------------------------------------- E2
+
+@query("e2_dedupe_keep_first", with_views("""
+    SELECT user_id, title_id, rating, l_orderkey, l_linenumber FROM history""", "history"))
+def e2_dedupe_keep_first(spark, sf_dir):
+    r = V.rated(V.Tables(spark, sf_dir))
+    return dedupe(r, ["user_id", "title_id"], V.RATED_ORDER, keep="first").select(
+        "user_id", "title_id", "rating", "l_orderkey", "l_linenumber")
+
+
+@query("e2_dedupe_keep_last", with_views("""
+    SELECT user_id, title_id, rating, l_orderkey, l_linenumber FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id, title_id
+          ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn
+      FROM rated) WHERE rn = 1""", "rated"))
+def e2_dedupe_keep_last(spark, sf_dir):
+    r = V.rated(V.Tables(spark, sf_dir))
+    return dedupe(r, ["user_id", "title_id"], V.RATED_ORDER, keep="last").select(
+        "user_id", "title_id", "rating", "l_orderkey", "l_linenumber")

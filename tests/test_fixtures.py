@@ -319,3 +319,21 @@ def test_promotion_rule(spark):
     cur = one(spark, [("mae", 0.70, 0.3), ("worse", 0.7, 0.3), ("r2", 0.70, 0.305)], "user_id string, mae double, r2 double")
     got = {r.user_id: r.promote for r in promote_if_better(new, cur).collect()}
     assert got == {"none": True, "mae": True, "worse": False, "r2": True}
+
+
+# ---------------------------------------------------------------- A3 / A4 / A9
+
+def test_csv_null_policy_and_versioned_catalog(spark, tmp_path):
+    from reelrank.sources import sinks
+    p = tmp_path / "guide.csv"
+    p.write_text("Const,sex_nudity\ntt1,None\ntt2,\n")
+    sch = T.StructType([T.StructField("Const", T.StringType()), T.StructField("sex_nudity", T.StringType())])
+    rows = {r.Const: r.sex_nudity for r in I.read_csv_table(spark, str(p), sch).collect()}
+    assert rows == {"tt1": "None", "tt2": None}        # the text None stays text
+    cdir = str(tmp_path / "catalog")
+    df = one(spark, [(1, "a")], "title_id int, title string")
+    assert sinks.write_catalog(df, cdir) == 0
+    assert sinks.write_catalog(df.withColumn("title", F.lit("b")), cdir) == 1
+    assert sinks.read_catalog(spark, cdir).first().title == "b"
+    sinks.write_artifacts(str(tmp_path / "art"), {"stats": one(spark, [("u", 1)], "user_id string, n int")})
+    assert spark.read.parquet(str(tmp_path / "art" / "stats")).count() == 1
