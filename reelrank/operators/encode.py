@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import sized_broadcast
 from ..functions.parse import primary_actor, primary_director, studio_key
 
 KINDS = ("director", "actor1", "studio")
@@ -78,7 +79,7 @@ def lookup_entity_stats(candidates: DataFrame, stats: DataFrame, overall: DataFr
         F.struct(F.lit(k).alias("kind"), F.col("_" + k).alias("entity")) for k in KINDS
     ])).alias("e")).select("user_id", "title_id", "e.kind", "e.entity")
     j = (long.join(stats, ["user_id", "kind", "entity"], "left")
-             .join(overall, "user_id", "left"))
+             .join(sized_broadcast(overall), "user_id", "left"))     # one row per person
     per = j.select("user_id", "title_id", "kind",
                    F.coalesce(F.col("n"), F.lit(0)).alias("cnt"),
                    F.coalesce(F.col("avg"), F.col("overall_avg")).alias("avg"))

@@ -296,6 +296,4 @@ def d8_taste_centroid(spark, sf_dir):
 def h21_vibe_pct(spark, sf_dir):
     q, h = _sim_inputs(spark, sf_dir)
     c = sim.taste_centroid(h.select("user_id", "vec", "rating"))
-    return (q.join(c, "user_id")
-             .select("user_id", F.col("id").alias("title_id"),
-                     vibe_pct("vec", "centroid").alias("vibe_pct")))
+    return sim.vibe_scores(q, c).select("user_id", F.col("id").alias("title_id"), "vibe_pct")
