@@ -319,12 +319,8 @@ C11_CTES = {
         SELECT title_id, lower(title) AS k,
                row_number() OVER (PARTITION BY lower(title) ORDER BY title_id) AS rn FROM catalog_base)
         WHERE rn <= 10""",
-    "hits": """SELECT query_id, title_id, rank FROM (
-        SELECT query_id, title_id, rank,
-               row_number() OVER (PARTITION BY query_id ORDER BY rank, title_id) AS rn FROM (
-          SELECT v.query_id, k.title_id, min(v.rank) AS rank
-          FROM variants v JOIN keys k ON lower(v.variant) = k.k GROUP BY v.query_id, k.title_id))
-        WHERE rn <= 10""",
+    "hits": """SELECT v.query_id, k.title_id, min(v.rank) AS rank
+        FROM variants v JOIN keys k ON lower(v.variant) = k.k GROUP BY v.query_id, k.title_id""",
 }
 
 
