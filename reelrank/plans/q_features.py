@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.display import similarity_pct, similarity_pct_api, vibe_pct
+from ..functions.display import similarity_pct, similarity_pct_api
 from ..operators import aggregates as agg
 from ..operators import encode as enc
 from ..operators import similarity as sim

@@ -3,10 +3,8 @@ B6, B7, I9 (tags + guide), H16, H24-H28."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import display as D
 from ..functions import parse as P
 from ..functions.fixed import GUIDE_COLUMNS, TAG_TAXONOMY
 from ..functions.nulls import dedupe

@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.display import match_pct, vibe_pct
-from ..functions.fixed import FEATURE_LABELS
 from ..operators import encode as enc
 from ..operators import explain as X
-from ..operators import similarity as sim
-from ..operators.aggregates import feature_importance, tag_cooccurrence
+from ..operators.aggregates import feature_importance
 from ..operators.split import stratified_split
 from ..functions import parse as P
 from . import model as MD
 from . import views as V
-from .oracle_views import with_views
-from .q_features import ENTITY_CTES, C6_CTES, SIM_CTES, people_titles
+from .q_features import people_titles
 from .q_merge import guide, tags_long
-from .q_reports import TAG_ROWS_SQL, FREQ_SQL, tag_rows
 from .registry import query
 from ..operators import merge as M
 

@@ -143,8 +143,6 @@ def h13_enriched_text(spark, sf_dir):
 
 # ---------------------------------------------------------------- D7
 
-TAX_POS_SQL = None
-
 
 def _tag_keys(spark, t):
     tax = I.taxonomy(spark)

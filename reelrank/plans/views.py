@@ -9,8 +9,6 @@ People are rows: ``user_id`` is the customer market segment (five people).
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
