@@ -66,14 +66,3 @@ def all_of(preds) -> Column:
 def any_of(preds) -> Column:
     return reduce(lambda a, b: a | b, preds)
 
-
-def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; beyond ``max_rows`` it
-    stays a normal join side (AQE picks the strategy at run time).
-
-    Meant for small derived tables (one row per person, per block...): the
-    table is cached so the size check does not recompute it.
-    """
-    df = df.cache()
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
