@@ -58,10 +58,12 @@ def retry_set(all_rows: DataFrame, done: DataFrame, result_col: str, key="title_
     return all_rows.join(done.filter(is_failed(result_col)).select(key).distinct(), key, "left_semi")
 
 
-def attach_scores_to_hits(hits: DataFrame, scores: DataFrame, n: int = 10, order="title_id",
-                          key="title_id") -> DataFrame:
-    """Left join catalog scores onto the first ``n`` search hits."""
-    top = hits.orderBy(order).limit(n)
+def attach_scores_to_hits(hits: DataFrame, scores: DataFrame, n: int = 10, order=("rank", "title_id"),
+                          key="title_id", query_col="query_id") -> DataFrame:
+    """Left join catalog scores onto the first ``n`` search hits of every
+    query (a per-query window limit, applied map-side before the shuffle)."""
+    w = Window.partitionBy(query_col).orderBy(*order)
+    top = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
     return top.join(scores, key, "left")
 
 

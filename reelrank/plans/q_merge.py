@@ -334,17 +334,18 @@ def c11_resolve_titles(spark, sf_dir):
 
 
 @query("c8_attach_scores", with_views("""
-    SELECT h.title_id, h.rank, s.pct AS a_pct FROM (
-        SELECT title_id, CAST(rank AS INTEGER) AS rank FROM hits WHERE query_id = 1
-        ORDER BY rank, title_id LIMIT 10) h
+    SELECT h.query_id, h.title_id, h.rank, s.pct AS a_pct FROM (
+        SELECT query_id, title_id, CAST(rank AS INTEGER) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, title_id) AS rn FROM hits)
+        WHERE rn <= 10) h
     LEFT JOIN scores s ON h.title_id = s.title_id AND s.user_id = '""" + A + "'",
     "rated", "seen", "listing", "catalog_base", extra={**CATALOG_CTES, **C11_CTES}))
 def c8_attach_scores(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
-    hits = resolved(spark, sf_dir).filter(F.col("query_id") == 1).select("title_id", F.col("rank").cast("int"))
+    hits = resolved(spark, sf_dir).select("query_id", "title_id", F.col("rank").cast("int"))
     scores = cat.person_scores(V.rated(t)).filter(F.col("user_id") == A) \
                 .select("title_id", F.col("pct").alias("a_pct"))
-    return M.attach_scores_to_hits(hits, scores, n=10, order=["rank", "title_id"])
+    return M.attach_scores_to_hits(hits, scores, n=10)
 
 
 # ---------------------------------------------------------------- C12, G4, G5
@@ -619,7 +620,7 @@ PROVIDERS = ["Netflix", "HBO Max", "Amazon Prime Video", "Disney Plus", "Hulu",
              "Disney+", "Showmax", "Paramount+ Amazon Channel", "Pluto TV"]
 
 
-@query("h24_service_key", "SELECT n_nationkey, provider, " + """
+H24_SQL = ("SELECT s_suppkey, provider, " + """
     CASE WHEN contains(n, 'netflix') THEN 'netflix'
          WHEN n IN ('max', 'hbo max') OR (contains(n, 'max') AND NOT contains(n, 'starz') AND NOT contains(n, 'showmax')
               AND NOT contains(n, 'amazon') AND NOT contains(n, 'paramount')) THEN 'max'
@@ -631,13 +632,17 @@ PROVIDERS = ["Netflix", "HBO Max", "Amazon Prime Video", "Disney Plus", "Hulu",
          WHEN contains(n, 'peacock') THEN 'peacock'
          WHEN contains(n, 'paramount') AND (contains(n, 'plus') OR contains(n, '+')) THEN 'paramount'
     END AS service_key
-    FROM (SELECT n_nationkey, provider, lower(trim(provider)) AS n FROM (
-        SELECT n_nationkey, """ + "[" + ", ".join("'" + p + "'" for p in PROVIDERS) + """][n_nationkey % 16 + 1] AS provider
-        FROM nation))""")
+    FROM (SELECT s_suppkey, provider, lower(trim(provider)) AS n FROM (
+        SELECT s_suppkey, """ + "[" + ", ".join("'" + p + "'" for p in PROVIDERS) + """][s_suppkey % 16 + 1] AS provider
+        FROM supplier))""")
+
+
+@query("h24_service_key", H24_SQL)
 def h24_service_key(spark, sf_dir):
-    n = V.Tables(spark, sf_dir).nation
-    prov = F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), (F.col("n_nationkey") % 16 + 1).cast("int"))
-    return n.select("n_nationkey", prov.alias("provider")).withColumn("service_key", P.service_key("provider"))
+    """H24 on one provider name per supplier (the name list is fixed, the rows grow)."""
+    sup = V.Tables(spark, sf_dir).supplier
+    prov = F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), (F.col("s_suppkey") % 16 + 1).cast("int"))
+    return sup.select("s_suppkey", prov.alias("provider")).withColumn("service_key", P.service_key("provider"))
 
 
 @query("b6_title_details", with_views("""
