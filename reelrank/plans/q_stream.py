@@ -70,7 +70,32 @@ def k1_incremental_enrich(spark, sf_dir):
     return out.select("title_id", "title", "runtime", "year")
 
 
-@query("k2_incremental_score")
+def _k2_sql():
+    from .q_features import ENTITY_CTES
+    extra = {**ENTITY_CTES, "replies": REPLY_SQL, "flat": FLAT_SQL,
+             "kc": f"""
+        SELECT f.title_id, p.user_id, 'director' AS kind,
+               nullif(trim(split_part(coalesce(f.director, ''), ',', 1)), '') AS entity
+        FROM flat f, (VALUES ('{A}'), ('{B}')) p(user_id)
+        UNION ALL SELECT f.title_id, p.user_id, 'actor1',
+               nullif(trim(split_part(coalesce(f.actors, ''), ',', 1)), '')
+        FROM flat f, (VALUES ('{A}'), ('{B}')) p(user_id)
+        UNION ALL SELECT f.title_id, p.user_id, 'studio', 'Unknown'
+        FROM flat f, (VALUES ('{A}'), ('{B}')) p(user_id)""",
+             "look": """
+        SELECT k.title_id, k.user_id, avg(coalesce(s.avg, o.overall_avg)) AS score
+        FROM kc k LEFT JOIN estats s ON k.user_id = s.user_id AND k.kind = s.kind AND k.entity = s.entity
+        LEFT JOIN overall o ON k.user_id = o.user_id GROUP BY k.title_id, k.user_id"""}
+    sql = f"""
+    SELECT f.title_id, f.title, f.year, f.runtime,
+           max(CASE WHEN l.user_id = '{A}' THEN round_even(least(greatest(l.score, 1.0), 10.0) * 10, 1) END) AS a_pct,
+           max(CASE WHEN l.user_id = '{B}' THEN round_even(least(greatest(l.score, 1.0), 10.0) * 10, 1) END) AS b_pct
+    FROM flat f LEFT JOIN look l ON f.title_id = l.title_id
+    GROUP BY f.title_id, f.title, f.year, f.runtime"""
+    return with_views(sql, "history_full", "title_info", extra=extra)
+
+
+@query("k2_incremental_score", _k2_sql())
 def k2_incremental_score(spark, sf_dir):
     root = _run(spark, sf_dir, with_scores=True)
     return K.latest_version(spark, f"{root}/catalog")
