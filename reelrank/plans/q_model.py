@@ -131,11 +131,7 @@ def _contributions(spark, sf_dir):
     nodes = X.tree_nodes(spark, f"{path}/model/stages/2_{gbt_uid}")
     names = MD.feature_names(spark, path, VEC_DIM)
     c = X.path_contributions(scored, nodes)
-    from pyspark.ml.functions import vector_to_array
-    vals = scored.select("user_id", "title_id",
-                         F.posexplode(vector_to_array("features")).alias("feature_index", "value"))
-    return (c.join(F.broadcast(names), "feature_index")     # names: bounded by the model width
-             .join(vals, ["user_id", "title_id", "feature_index"]), scored)
+    return c.join(F.broadcast(names), "feature_index"), scored   # names: bounded by the model width
 
 
 @query("i5_explain")
