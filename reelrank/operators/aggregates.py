@@ -14,11 +14,54 @@ from pyspark.sql import functions as F
 from ..functions.display import clip_rating
 
 
+def exact_median(df: DataFrame, col: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """Exact median (linear interpolation between the two middle values, as
+    ``median`` / ``percentile(0.5)``) per group, without holding a group's
+    distinct values in one aggregation buffer.
+
+    1. ``percentile_approx`` brackets the middle ranks of each group (rank
+       error <= n / accuracy, so the bracket holds ~4n / accuracy rows);
+    2. rows below the bracket are only counted; rows inside it are ranked
+       (a window over the bracket only), which gives the exact middle values;
+    3. a group whose bracket misses the middle ranks (possible only for tiny
+       or odd groups) is answered by the exact ``median`` on that group alone.
+    """
+    eps = 2.0 / accuracy
+    v = df.select(*by, F.col(col).cast("string").try_cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    st = v.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", F.array(F.lit(max(0.0, 0.5 - eps)), F.lit(min(1.0, 0.5 + eps))),
+                            accuracy).alias("_q"))
+    st = st.select(*by, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"),
+                   F.floor((F.col("_n") - 1) / 2).alias("_rlo"), F.ceil((F.col("_n") - 1) / 2).alias("_rhi"))
+    j = v.join(st, by)
+    counts = j.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+                                F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_in"))
+    ok = (counts.join(st, by)
+                .filter((F.col("_below") <= F.col("_rlo")) & (F.col("_below") + F.col("_in") > F.col("_rhi"))))
+    w = Window.partitionBy(*by).orderBy("_v")
+    window_rows = (j.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+                    .join(ok.select(*by, "_below"), by)
+                    .withColumn("_r", F.col("_below") + F.row_number().over(w) - 1)
+                    .filter((F.col("_r") == F.col("_rlo")) | (F.col("_r") == F.col("_rhi"))))
+    mids = window_rows.groupBy(*by).agg(
+        F.max(F.when(F.col("_r") == F.col("_rlo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_r") == F.col("_rhi"), F.col("_v"))).alias("_vhi"),
+        F.first("_n").alias("_n"), F.first("_rlo").alias("_rlo"))
+    frac = (F.col("_n") - 1) / 2.0 - F.col("_rlo")
+    exact = mids.select(*by, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("median"))
+    rest = v.join(ok.select(*by), by, "left_anti").groupBy(*by).agg(F.median("_v").alias("median"))
+    return exact.unionByName(rest)
+
+
 def median_impute(df: DataFrame, cols: list[str], by: str = "user_id") -> DataFrame:
     """Coerce columns to double and fill nulls with the group's exact median."""
     num = df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in cols})
-    med = num.groupBy(by).agg(*[F.median(c).alias("_med_" + c) for c in cols])
-    out = num.join(med, by, "left")
+    meds = None
+    for c in cols:
+        m = exact_median(num, c, [by]).withColumnRenamed("median", "_med_" + c)
+        meds = m if meds is None else meds.join(m, by, "full")
+    out = num.join(meds, by, "left")
     return out.select(*[F.coalesce(F.col(c), F.col("_med_" + c)).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
 

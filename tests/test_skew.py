@@ -60,3 +60,15 @@ def test_nearest_rated_hot_person_many_blocks(spark):
         m, s = got[i]
         assert m == 10000 + int(best[i])
         assert s == pytest.approx(comb[i, best[i]], abs=1e-9)
+
+
+def test_exact_median_hot_group_and_tiny_groups(spark):
+    from reelrank.operators.aggregates import exact_median
+    rng = np.random.default_rng(11)
+    big = rng.lognormal(10, 2, 60000)
+    rows = [("hot", float(x)) for x in big] + [("one", 5.0), ("two", 1.0), ("two", 4.0),
+                                              ("even", 1.0), ("even", 2.0), ("even", 3.0), ("even", 10.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.median for r in exact_median(df, "x", ["g"]).collect()}
+    assert got["hot"] == pytest.approx(float(np.median(big)), rel=1e-12)
+    assert got["one"] == 5.0 and got["two"] == 2.5 and got["even"] == 2.5
