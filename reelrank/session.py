@@ -11,8 +11,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings we want on every session we create.  On a real cluster the
-# submitter owns these; ``get_session`` only fills what is unset.
+# Settings for the sessions we create (tests, bench, entry point).  On a
+# cluster the submitter owns the session; see README "Cluster settings".
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
