@@ -319,6 +319,10 @@ def test_promotion_rule(spark):
     cur = one(spark, [("mae", 0.70, 0.3), ("worse", 0.7, 0.3), ("r2", 0.70, 0.305)], "user_id string, mae double, r2 double")
     got = {r.user_id: r.promote for r in promote_if_better(new, cur).collect()}
     assert got == {"none": True, "mae": True, "worse": False, "r2": True}
+    old = {r.user_id: r.promote for r in promote_if_better(new, None, fixed_baseline_mae=0.6541).collect()}
+    assert old == {"none": False, "mae": False, "worse": False, "r2": False}
+    old = {r.user_id: r.promote for r in promote_if_better(new, None, fixed_baseline_mae=0.70).collect()}
+    assert old == {"none": False, "mae": True, "worse": False, "r2": False}
 
 
 # ---------------------------------------------------------------- A3 / A4 / A9
