@@ -63,11 +63,52 @@ def model_paths(spark, sf_dir):
 
 # ---------------------------------------------------------------- I1, I2
 
-@query("i1_build_features")
+def _i1_sql():
+    from .oracle_views import with_views
+    from .q_features import ENTITY_CTES, LOO_SQL
+    from .q_merge import GUIDE_SQL, TAG_CTES
+    ords = " + ".join(
+        f"coalesce(CASE g.{c} WHEN 'None' THEN 0 WHEN 'Mild' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Severe' THEN 3 END, -1)"
+        for c in ("sex_nudity", "violence_gore", "profanity", "alcohol_drugs", "intensity"))
+    extra = {**ENTITY_CTES, **TAG_CTES, "guide": GUIDE_SQL, "loo": LOO_SQL,
+             "ustats": "SELECT user_id, avg(rating) AS mu, CAST(count(*) AS DOUBLE) AS n FROM history_full GROUP BY user_id",
+             "ntags": "SELECT title_id, count(*) AS k FROM (SELECT DISTINCT title_id, category, value FROM tags_long) GROUP BY title_id",
+             "frows": f"""
+        SELECT l.user_id, l.title_id, l.rating,
+          coalesce(c.imdb_score, 0.0) + coalesce(CAST(t.box_office AS DOUBLE), 0.0)
+          + coalesce(CAST(t.runtime AS DOUBLE), 0.0) + coalesce(CAST(c.year AS DOUBLE), 0.0)
+          + CAST(l.director_film_count AS DOUBLE) + l.director_avg_rating
+          + CAST(l.actor1_film_count AS DOUBLE) + l.actor1_avg_rating
+          + CAST(l.studio_film_count AS DOUBLE) + l.studio_avg_rating
+          + u.mu + u.n + 1.0 + coalesce(CAST(k.k AS DOUBLE), 0.0) + CAST({ords} AS DOUBLE)
+          + coalesce(list_sum(list_transform(e.embedding, lambda v: CAST(v AS DOUBLE))), 0.0) AS slot_sum
+        FROM loo l JOIN title_info t ON l.title_id = t.title_id
+        JOIN catalog_base c ON l.title_id = c.title_id
+        JOIN ustats u ON l.user_id = u.user_id
+        LEFT JOIN guide g ON l.title_id = g.title_id
+        LEFT JOIN ntags k ON l.title_id = k.title_id
+        LEFT JOIN embeddings e ON e.vec_id = l.title_id
+        WHERE l.user_id IN ('{A}', '{B}')""",
+             "split": """
+        SELECT user_id, title_id, COALESCE(rn <= round(n * 0.2), false) AS is_test FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id, bin ORDER BY md5(CAST(title_id AS VARCHAR) || ':42'), title_id) AS rn,
+                    count(*) OVER (PARTITION BY user_id, bin) AS n
+          FROM (SELECT user_id, title_id,
+                       CASE WHEN rating > 0 AND rating <= 3 THEN 0 WHEN rating > 3 AND rating <= 5 THEN 1
+                            WHEN rating > 5 AND rating <= 7 THEN 2 WHEN rating > 7 AND rating <= 8 THEN 3
+                            WHEN rating > 8 AND rating <= 10 THEN 4 END AS bin FROM frows))"""}
+    n_slots = len(MD.slot_names(VEC_DIM))
+    sql = f"""
+    SELECT f.user_id, f.title_id, f.rating, s.is_test, {n_slots} AS n_slots, round(f.slot_sum, 6) AS slot_sum
+    FROM frows f JOIN split s ON f.user_id = s.user_id AND f.title_id = s.title_id"""
+    return with_views(sql, "history_full", "title_info", "catalog_base", extra=extra)
+
+
+@query("i1_build_features", _i1_sql())
 def i1_build_features(spark, sf_dir):
     r = train_rows(spark, sf_dir)
     return r.select("user_id", "title_id", "rating", "is_test", F.size("slots").alias("n_slots"),
-                    F.aggregate("slots", F.lit(0.0), lambda a, x: a + x).alias("slot_sum"))
+                    F.round(F.aggregate("slots", F.lit(0.0), lambda a, x: a + x), 6).alias("slot_sum"))
 
 
 @query("i2_embed_text")
