@@ -151,6 +151,11 @@ def _tag_keys(spark, t):
 
 
 def _d7_sql():
+    extra, sql = d7_parts()
+    return with_views(sql, "history_full", "title_info", extra=extra)
+
+
+def d7_parts():
     from ..functions.fixed import TAG_TAXONOMY
     rows = [(c, v) for c, vs in TAG_TAXONOMY.items() for v in vs]
     tax = "SELECT * FROM (VALUES " + ", ".join(
@@ -188,7 +193,7 @@ def _d7_sql():
     LEFT JOIN gst g ON g.user_id = c.user_id AND g.gk = lower(nullif(trim(split_part(coalesce(c.genre, ''), ',', 1)), ''))
     LEFT JOIN dst d ON d.user_id = c.user_id AND d.dk = lower(nullif(trim(split_part(coalesce(c.director, ''), ',', 1)), ''))
     LEFT JOIN top tp ON tp.user_id = c.user_id AND tp.title_id = c.title_id"""
-    return with_views(sql, "history_full", "title_info", extra=extra)
+    return extra, sql
 
 
 @query("d7_preference_stats", _d7_sql())
