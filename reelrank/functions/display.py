@@ -90,3 +90,17 @@ def similarity_pct(sim) -> Column:
 
 def similarity_pct_api(sim) -> Column:
     return F.bround(F.coalesce(_c(sim), F.lit(0.0)) * 100, 0).cast("int")
+
+
+def hundredths(x) -> Column:
+    """Half-even rounding to two decimals, defined on the value taken to nine
+    decimals: the value is scaled to an integer count of 1e-9 units and the
+    tie rule is applied in integer arithmetic, so the result never depends on
+    how an engine rounds a binary product.  Returns a double."""
+    v = F.round(_c(x) * F.lit(1e9), 0).cast("long")
+    a = F.abs(v)
+    q = (a / F.lit(10_000_000)).cast("long")          # exact: non-negative
+    r = a - q * F.lit(10_000_000)
+    up = (r > 5_000_000) | ((r == 5_000_000) & (q % 2 == 1))
+    q2 = q + F.when(up, 1).otherwise(0)
+    return F.when(v < 0, -q2 / F.lit(100.0)).otherwise(q2 / F.lit(100.0))

@@ -341,3 +341,9 @@ def test_csv_null_policy_and_versioned_catalog(spark, tmp_path):
     assert sinks.read_catalog(spark, cdir).first().title == "b"
     sinks.write_artifacts(str(tmp_path / "art"), {"stats": one(spark, [("u", 1)], "user_id string, n int")})
     assert spark.read.parquet(str(tmp_path / "art" / "stats")).count() == 1
+
+
+def test_hundredths_half_even_on_decimal_value(spark):
+    df = one(spark, [(-0.545,), (0.705,), (0.715,), (1.0049999999,), (2.675,), (0.0,)], "x double")
+    got = [r.h for r in df.select(D.hundredths("x").alias("h")).collect()]
+    assert got == [-0.54, 0.70, 0.72, 1.0, 2.68, 0.0]
