@@ -92,15 +92,36 @@ def similarity_pct_api(sim) -> Column:
     return F.bround(F.coalesce(_c(sim), F.lit(0.0)) * 100, 0).cast("int")
 
 
-def hundredths(x) -> Column:
-    """Half-even rounding to two decimals, defined on the value taken to nine
-    decimals: the value is scaled to an integer count of 1e-9 units and the
-    tie rule is applied in integer arithmetic, so the result never depends on
-    how an engine rounds a binary product.  Returns a double."""
-    v = F.round(_c(x) * F.lit(1e9), 0).cast("long")
+def decimal_round(x, digits: int) -> Column:
+    """Half-even rounding to ``digits`` decimals, defined on the value taken
+    to nine decimals: the value is scaled to an integer count of 1e-9 units
+    and the tie rule is applied in integer arithmetic, so the result never
+    depends on how an engine rounds a binary product.  Magnitudes of 1e9 and
+    more (where a double has no digits left to tie on) use plain rounding.
+    Returns a double; ``sql_decimal_round`` is the same rule in SQL."""
+    x = _c(x)
+    unit = 10 ** (9 - digits)
+    v = F.round(F.when(F.abs(x) < 1e9, x) * F.lit(1e9), 0).cast("long")
     a = F.abs(v)
-    q = (a / F.lit(10_000_000)).cast("long")          # exact: non-negative
-    r = a - q * F.lit(10_000_000)
-    up = (r > 5_000_000) | ((r == 5_000_000) & (q % 2 == 1))
-    q2 = q + F.when(up, 1).otherwise(0)
-    return F.when(v < 0, -q2 / F.lit(100.0)).otherwise(q2 / F.lit(100.0))
+    q = (a / F.lit(unit)).cast("long")               # exact: non-negative
+    r = a - q * F.lit(unit)
+    up = (r > unit // 2) | ((r == unit // 2) & (q % 2 == 1))
+    q2 = (q + F.when(up, 1).otherwise(0)) / F.lit(float(10 ** digits))
+    small = F.when(v < 0, -q2).otherwise(q2)
+    return F.when(x.isNull(), F.lit(None).cast("double")) \
+            .when(F.abs(x) < 1e9, small).otherwise(F.round(x, digits))
+
+
+def sql_decimal_round(col: str, digits: int) -> str:
+    """SQL twin of :func:`decimal_round` (DuckDB)."""
+    unit = 10 ** (9 - digits)
+    a = f"CAST(abs(round({col} * 1e9)) AS BIGINT)"
+    q = f"({a} // {unit})"
+    up = f"CASE WHEN {a} % {unit} > {unit // 2} OR ({a} % {unit} = {unit // 2} AND {q} % 2 = 1) THEN 1 ELSE 0 END"
+    small = f"(CASE WHEN round({col} * 1e9) < 0 THEN -1 ELSE 1 END * ({q} + {up}) / {float(10 ** digits)})"
+    return f"(CASE WHEN {col} IS NULL THEN NULL WHEN abs({col}) < 1e9 THEN {small} ELSE round({col}, {digits}) END)"
+
+
+def hundredths(x) -> Column:
+    """Two-decimal :func:`decimal_round` (driver contributions in prompts)."""
+    return decimal_round(x, 2)

@@ -17,6 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 import pandas as pd  # noqa: E402
 
+EXACT = bool(os.environ.get("EXACT"))   # compare floats bit for bit (no rounding)
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -29,7 +31,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        v = round(v, 6)
+        if not EXACT:
+            v = round(v, 6)
         return int(v) if v.is_integer() else v
     if hasattr(v, "tolist"):
         v = v.tolist()

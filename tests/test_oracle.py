@@ -37,3 +37,15 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_a_builder():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_double_column_list_matches_schemas(spark):
+    from reelrank.plans import registry
+    from reelrank.plans.double_columns import DOUBLE_COLUMNS
+    registry.load_all()
+    for name in NAMES:
+        if name.startswith(("k1_", "k2_")):
+            continue                     # streaming builders run their jobs; covered by the oracle test
+        df = registry.QUERIES[name](spark, SF)
+        cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+        assert cols == DOUBLE_COLUMNS.get(name, []), name
