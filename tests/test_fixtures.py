@@ -347,3 +347,21 @@ def test_hundredths_half_even_on_decimal_value(spark):
     df = one(spark, [(-0.545,), (0.705,), (0.715,), (1.0049999999,), (2.675,), (0.0,)], "x double")
     got = [r.h for r in df.select(D.hundredths("x").alias("h")).collect()]
     assert got == [-0.54, 0.70, 0.72, 1.0, 2.68, 0.0]
+
+
+# ---------------------------------------------------------------- K1 replay
+
+def test_enrich_batch_replay_is_idempotent(spark, tmp_path):
+    from reelrank.streaming import incremental as K
+    rows = [(1, '{"imdbID": "tt1", "Title": "A", "Response": "True"}', 1),
+            (1, '{"imdbID": "tt1", "Title": "A again", "Response": "True"}', 2),
+            (2, '{"Response": "False"}', 3)]
+    batch = one(spark, rows, "title_id long, reply string, _ord long")
+    table = str(tmp_path / "titles")
+    K.enrich_batch(batch, 0, table)
+    K.enrich_batch(batch, 0, table)          # the same batch replayed after a failure
+    later = one(spark, [(1, '{"imdbID": "tt1", "Title": "late", "Response": "True"}', 9)],
+                "title_id long, reply string, _ord long")
+    K.enrich_batch(later, 1, table)          # an id already stored: first wins
+    got = [(r.title_id, r.title) for r in K.read_stored(spark, table).collect()]
+    assert got == [(1, "A")]
