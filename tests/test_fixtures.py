@@ -365,3 +365,11 @@ def test_enrich_batch_replay_is_idempotent(spark, tmp_path):
     K.enrich_batch(later, 1, table)          # an id already stored: first wins
     got = [(r.title_id, r.title) for r in K.read_stored(spark, table).collect()]
     assert got == [(1, "A")]
+
+
+def test_ratings_csv_keeps_first_physical_row(spark, tmp_path):
+    p = tmp_path / "ratings.csv"
+    p.write_text("Const,Your Rating,Title\ntt9,8,First\ntt9,3,Second\ntt8,,NoRating\n,7,NoId\n")
+    raw = I.read_ratings_csv(spark, str(p)).withColumn("user_id", F.lit("u"))
+    got = sorted((r.title_id, r.rating, r.title) for r in I.ingest_ratings(raw).collect())
+    assert got == [("tt9", 8.0, "First")]
