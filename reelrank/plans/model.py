@@ -217,6 +217,9 @@ def embed_text(df: DataFrame, text_col: str, dim: int = 64, encoder=None, out_co
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+
     @pandas_udf("array<float>")
     def _enc(batches):
         f = encoder()

@@ -62,3 +62,32 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``reelrank`` importable in Python workers (once per application).
+
+    Operators that run Python inside tasks (pandas UDFs, ``applyInPandas``,
+    ``mapInPandas``) call this; it zips the package and hands it to
+    ``SparkContext.addPyFile``, which distributes it to every executor, the
+    same as ``--py-files`` at submit time.  Skipped when the workers can
+    already import it (the package was installed or shipped at submit).
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import os
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="reelrank-pyfiles-"), "reelrank.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("reelrank", os.path.relpath(full, pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
