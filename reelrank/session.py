@@ -41,27 +41,31 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate data, named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage and is respected as-is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Executors write there, so on a cluster the setting is required.  Only a
+    local master, whose executor is the driver, gets a scratch folder of its
+    own where the setting is missing (tests).
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="reelrank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint into the shared folder.
 
-    Reliable checkpoints survive executor loss; local checkpoints do not and
-    are never used here.
+    It survives executor loss; local checkpoints do not and are never used.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint()
 
 
 _SHIPPED: set[str] = set()
