@@ -122,6 +122,8 @@ def edit_probe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     marks = checkpoint(marks)
     places = marks.groupBy("doc_id", "_k", "_id").agg(F.first("n_chars").alias("n_chars"), F.count("*").alias("rows"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("_k")]
+    # a document's text is dealt by key once, for both joins below
+    texts = whole.select("_k", "_id", "_text")
     placed = checkpoint(running_sums(in_order(places, *order), order, {"place": F.lit(1)})
                         .select("_k", "_id", "n_chars", "rows", "place"))
     count, repeated = placed.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
@@ -129,20 +131,20 @@ def edit_probe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
                           F.pmod(F.col("place") + 1, F.lit(max(count, 1))).alias("place"))
     # _k, _id: a document; to_k, to_id: the one that it follows
     follows = placed.select("_k", "_id", "place").join(after, "place").drop("place")
-    giving = whole.join(follows, ["_k", "_id"])
+    giving = texts.join(follows, ["_k", "_id"])
     pieces = giving.select(F.col("to_k").alias("_k"), F.col("to_id").alias("_id"),
                            F.substr("_text", F.lit(1), F.floor(F.col("to_chars") / 3).cast("int")).alias("_piece"))
     next_marks = marks.join(follows, ["_k", "_id"]).select(
         F.col("to_k").alias("_k"), F.col("to_id").alias("_id"), F.col("_fp").alias("_next_fp"))
-    own_marks = marks.select("_k", "_id", "n_chars", "_fp")
+    own_marks = marks.select("doc_id", "_k", "_id", "n_chars", "_fp")
     if repeated > 1:        # rows that repeat an id and text give the same piece and marks
         pieces, next_marks, own_marks = (x.dropDuplicates(["_k", "_id"]) for x in (pieces, next_marks, own_marks))
     n = F.char_length("_text")
-    edited = (whole.join(pieces, ["_k", "_id"])
+    edited = (texts.join(pieces, ["_k", "_id"])
               .withColumn("_edited", F.concat(F.substr("_text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("_piece")))
-              .select("doc_id", "_k", "_id", "_edited"))
+              .select("_k", "_id", "_edited"))
     edited = with_fingerprint(edited, "_edited", "_edited_fp", **kw).select(
-        "doc_id", "_k", "_id", "_edited_fp", F.sha2("_edited", 256).alias("edited_sha256"))
+        "_k", "_id", "_edited_fp", F.sha2("_edited", 256).alias("edited_sha256"))
     return (edited.join(own_marks, ["_k", "_id"]).join(next_marks, ["_k", "_id"])
             .select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
                     fingerprint_text(F.col("_fp")).alias("fingerprint"),
