@@ -60,12 +60,13 @@ class WordWeights(dict):
         return x
 
 
-def telling_features(bags: list[set], y: np.ndarray, least: int = 3, g2: float = 15.0) -> np.ndarray:
+def telling_features(bags: list[np.ndarray], y: np.ndarray, least: int = 3, g2: float = 15.0) -> np.ndarray:
     """Buckets whose presence depends on the document label: in ``least``
     documents or more, with a likelihood-ratio statistic of ``g2`` or more."""
-    every = [np.fromiter(b, np.int32, len(b)) for b in bags]
-    with_bad = np.bincount(np.concatenate([b for b, t in zip(every, y) if t] or [np.empty(0, np.int32)]), minlength=BUCKETS)
-    with_all = np.bincount(np.concatenate(every or [np.empty(0, np.int32)]), minlength=BUCKETS)
+    with_bad, with_all = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for bag, bad in zip(bags, y):
+        with_all[bag] += 1
+        with_bad[bag] += bad
     n, bad = len(y), y.sum()
 
     def part(seen, expected):
@@ -88,32 +89,36 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, l2: float = 1e-3
     y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
         return Model({}, -8.0)
-    known: dict[str, list[int]] = {}
-    bags, bodies = [], []
+    number: dict[str, int] = {}
+    bodies = []                              # a document: its words, and where each sentence ends
     for text in texts:
-        body = [WORD.findall(text[a:b].lower()) for a, b in sentences(text)]
-        words = set().union(*body)
-        for w in words:
-            if w not in known:
-                known[w] = _features(w)
-        bodies.append(body)
-        bags.append(set().union(*map(known.__getitem__, words)))
+        words, ends = [], []
+        for a, b in sentences(text):
+            words += [number.setdefault(w, len(number)) for w in WORD.findall(text[a:b].lower())]
+            ends.append(len(words))
+        bodies.append((np.array(words, np.int32), np.array(ends, np.int32)))
+    features = np.full((len(number), 1 + len(PREFIXES)), -1, np.int32)
+    for i, w in enumerate(number):
+        f = _features(w)
+        features[i, :len(f)] = f
+    del number
+    bags = [np.unique(f[f >= 0]) for f in (features[np.unique(words)] for words, _ in bodies)]
     chosen = telling_features(bags, y)
-    column = {f: i for i, f in enumerate(chosen.tolist())}
-    of_word = {w: hit for w, fs in known.items() if (hit := [column[f] for f in fs if f in column])}
-    index, sentence_of, doc_of, plain = [], [], [], np.zeros(len(y))
-    for d, body in enumerate(bodies):
-        for words in body:
-            hits = [i for w in words if w in of_word for i in of_word[w]]
-            if hits:
-                index.extend(hits)
-                sentence_of.extend([len(doc_of)] * len(hits))
-                doc_of.append(d)
-            else:
-                plain[d] += 1
-    index, sentence_of = np.array(index, np.int32), np.array(sentence_of, np.int32)
-    doc_of, n, k = np.array(doc_of, np.int32), len(doc_of), len(chosen)
-    w, bias = np.zeros(k), -8.0
+    column = np.full(BUCKETS + 1, -1, np.int32)          # the last for "no feature"
+    column[chosen] = np.arange(len(chosen))
+    hits = column[features]
+    index, sentence_of, doc_of, plain, n = [], [], [], np.zeros(len(y)), 0
+    for d, (words, ends) in enumerate(bodies):
+        found = hits[words]
+        at, which = np.nonzero(found >= 0)
+        sentence, inside = np.unique(np.searchsorted(ends, at, "right"), return_inverse=True)
+        index.append(found[at, which])
+        sentence_of.append(n + inside)
+        doc_of.append(np.full(len(sentence), d))
+        plain[d] = len(ends) - len(sentence)
+        n += len(sentence)
+    index, sentence_of, doc_of = map(np.concatenate, (index, sentence_of, doc_of))
+    k, w, bias = len(chosen), np.zeros(len(chosen)), -8.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(sentence_of, w[index], n)
@@ -162,11 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int
     low value.
     """
     marked = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna()
-              .where(~is_held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y")))
+              .where(~is_held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
+              .withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30))))
+    known = marked.count()
+    if known > max_rows:        # few more are sent than are kept
+        marked = marked.where(F.col("_at") < int(1.1 * (1 << 30) * max_rows / known))
     rows = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).dropna()
-            .join(marked, "_id").select("_text", "_y", F.xxhash64(F.lit(seed), "_id", "_text").alias("_at"))
-            .orderBy("_at", "_text").limit(max_rows).toPandas())
-    return fit(rows["_text"].tolist(), rows["_y"].tolist())
+            .join(marked, "_id").select("_text", "_y", "_at").toArrow().sort_by([("_at", "ascending"), ("_text", "ascending")]).slice(0, max_rows))
+    return fit(rows["_text"].to_pylist(), rows["_y"].to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5,
