@@ -98,7 +98,9 @@ def near_links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     A fingerprint has at most a constant number of such neighbours, so the
     result is linear in the input.
     """
-    index = fingerprints.select("fp", F.inline(variant_keys(F.col("fp"), max_bits)))
+    # a few bytes a row become some seventy rows: deal them to all tasks first
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = fingerprints.repartition(parts, "fp").select("fp", F.inline(variant_keys(F.col("fp"), max_bits)))
     left = index.where("side in (0, 2)").select("key", "side", F.col("fp").alias("l"))
     right = index.where("side in (1, 2)").select("key", F.col("fp").alias("r"))
     near = F.bit_count(F.col("l").bitwiseXOR(F.col("r"))) <= max_bits
