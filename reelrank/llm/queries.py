@@ -62,7 +62,7 @@ FROM p
 def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under merge-dropout of 0.1, and whether they decode to it."""
     encoded = merge_dropout.encode_documents(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1)
+        table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1)
     return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
                           F.xxhash64("piece_ids").alias("ids_hash"), "lossless")
 

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def encoder(tokenizer_file: str, end_id: int) -> Callable[[list[str]], tuple[np.
 
 def in_chunks(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` text bytes each."""
-    sizes = np.cumsum([len(x) if x is not None else 0 for x in batch.column(text).to_pylist()])
+    sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
     while begin < batch.num_rows:
         before = sizes[begin - 1] if begin else 0
