@@ -9,9 +9,14 @@ one document or the metadata alone.
 
 from __future__ import annotations
 
+import gc
+import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +33,42 @@ PARQUET = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#offset": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
+SEPARABLE = re.compile(r"(?= \S)")
 
 
-def encoder(tokenizer_file: str, end_id: int) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def encoder(tokenizer_file: str, end_id: int, room: int = 600_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Function from texts to their ids, each followed by ``end_id``, as one
     uint32 array and the documents' lengths.  Strings of special tokens in a
-    text are ordinary text."""
+    text are ordinary text.
+
+    A byte-level tokenizer always cuts before a space that no white space
+    follows, and merges nothing across its cuts.  Its texts are cut there, and
+    the library encodes each different unit once (``room`` units are
+    remembered); other tokenizers encode texts whole.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"        # the tasks are the parallelism
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.encode_special_tokens = True
-    end = np.array([end_id], np.uint32)
+    spec = json.loads(tokenizer.to_str())
+    before = spec.get("pre_tokenizer") or {}
+    separable = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                 and not before.get("add_prefix_space") and not spec.get("normalizer"))
+    known: dict[str, list[int]] = {}
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        arrays = []
-        for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            arrays += [np.array(found.ids, np.uint32), end]
-        sizes = np.fromiter((len(a) + 1 for a in arrays[::2]), np.int64, len(texts))
-        return (np.concatenate(arrays) if arrays else np.empty(0, np.uint32)), sizes
+        units = [SEPARABLE.split(t) if separable else [t] for t in texts]
+        new = list(set().union(*units).difference(known))
+        known.update(zip(new, [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
+        end, arrays, sizes = [end_id], [], []
+        for some in units:
+            ids = list(chain.from_iterable(map(known.__getitem__, some)))
+            ids += end
+            sizes.append(len(ids))
+            arrays.append(np.array(ids, np.uint32))
+        if len(known) > room or not separable:
+            known.clear()
+        return (np.concatenate(arrays) if arrays else np.empty(0, np.uint32)), np.array(sizes, np.int64)
     return encode
 
 
@@ -82,6 +106,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
     name = tokenizer_file.rsplit("/", 1)[-1]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()           # remembered units hold no cycles
         encode_texts = encoder(SparkFiles.get(name), end_id)
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
