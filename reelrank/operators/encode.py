@@ -50,6 +50,7 @@ def leave_one_out(history: DataFrame) -> DataFrame:
     """Per rated row, count and mean of the *other* rows of the same entity.
 
     Singleton entities get count 0 and the person's overall average.
+    ``history`` holds one row per (person, title); deduplicate it first.
     Output: user_id, title_id, rating, and {kind}_film_count / {kind}_avg_rating.
     """
     long = _long(with_entities(history))

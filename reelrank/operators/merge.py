@@ -16,11 +16,20 @@ from ..functions.parse import severity_ordinal
 from ..functions.fixed import GUIDE_COLUMNS
 
 
+def _one_row(df: DataFrame, key: str) -> DataFrame:
+    """One row per key of a lookup table, so that a join cannot multiply rows:
+    the last by ``_ord`` where the table has it, else the least row."""
+    if "_ord" in df.columns:
+        return dedupe(df, key, "_ord", keep="last")
+    rest = [c for c in df.columns if c != key]
+    return dedupe(df, key, rest, keep="first")
+
+
 def join_cast_studio(titles: DataFrame, enrich: DataFrame | None, key="title_id") -> DataFrame:
     """Left join cast list and studio; missing -> ""; absent table -> empty columns."""
     if enrich is None:
         return titles.withColumns({"actors_rt": F.lit(""), "studio_rt": F.lit("")})
-    e = enrich.select(key, F.col("actors_rt"), F.col("studio").alias("studio_rt"))
+    e = _one_row(enrich, key).select(key, F.col("actors_rt"), F.col("studio").alias("studio_rt"))
     out = titles.join(e, key, "left")
     return out.withColumns({"actors_rt": F.coalesce("actors_rt", F.lit("")),
                             "studio_rt": F.coalesce("studio_rt", F.lit(""))})
@@ -41,7 +50,7 @@ def join_tags(titles: DataFrame, tags_long: DataFrame, columns: list[str], key="
 def join_guide(titles: DataFrame, guide: DataFrame, key="title_id", default: int = -1,
                cols=GUIDE_COLUMNS) -> DataFrame:
     """Left join the five severities, map to ordinals, missing -> ``default``."""
-    g = guide.select(key, *[F.col(c).alias("_g_" + c) for c in cols])
+    g = _one_row(guide, key).select(key, *[F.col(c).alias("_g_" + c) for c in cols])
     out = titles.join(g, key, "left")
     return out.select(*titles.columns,
                       *[severity_ordinal(F.col("_g_" + c), default).alias("pg_" + c) for c in cols])
@@ -91,18 +100,20 @@ def attach_audience_awards(titles: DataFrame, audience: DataFrame, awards: DataF
                            key="title_id") -> DataFrame:
     """C14: left join audience score and four award counts; counts default 0."""
     cols = ["oscar_wins", "oscar_noms", "gg_wins", "gg_noms"]
-    out = titles.join(audience.select(key, "audience_score"), key, "left") \
-                .join(awards.select(key, *cols), key, "left")
+    out = titles.join(_one_row(audience, key).select(key, "audience_score"), key, "left") \
+                .join(_one_row(awards, key).select(key, *cols), key, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols})
 
 
 def guide_live_over_cache(live: DataFrame, cached: DataFrame, cols=GUIDE_COLUMNS,
                           key="title_id") -> DataFrame:
-    """Per title and column prefer the fresh value, fall back to the cached one."""
-    lv = live.select(key, *[F.col(c).alias("_l_" + c) for c in cols])
-    cv = cached.select(key, *[F.col(c).alias("_c_" + c) for c in cols])
+    """Per title the fresh record if it has any value, else the cached
+    one; the two are never mixed."""
+    lv = _one_row(live, key).select(key, *[F.col(c).alias("_l_" + c) for c in cols])
+    cv = _one_row(cached, key).select(key, *[F.col(c).alias("_c_" + c) for c in cols])
     j = lv.join(cv, key, "full")
-    return j.select(key, *[F.coalesce("_l_" + c, "_c_" + c).alias(c) for c in cols])
+    fresh = F.coalesce(*["_l_" + c for c in cols]).isNotNull()
+    return j.select(key, *[F.when(fresh, F.col("_l_" + c)).otherwise(F.col("_c_" + c)).alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- set operations
@@ -128,14 +139,16 @@ def merge_keep_last(base: DataFrame, parts: list[DataFrame], key="title_id") ->
     return dedupe(u, key, ["_src", "_ord"], keep="last").drop("_src")
 
 
-def upsert_non_blank(base: DataFrame, updates: DataFrame, value_col: str, key="title_id") -> DataFrame:
+def upsert_non_blank(base: DataFrame, updates: DataFrame, value_col: str, key="title_id",
+                     order: str | None = None) -> DataFrame:
     """Replace a base row only when the update's value is not blank.
 
     Output carries a ``rescued`` flag: the base value failed and the update's
-    did not.  Updates are de-duplicated per key first (last wins).
+    did not.  Of several good updates of a key the last by ``order`` wins
+    (without it the greatest row).
     """
     cols = [c for c in base.columns if c != key]
-    good = updates.filter(is_ok(value_col)).select(key, *[F.col(c).alias("_u_" + c) for c in cols],
+    good = dedupe(updates.filter(is_ok(value_col)), key, order or cols, keep="last").select(key, *[F.col(c).alias("_u_" + c) for c in cols],
                                                    F.lit(True).alias("_has"))
     j = base.join(good, key, "full")
     use = F.col("_has").isNotNull()
@@ -162,8 +175,12 @@ def removed_titles(cache: DataFrame, current_ids: DataFrame, key="title_id") ->
     return cache.select(key).distinct().join(current_ids.select(key), key, "left_anti")
 
 
-def append_if_absent(table: DataFrame, rows: DataFrame, key="title_id") -> DataFrame:
-    """Append only rows whose id is new."""
+def append_if_absent(table: DataFrame, rows: DataFrame, key="title_id", order: str | None = None) -> DataFrame:
+    """Append only rows whose id is new; of several rows of a new id the
+    first by ``order`` (without it the least row)."""
+    rows = dedupe(rows, key, order or [c for c in rows.columns if c != key], keep="first")
+    if order and order not in table.columns:
+        rows = rows.drop(order)
     return table.unionByName(rows.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
 
 

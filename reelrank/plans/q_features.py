@@ -78,7 +78,7 @@ def e1_leave_one_out(spark, sf_dir):
 
 C6_CTES = {
     "cand": f"""
-      SELECT p.user_id, t.* FROM title_info t, (VALUES ('{A}'), ('{B}')) p(user_id)
+      SELECT p.user_id, t.* FROM title_info t, (SELECT DISTINCT c_mktsegment AS user_id FROM customer) p
       WHERE NOT EXISTS (SELECT 1 FROM history_full h
                         WHERE h.user_id = p.user_id AND h.title_id = t.title_id)""",
     "clong": """
@@ -103,14 +103,14 @@ C6_SQL = """
     GROUP BY c.user_id, c.title_id"""
 
 
-def people_titles(df, people=(A, B)):
+def people_titles(df, people):
     """Every row of ``df`` once per person of interest (a generator, not a join)."""
     return df.withColumn("user_id", F.explode(F.array(*[F.lit(p) for p in people])))
 
 
-def unseen_candidates(t, people=(A, B)):
+def unseen_candidates(t):
     h = V.history_full(t)
-    return people_titles(V.title_info(t), people).join(
+    return people_titles(V.title_info(t), V.people(t)).join(
         h.select("user_id", "title_id"), ["user_id", "title_id"], "left_anti")
 
 
@@ -177,12 +177,12 @@ def d9_regression_metrics(spark, sf_dir):
 
 # ---------------------------------------------------------------- C9, C10, D8, H21, H22
 
-def _sim_inputs(spark, sf_dir, people=(A, B)):
+def _sim_inputs(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
     tv = V.title_vectors(t)
-    q = people_titles(tv, people).select("user_id", F.col("title_id").alias("id"),
+    q = people_titles(tv, V.people(t)).select("user_id", F.col("title_id").alias("id"),
                                          "vec", "tags", "score")
-    h = (V.history(t).filter(F.col("user_id").isin(list(people)))
+    h = (V.history(t)
            .select("user_id", "title_id", "rating")
            .join(tv, "title_id")
            .select("user_id", F.col("title_id").alias("id"), "vec", "tags", "score", "rating"))
@@ -191,10 +191,9 @@ def _sim_inputs(spark, sf_dir, people=(A, B)):
 
 SIM_CTES = {
     "hv": f"""SELECT h.user_id, h.title_id AS id, t.vec, t.tags, t.score, h.rating
-              FROM history h JOIN title_vectors t ON h.title_id = t.title_id
-              WHERE h.user_id IN ('{A}', '{B}')""",
+              FROM history h JOIN title_vectors t ON h.title_id = t.title_id""",
     "qv": f"""SELECT p.user_id, t.title_id AS id, t.vec, t.tags, t.score
-              FROM title_vectors t, (VALUES ('{A}'), ('{B}')) p(user_id)""",
+              FROM title_vectors t, (SELECT DISTINCT c_mktsegment AS user_id FROM customer) p""",
     "pairs": """
       SELECT q.user_id, q.id AS query_id, h.id AS match_id,
         CASE WHEN q.id = h.id THEN -1.0

@@ -313,10 +313,7 @@ C11_CTES = {
                substr(base, 1, instr(base, w) - 1) || substr(w, 1, pos) || ' ' || substr(w, pos + 1)
                || substr(base, instr(base, w) + length(w)) AS variant, 2
         FROM (SELECT query_id, base, w, unnest(range(greatest(3, length(w) - 4), length(w) - 2)) AS pos FROM words)""",
-    "keys": """SELECT title_id, k FROM (
-        SELECT title_id, lower(title) AS k,
-               row_number() OVER (PARTITION BY lower(title) ORDER BY title_id) AS rn FROM catalog_base)
-        WHERE rn <= 10""",
+    "keys": "SELECT title_id, lower(title) AS k FROM catalog_base",
     "hits": """SELECT v.query_id, k.title_id, min(v.rank) AS rank
         FROM variants v JOIN keys k ON lower(v.variant) = k.k GROUP BY v.query_id, k.title_id""",
 }
@@ -324,7 +321,7 @@ C11_CTES = {
 
 def resolved(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
-    return R.resolve_titles(search_queries(t), V.catalog_base(t), max_hits=10)
+    return R.resolve_titles(search_queries(t), V.catalog_base(t))
 
 
 @query("c11_resolve_titles", with_views("SELECT query_id, title_id, CAST(rank AS INTEGER) AS rank FROM hits",
@@ -494,7 +491,7 @@ def c14_attach_audience_awards(spark, sf_dir):
 
 @query("c15_guide_live_over_cache", with_views(
     "SELECT coalesce(l.title_id, c.title_id) AS title_id, " + ", ".join(
-        f"coalesce(l.{c}, c.{c}) AS {c}" for c in G5) +
+        f"CASE WHEN coalesce({', '.join('l.' + x for x in G5)}) IS NOT NULL THEN l.{c} ELSE c.{c} END AS {c}" for c in G5) +
     " FROM live l FULL JOIN cached c ON l.title_id = c.title_id",
     extra={"live": GUIDE_SQL, "cached": GUIDE_CACHED_SQL}))
 def c15_guide_live_over_cache(spark, sf_dir):
@@ -555,27 +552,34 @@ def g2_merge_keep_last(spark, sf_dir):
            CASE WHEN u.title_id IS NOT NULL THEN u.studio ELSE b.studio END AS studio,
            coalesce(u.title_id IS NOT NULL AND (b.actors_rt IS NULL OR trim(b.actors_rt) = ''), false) AS rescued
     FROM cast_studio b FULL JOIN (
-        SELECT * FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1)
-        WHERE actors_rt IS NOT NULL AND trim(actors_rt) <> '') u ON b.title_id = u.title_id""",
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY pass DESC) AS rn FROM (
+            SELECT *, 0 AS pass FROM c0 UNION ALL SELECT *, 2 FROM c1
+            UNION ALL SELECT title_id, actors_rt, 'again', _ord, 1 FROM c0 WHERE title_id % 3 = 0)
+          WHERE actors_rt IS NOT NULL AND trim(actors_rt) <> '') WHERE rn = 1) u ON b.title_id = u.title_id""",
     extra={"cast_studio": CAST_SQL, **CHUNK_SQL}))
 def g3_upsert_non_blank(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
     c0, c1 = chunks(t)
     base = cast_studio(t).drop("_ord")
-    upd = c0.unionByName(c1).drop("_ord")
-    return M.upsert_non_blank(base, upd, "actors_rt").select("title_id", "actors_rt", "studio", "rescued")
+    again = c0.filter(F.col("title_id") % 3 == 0).withColumn("studio", F.lit("again"))    # repeated updates
+    upd = (c0.withColumn("pass", F.lit(0)).unionByName(again.withColumn("pass", F.lit(1)))
+             .unionByName(c1.withColumn("pass", F.lit(2))).drop("_ord"))
+    return M.upsert_non_blank(base, upd, "actors_rt", order="pass").select("title_id", "actors_rt", "studio", "rescued")
 
 
 @query("g6_append_if_absent", with_views("""
     SELECT title_id, sex_nudity, 'live' AS origin FROM live
-    UNION ALL SELECT title_id, sex_nudity, 'cached' FROM cached c
+    UNION ALL SELECT title_id, CASE WHEN title_id % 3 = 0 THEN 'first' ELSE sex_nudity END, 'cached' FROM cached c
     WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.title_id = c.title_id)""",
     extra={"live": GUIDE_SQL, "cached": GUIDE_CACHED_SQL}))
 def g6_append_if_absent(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
     live = guide(t).select("title_id", "sex_nudity", F.lit("live").alias("origin"))
     cached = guide_cached(t).select("title_id", "sex_nudity", F.lit("cached").alias("origin"))
-    return M.append_if_absent(live, cached)
+    first = cached.filter(F.col("title_id") % 3 == 0).withColumn("sex_nudity", F.lit("first"))   # repeated new ids
+    rows = cached.withColumn("pass", F.lit(1)).unionByName(first.withColumn("pass", F.lit(0)))
+    return M.append_if_absent(live, rows, order="pass")
 
 
 @query("g7_incremental_append_dedupe", with_views("""

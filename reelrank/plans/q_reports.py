@@ -20,8 +20,8 @@ A, B = V.PERSON_A, V.PERSON_B
 
 
 def tag_rows(t):
-    """Distinct (title, tag): title = event user, tag = event type + k mod 10 (value > 60)."""
-    ev = t.events.filter(F.col("value") > 60)
+    """Distinct (title, tag): title = event user, tag = event type + k mod 10."""
+    ev = t.events
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(F.col("user_id").alias("title_id"),
                      F.concat(F.col("event_type"), F.lit("_"), (k % 10).cast("string")).alias("tag")).distinct()
@@ -29,7 +29,7 @@ def tag_rows(t):
 
 TAG_ROWS_SQL = """SELECT DISTINCT user_id AS title_id,
                      event_type || '_' || CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 10 AS VARCHAR) AS tag
-                  FROM events WHERE value > 60"""
+                  FROM events"""
 
 FREQ_SQL = """SELECT tag, count(*) AS n_titles,
                      count(*) / (SELECT count(DISTINCT title_id) FROM tag_rows) AS freq
@@ -173,7 +173,7 @@ def d7_parts():
              "dst": """SELECT user_id, k AS dk, count(*) AS director_count, round_even(avg(rating), 1) AS director_avg FROM (
                    SELECT DISTINCT user_id, title_id, rating, lower(trim(unnest(string_split(coalesce(director, ''), ',')))) AS k FROM history_full)
                    WHERE k <> '' GROUP BY user_id, k HAVING count(*) >= 2""",
-             "cand": f"""SELECT p.user_id, t.title_id, t.genre, t.director FROM title_info t, (VALUES ('{A}'), ('{B}')) p(user_id)""",
+             "cand": f"""SELECT p.user_id, t.title_id, t.genre, t.director FROM title_info t, (SELECT DISTINCT c_mktsegment AS user_id FROM customer) p""",
              "tst": """SELECT h.user_id, k.tag, count(*) AS n, round_even(avg(h.rating), 1) AS ta
                    FROM history_full h JOIN tkeys k ON h.title_id = k.title_id GROUP BY ALL HAVING count(*) >= 5""",
              "top": """SELECT user_id, title_id, tag AS top_tag, ta AS top_tag_avg, n AS top_tag_count FROM (
@@ -200,6 +200,6 @@ def d7_parts():
 def d7_preference_stats(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
     h = V.history_full(t)
-    cands = people_titles(V.title_info(t)).select("user_id", "title_id", "genre", "director")
+    cands = people_titles(V.title_info(t), V.people(t)).select("user_id", "title_id", "genre", "director")
     keys = _tag_keys(spark, t)
     return prefs.preference_stats(h, cands, keys.select("title_id", "tag"), keys)

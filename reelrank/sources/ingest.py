@@ -218,8 +218,10 @@ def validate_guide(df: DataFrame, cols=GUIDE_COLUMNS) -> DataFrame:
 
 def prefer_sources(df: DataFrame, key: str, source_col: str, ranking: list[str],
                    ok_col: str | None = None) -> DataFrame:
-    """One result per key by source preference (e.g. page > model A > model B)."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in ranking]), F.col(source_col))
+    """One result per key by source preference (e.g. page > model A > model B).
+    A source that is not listed comes after all that are."""
+    at = F.array_position(F.array(*[F.lit(s) for s in ranking]), F.col(source_col))
+    rank = F.when(at > 0, at).otherwise(len(ranking) + 1)
     d = df
     if ok_col:
         d = d.filter(F.col(ok_col).isNotNull())
