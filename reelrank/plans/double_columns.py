@@ -29,6 +29,7 @@ DOUBLE_COLUMNS = {
     'd5_tag_frequency': ['freq'],
     'd7_preference_stats': ['avg_overall', 'genre_avg', 'director_avg', 'top_tag_avg'],
     'd8_taste_centroid': ['value'],
+    'i6_promote_if_better': ['new_mae', 'new_r2', 'cur_mae', 'cur_r2'],
     'd9_regression_metrics': ['mae', 'rmse', 'r2'],
     'e1_leave_one_out': ['rating', 'director_avg_rating', 'actor1_avg_rating', 'studio_avg_rating'],
     'e2_dedupe_keep_first': ['rating'],

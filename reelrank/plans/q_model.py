@@ -11,7 +11,7 @@ from ..operators.split import stratified_split
 from ..functions import parse as P
 from . import model as MD
 from . import views as V
-from .q_features import people_titles
+from .q_features import LOO_SQL, entity_sql, people_titles
 from .q_merge import guide, tags_long
 from .registry import query
 from ..operators import merge as M
@@ -148,16 +148,25 @@ def a10_sample_predictions(spark, sf_dir):
     return MD.sample_predictions(MD.predict(test, paths))
 
 
-@query("i6_promote_if_better")
+def _metrics_sql(pred):
+    return f"""SELECT user_id, avg(abs(e)) AS mae,
+           1 - sum(e * e) / nullif(sum((rating - mu) * (rating - mu)), 0.0) AS r2
+    FROM (SELECT l.user_id, l.rating, l.rating - least(greatest(l.{pred}, 1.0), 10.0) AS e,
+                 avg(l.rating) OVER (PARTITION BY l.user_id) AS mu
+          FROM ({LOO_SQL}) l) GROUP BY user_id"""
+
+
+@query("i6_promote_if_better", entity_sql("""
+    SELECT n.user_id, n.mae AS new_mae, n.r2 AS new_r2, c.mae AS cur_mae, c.r2 AS cur_r2,
+           c.mae IS NULL OR c.mae - n.mae >= 0.005 - 1e-12 OR n.r2 - c.r2 >= 0.005 - 1e-12 AS promote
+    FROM chal n LEFT JOIN champ c ON n.user_id = c.user_id""",
+    {"chal": _metrics_sql("director_avg_rating"), "champ": _metrics_sql("actor1_avg_rating")}))
 def i6_promote_if_better(spark, sf_dir):
-    """Challenger = boosted trees; champion = the leave-one-out director mean."""
-    paths = model_paths(spark, sf_dir)
-    rows = train_rows(spark, sf_dir)
-    test = rows.filter(F.col("is_test"))
-    chal = MD.evaluate(MD.predict(test, paths))
-    t = V.Tables(spark, sf_dir)
-    loo = enc.leave_one_out(V.history_full(t)).join(test.select("user_id", "title_id"), ["user_id", "title_id"])
-    champ = MD.evaluate(loo.withColumn("prediction", F.col("director_avg_rating")))
+    """The rule on two metric tables: challenger = the leave-one-out director
+    mean, champion = the first actor's."""
+    loo = enc.leave_one_out(V.history_full(V.Tables(spark, sf_dir)))
+    chal, champ = (MD.evaluate(loo.withColumn("prediction", F.col(c)))
+                   for c in ("director_avg_rating", "actor1_avg_rating"))
     return MD.promote_if_better(chal, champ)
 
 
@@ -184,16 +193,16 @@ def i5_explain(spark, sf_dir):
 @query("e3_top_drivers_model")
 def e3_top_drivers_model(spark, sf_dir):
     c, _ = _contributions(spark, sf_dir)
-    return X.top_drivers(c)
+    return X.top_drivers(c.filter("contrib <> 0"))
 
 
 @query("e4_top_signed_model")
 def e4_top_signed_model(spark, sf_dir):
     c, _ = _contributions(spark, sf_dir)
-    return X.top_signed(c)
+    return X.top_signed(c.filter("contrib <> 0"))
 
 
 @query("d10_feature_importance_model")
 def d10_feature_importance_model(spark, sf_dir):
     c, _ = _contributions(spark, sf_dir)
-    return feature_importance(c, 15)
+    return feature_importance(c.filter("contrib <> 0"), 15)
