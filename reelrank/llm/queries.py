@@ -122,6 +122,33 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def _chat_sql() -> str:
+    def escaped(c):
+        out = f"replace({c}, '\\', '\\\\')"
+        for mark in chat.CONTROL:
+            out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+        return out
+    marks = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat.ROLE_MARKS.items())
+    other = len(chat.OTHER_OPEN + chat.OTHER_BODY + chat.OTHER_CLOSE)
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+u AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({escaped("text")}) + CASE WHEN prev = role THEN {len(chat.NEXT)}
+           ELSE CASE role {marks} ELSE {other} + length({escaped("role")}) END END) AS BIGINT) AS formatted_chars
+FROM u GROUP BY conv_id
+"""
+
+
+ORACLE["op7_chat_format"] = _chat_sql()
+
+
 @query
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
