@@ -199,8 +199,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, trees: int =
     met = dealt.groupBy(*block).cogroup(visits.groupBy(*block)).applyInPandas(
         rank, "head long, near array<struct<far:double,id:long>>")
     # at most trees x leaves lists of k + 1 for a query
-    best = met.groupBy("head").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1)
-                                   .alias("near"))
+    best = met.groupBy("head").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("all"))
+    # a vector met in several trees stands several times, side by side
+    best = best.select("head", F.slice(F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1))), 1, k + 1)
+                       .alias("near"))
     named = asked.join(heads.withColumnRenamed("vec", "_vec"), (F.col("vec") == F.col("_vec")) & (asked.h == heads.h)).select(
         F.col("id").alias("query_id"), "head")
     return (named.join(best, "head")
