@@ -88,8 +88,8 @@ def op3_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by scanning flat files of them."""
     tokenizer, separator = public_tokenizers.path("byte_bpe_50k.json"), 50256
     written = token_scan.write_flat_files(table(spark, sf_dir, "documents"),
-                                          token_files.scratch_folder(spark, "flat-tokens"), tokenizer, separator)
-    found = token_scan.scan_flat_files(written.select("part", "path").distinct(), separator)
+                                          token_files.scratch_folder(spark, "flat-tokens"), tokenizer, separator, width=2)
+    found = token_scan.scan_flat_files(written, separator, width=2)
     return written.join(found, ["part", "ordinal"]).select("doc_id", "part", "start", "n_tokens", "ended")
 
 

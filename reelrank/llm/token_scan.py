@@ -1,7 +1,7 @@
 """Token counts of flat, unindexed token files (operator 3).
 
-A flat file is a run of little-endian unsigned 32-bit ids, documents ended by
-a separator id, and nothing else.  Files are read in blocks of fixed size, on
+A flat file is a run of little-endian unsigned ids of two or four bytes,
+documents ended by a separator id, and nothing else.  Files are read in blocks of fixed size, on
 any executor and in any order; a vectorised search finds the separators of a
 block.  A document may span blocks: a prefix scan over the blocks' summaries
 carries the last separator and the document count across block boundaries.
@@ -20,19 +20,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship_package
-from .token_files import encoder, in_chunks, sorted_texts
+from .token_files import encoder, in_chunks
 
 BLOCK = 1 << 20     # ids in a block
+KINDS = {2: "<u2", 4: "<u4"}     # by the bytes of an id
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_flat_files(docs: DataFrame, folder: str, tokenizer_file: str, separator: int, *,
+def write_flat_files(docs: DataFrame, folder: str, tokenizer_file: str, separator: int, *, width: int = 4,
                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode ``docs`` by ascending id to flat files; one row per document:
-    part, ordinal (in the file), doc_id, path.
+    """Encode ``docs``, as they stand in their partitions, to a flat file each.
+
+    One row per document: part, ordinal (in the file), doc_id, path (of the
+    file, in the row of its first document only).  ``width`` is the bytes of
+    an id; two hold a vocabulary of up to 65,536.
 
     ``folder`` must be shared by all executors.  A task writes a file of its
     own name, so that a repeated task cannot disturb the first one's file;
@@ -54,19 +58,24 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer_file: str, separato
             for whole in batches:
                 for batch in in_chunks(whole, "text"):
                     ids, _ = encode_texts(batch.column("text").to_pylist())
-                    out.write(ids.astype("<u4", copy=False).tobytes())
+                    if width == 2 and len(ids) and ids.max() > 0xFFFF:
+                        raise ValueError("an id needs more than two bytes")
+                    out.write(ids.astype(KINDS[width], copy=False).tobytes())
                     n = batch.num_rows
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(ordinal, ordinal + n)),
-                         batch.column("doc_id"), pa.array([path] * n)], ["part", "ordinal", "doc_id", "path"])
+                         batch.column("doc_id"), pa.array([path if ordinal + i == 0 else None for i in range(n)], pa.string())],
+                        ["part", "ordinal", "doc_id", "path"])
                     ordinal += n
 
-    return checkpoint(sorted_texts(docs, doc_id, text).mapInArrow(
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return checkpoint(texts.mapInArrow(
         write, "part int, ordinal long, doc_id long, path string"))
 
 
-def scan_flat_files(files: DataFrame, separator: int, block: int = BLOCK) -> DataFrame:
-    """Documents of flat files; ``files`` holds part (order) and path, one row each.
+def scan_flat_files(files: DataFrame, separator: int, block: int = BLOCK, width: int = 4) -> DataFrame:
+    """Documents of flat files; ``files`` holds part (order) and path, one row
+    each (rows without a path are passed over).
 
     Columns: part, ordinal (in its file), start (ids before it in its file),
     n_tokens (with the separator), ended (false for ids after a file's last
@@ -81,7 +90,7 @@ def scan_flat_files(files: DataFrame, separator: int, block: int = BLOCK) -> Dat
             found = []
             for path in batch.column("path").to_pylist():
                 store, inside = _open(path)
-                found.append(store.get_file_info(inside).size // 4)
+                found.append(store.get_file_info(inside).size // width)
             yield batch.append_column("ids", pa.array(found, pa.int64()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +99,14 @@ def scan_flat_files(files: DataFrame, separator: int, block: int = BLOCK) -> Dat
                 store, inside = _open(row["path"])
                 begin = row["block"] * block
                 with store.open_input_file(inside) as f:
-                    data = f.read_at(4 * min(block, row["ids"] - begin), 4 * begin)
-                at = begin + np.flatnonzero(np.frombuffer(data, "<u4") == separator)
+                    data = f.read_at(width * min(block, row["ids"] - begin), width * begin)
+                at = begin + np.flatnonzero(np.frombuffer(data, KINDS[width]) == separator)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["part"]], pa.int32()), pa.array([row["block"]], pa.int64()),
                      pa.array([row["ids"]], pa.int64()), pa.array([at], pa.list_(pa.int64()))],
                     ["part", "block", "ids", "ends"])
 
-    listed = files.select(F.col("part").cast("int").alias("part"), "path")
+    listed = files.where("path is not null").select(F.col("part").cast("int").alias("part"), "path")
     sized = listed.mapInArrow(sizes, "part int, path string, ids long").where("ids > 0")
     blocks = sized.withColumn("block", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("ids") - 1) / block).cast("long"))))
