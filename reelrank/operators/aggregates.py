@@ -21,8 +21,8 @@ def exact_median(df: DataFrame, col: str, by: list[str], accuracy: int = 10_000)
 
     1. ``percentile_approx`` brackets the middle ranks of each group (rank
        error <= n / accuracy, so the bracket holds ~4n / accuracy rows);
-    2. rows below the bracket are only counted; rows inside it are ranked
-       (a window over the bracket only), which gives the exact middle values;
+    2. rows below the bracket are only counted; the distinct values inside it
+       are ranked with their counts, which gives the exact middle values;
     3. a group whose bracket misses the middle ranks (possible only for tiny
        or odd groups) is answered by the exact ``median`` on that group alone.
     """
@@ -39,14 +39,19 @@ def exact_median(df: DataFrame, col: str, by: list[str], accuracy: int = 10_000)
                                 F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_in"))
     ok = (counts.join(st, by)
                 .filter((F.col("_below") <= F.col("_rlo")) & (F.col("_below") + F.col("_in") > F.col("_rhi"))))
-    w = Window.partitionBy(*by).orderBy("_v")
-    window_rows = (j.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                    .join(ok.select(*by, "_below"), by)
-                    .withColumn("_r", F.col("_below") + F.row_number().over(w) - 1)
-                    .filter((F.col("_r") == F.col("_rlo")) | (F.col("_r") == F.col("_rhi"))))
-    mids = window_rows.groupBy(*by).agg(
-        F.max(F.when(F.col("_r") == F.col("_rlo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.col("_rhi"), F.col("_v"))).alias("_vhi"),
+    # ties collapse into one row with its count, so a hot value is no hot key
+    tied = (j.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+             .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
+                                     F.first("_rlo").alias("_rlo"), F.first("_rhi").alias("_rhi"))
+             .join(ok.select(*by, "_below"), by)
+             .withColumn("_end", F.col("_below") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))))
+
+    def holds(rank):
+        return (F.col("_end") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
+
+    mids = tied.groupBy(*by).agg(
+        F.max(F.when(holds("_rlo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(holds("_rhi"), F.col("_v"))).alias("_vhi"),
         F.first("_n").alias("_n"), F.first("_rlo").alias("_rlo"))
     frac = (F.col("_n") - 1) / 2.0 - F.col("_rlo")
     exact = mids.select(*by, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("median"))
@@ -57,15 +62,20 @@ def exact_median(df: DataFrame, col: str, by: list[str], accuracy: int = 10_000)
 def median_impute(df: DataFrame, cols: list[str], by: str = "user_id") -> DataFrame:
     """Coerce columns to double and fill nulls with the group's exact median."""
     num = df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in cols})
-    meds = None
-    for c in cols:
-        m = exact_median(num, c, [by]).withColumnRenamed("median", "_med_" + c)
-        meds = m if meds is None else meds.join(m, by, "full")
-    out = num.join(meds, by, "left")
+    out = num.join(group_medians(num, cols, by), by, "left")
     return out.select(*[F.coalesce(F.col(c), F.col("_med_" + c)).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
 
 
+def group_medians(df: DataFrame, cols: list[str], by: str = "user_id") -> DataFrame:
+    """One row per group: the exact medians ``_med_<col>`` of all columns, from
+    one unpivoted pass (null where a column has no value)."""
+    long = df.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
+                                             for c in cols])).alias("_s")).select(by, "_s.c", "_s.v")
+    return (exact_median(long, "v", [by, "c"]).groupBy(by)
+            .agg(*[F.max(F.when(F.col("c") == c, F.col("median"))).alias("_med_" + c) for c in cols]))
+
+
 def scaler_stats(df: DataFrame, cols: list[str], by: str = "user_id") -> DataFrame:
     """D3 (fit): mean and population stddev per group and column."""
     return df.groupBy(by).agg(*[x for c in cols for x in (

@@ -45,8 +45,12 @@ DOUBLE_COLUMNS = {
     'f2_unseen_best_for_a': ['a_pct', 'b_pct', 'imdb_score'],
     'g4_merge_catalog': ['imdb_score'],
     'h21_vibe_pct': ['vibe_pct'],
-    'i1_build_features': ['rating', 'slot_sum'],
+    'a10_samples_checked': ['rating'],
+    'i1_build_features': ['rating', 'slot_sum', 'slot_places'],
+    'i2_embed_text': ['norm'],
+    'i3_evaluation_checked': ['baseline_mae'],
     'i5_standin_contributions': ['value', 'contrib'],
+    'i8_precompute_checked': ['similarity'],
     'i8_flagship_unseen_ranked': ['pct', 'similarity', 'vibe_pct'],
     'k2_incremental_score': ['a_pct', 'b_pct'],
 }

@@ -29,38 +29,51 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions.display import clip_rating, match_pct
-from ..functions.fixed import (DECADE_COLUMNS, GBT_PARAMS, GUIDE_COLUMNS, PROMOTION_MARGIN,
-                               TAG_TAXONOMY)
+from ..functions.fixed import (COUNTRY_NAMES, DECADE_COLUMNS, GBT_PARAMS, GUIDE_COLUMNS, PROMOTION_MARGIN,
+                               RATED_ONE_HOT, TAG_TAXONOMY)
 from ..operators import aggregates as agg
 from ..operators import encode as enc
 from ..session import ensure_checkpoint_dir
 
-NUMERIC = ["imdbRating", "BoxOffice", "Runtime", "Year"]
+# slot -> column of the attribute rows
+NUMERIC_FROM = {"imdbRating": "imdb_score", "BoxOffice": "box_office", "Runtime": "runtime", "Year": "year",
+                "Metascore": "metascore", "imdbVotes": "imdb_votes", "RT_score": "rt_score",
+                "award_wins": "award_wins", "award_noms": "award_noms",
+                "oscar_win": "oscar_win", "oscar_nom": "oscar_nom"}
+NUMERIC = list(NUMERIC_FROM)
+MEDIAN_FILLED = ["imdb_score", "box_office", "runtime", "year", "metascore", "imdb_votes", "rt_score"]
 ENTITY = [f"{k}_{s}" for k in enc.KINDS for s in ("film_count", "avg_rating")]
 POOLED = ["user_avg_rating", "user_n_rated"]
+FLAGS = [*DECADE_COLUMNS, *(f"rated_{k}" for k in RATED_ONE_HOT), "lang_english", "lang_hindi", "lang_other",
+         *COUNTRY_NAMES, "country_other"]
 TAGS = [P.tag_column_name_py(c, v) for c, vs in TAG_TAXONOMY.items() for v in vs]
 GUIDE = ["pg_" + c for c in GUIDE_COLUMNS]
+ROWS_A_PARTITION = 50_000
 
 
 def slot_names(vec_dim: int) -> list[str]:
-    return NUMERIC + ENTITY + POOLED + DECADE_COLUMNS + TAGS + GUIDE + [f"plot_{i}" for i in range(vec_dim)]
+    return NUMERIC + ENTITY + POOLED + FLAGS + TAGS + GUIDE + [f"plot_{i}" for i in range(vec_dim)]
 
 
 def feature_rows(rows: DataFrame, vec_dim: int) -> DataFrame:
     """One ``slots`` array per row from its attribute columns.
 
-    rows: user_id, title_id, imdb_score, box_office, runtime, year, the six
-    entity columns, user_avg_rating, user_n_rated, tag_names array<string>,
-    pg_* ordinals, vec array<float> (null -> zeros), genre string.
+    rows: user_id, title_id, the columns of ``NUMERIC_FROM``, rated, language,
+    country, the six entity columns, user_avg_rating, user_n_rated, tag_names
+    array<string>, pg_* ordinals, vec array<float> (null -> zeros), genre
+    string; ``_med_*`` (``aggregates.group_medians``) fill missing numbers,
+    what is missing after that is 0.
     """
     tag_lits = F.array(*[F.lit(t) for t in TAGS])
     tags = F.transform(tag_lits, lambda n: F.when(
         F.array_contains(F.coalesce(F.col("tag_names"), F.array().cast("array<string>")), n), 1.0)
         .otherwise(0.0))
     vec = F.coalesce(F.transform("vec", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), vec_dim))
-    dec = P.decade_columns("year")
-    scalars = [F.col("imdb_score"), F.col("box_office"), F.col("runtime"), F.col("year")] + \
-              [F.col(c) for c in ENTITY] + [F.col(c) for c in POOLED] + [dec[c] for c in DECADE_COLUMNS]
+    flags = {**P.decade_columns("year"), **P.rated_columns("rated"),
+             **P.language_columns("language"), **P.country_columns("country")}
+    filled = [F.coalesce(F.col(c), F.col("_med_" + c)) if c in MEDIAN_FILLED else F.col(c)
+              for c in NUMERIC_FROM.values()]
+    scalars = filled + [F.col(c) for c in ENTITY + POOLED] + [flags[c] for c in FLAGS]
     scal = F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in scalars])
     guide = F.array(*[F.col(c).cast("double") for c in GUIDE])
     return rows.withColumns({
@@ -109,6 +122,9 @@ def train(train_rows: DataFrame, key: str, mode: str = "pooled", people=None,
     Models are saved once per ``key`` (data version + settings) under the
     shared artifact folder, written to a fresh path and marked complete only
     after the save, so a lost executor or a re-run never reads half a model.
+
+    Boosting runs some six jobs a round; what a round costs on little data is
+    those jobs' tasks, so the rows are held in as few partitions as they fill.
     """
     spark = train_rows.sparkSession
     p = {**GBT_PARAMS, **(params or {})}
@@ -118,14 +134,40 @@ def train(train_rows: DataFrame, key: str, mode: str = "pooled", people=None,
     for u, rows in groups.items():
         path = artifact_dir(spark, json.dumps([key, mode, u, p], sort_keys=True))
         if not _exists(spark, path):
-            data = _with_slot_vec(rows).select("user_id", "title_id", "slot_vec", "genres", "rating")
-            model = _pipeline(params=p).fit(data.cache())
+            data = _with_slot_vec(rows).select("user_id", "title_id", "slot_vec", "genres", "rating").cache()
+            parts = max(4, data.count() // ROWS_A_PARTITION)
+            few = data.coalesce(parts).cache() if data.rdd.getNumPartitions() > parts else data
+            model = _pipeline(params=p).fit(few)
+            few.unpersist()
+            data.unpersist()
             model.write().overwrite().save(path + "/model")
             _mark(spark, path)
         out[u] = path
     return out
 
 
+def data_version(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the files behind ``paths``: names, sizes and times, read
+    through Spark, so that any change of the data makes a new version."""
+    files = None
+    for p in paths:
+        one = spark.read.parquet(p).select(F.lit(p).alias("p"), "_metadata.file_name", "_metadata.file_size",
+                                           "_metadata.file_modification_time").distinct()
+        files = one if files is None else files.unionByName(one)
+    row = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(20,0)"))).first()
+    return f"{row[0]}-{row[1]}"
+
+
+def stored(spark: SparkSession, key: str, build) -> DataFrame:
+    """The table that ``build()`` makes, written once per ``key`` to the shared
+    artifact folder and read from there."""
+    path = artifact_dir(spark, key)
+    if not _exists(spark, path):
+        build().write.mode("overwrite").parquet(path + "/rows")
+        _mark(spark, path)
+    return spark.read.parquet(path + "/rows")
+
+
 def predict(rows: DataFrame, paths: dict[str, str]) -> DataFrame:
     """Apply the model(s): pooled path '*' or one path per user_id."""
     data = _with_slot_vec(rows)

@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from ..operators import encode as enc
 from ..operators import explain as X
-from ..operators.aggregates import feature_importance
+from ..operators.aggregates import feature_importance, group_medians
 from ..operators.split import stratified_split
 from ..functions import parse as P
+from ..functions.display import clip_rating
 from . import model as MD
 from . import views as V
-from .q_features import LOO_SQL, entity_sql, people_titles
+from .q_features import ENTITY_CTES, LOO_SQL, entity_sql, people_titles
+from .q_ingest import FLAGS_SQL, FLAT_SQL, REPLY_SQL, flat
 from .q_merge import guide, tags_long
 from .registry import query
 from ..operators import merge as M
 
-A, B = V.PERSON_A, V.PERSON_B
 VEC_DIM = 64
 
 
@@ -25,98 +26,156 @@ VEC_DIM = 64
 def _title_attrs(spark, t):
     ti = V.title_info(t)
     cb = V.catalog_base(t).select("title_id", "imdb_score", "year")
+    meta = flat(spark, t.sf_dir).select("title_id", "metascore", "imdb_votes", "rt_score", "award_wins", "award_noms",
+                                        "oscar_win", "oscar_nom", "rated", "language", "country")
     g = M.join_guide(ti.select("title_id"), guide(t))
     tn = (tags_long(spark, t).select("title_id", P.tag_column_name("category", "value").alias("n"))
           .groupBy("title_id").agg(F.collect_list("n").alias("tag_names")))   # <= tags per title
     vec = t.embeddings.select(F.col("vec_id").alias("title_id"), F.col("embedding").alias("vec"))
-    return (ti.join(cb, "title_id").join(g, "title_id", "left")
+    return (ti.join(cb, "title_id").join(g, "title_id", "left").join(meta, "title_id", "left")
               .join(tn, "title_id", "left").join(vec, "title_id", "left"))
 
 
-def _user_stats(h):
-    return h.groupBy("user_id").agg(F.avg("rating").alias("user_avg_rating"),
-                                    F.count(F.lit(1)).cast("double").alias("user_n_rated"))
+def _fill_stats(rows):
+    """Per person: average and count of the train rows' ratings, and the
+    medians that fill missing numbers."""
+    train = rows.filter(~F.col("is_test"))
+    return (train.groupBy("user_id").agg(F.avg("rating").alias("user_avg_rating"),
+                                         F.count(F.lit(1)).cast("double").alias("user_n_rated"))
+            .join(group_medians(train, MD.MEDIAN_FILLED), "user_id"))
 
 
-def train_rows(spark, sf_dir, people=(A, B)):
+def _rated_rows(spark, t):
+    """Everyone's ratings with attributes and the hold-out flag, written once
+    per data version: the medians, the averages and the rows all read them."""
+    def build():
+        return stratified_split(enc.leave_one_out(V.history_full(t)).join(_title_attrs(spark, t), "title_id"))
+    return MD.stored(spark, "rated|" + _version(spark, t.sf_dir), build)
+
+
+def train_rows(spark, sf_dir):
+    """Feature rows of everyone's ratings, with the hold-out flag.  The fill
+    statistics come from the train rows alone."""
     t = V.Tables(spark, sf_dir)
-    h = V.history_full(t).filter(F.col("user_id").isin(list(people)))
-    loo = enc.leave_one_out(h)
-    rows = (loo.join(_title_attrs(spark, t), "title_id").join(_user_stats(h), "user_id"))
-    rows = MD.feature_rows(rows, VEC_DIM)
-    return stratified_split(rows.select("user_id", "title_id", "rating", "slots", "genres"))
+    rows = _rated_rows(spark, t)
+    rows = MD.feature_rows(rows.join(_fill_stats(rows), "user_id"), VEC_DIM)
+    return rows.select("user_id", "title_id", "rating", "slots", "genres", "is_test")
 
 
-def score_rows(spark, sf_dir, people=(A, B)):
+def score_rows(spark, sf_dir):
+    """Feature rows of every (person, title)."""
     t = V.Tables(spark, sf_dir)
-    h = V.history_full(t).filter(F.col("user_id").isin(list(people)))
-    cand = people_titles(V.title_info(t), people)
-    look = enc.lookup_entity_stats(cand, enc.entity_stats(h), enc.overall_average(h))
-    rows = look.join(_title_attrs(spark, t), "title_id").join(_user_stats(h), "user_id")
+    h = V.history_full(t)
+    cand = people_titles(V.title_info(t), V.people(t)).select("user_id", "title_id", "director", "actors", "studio")
+    look = enc.lookup_entity_stats(cand, enc.entity_stats(h), enc.overall_average(h)).drop("director", "actors", "studio")
+    rows = look.join(_title_attrs(spark, t), "title_id").join(_fill_stats(_rated_rows(spark, t)), "user_id")
     return MD.feature_rows(rows, VEC_DIM).select("user_id", "title_id", "slots", "genres")
 
 
+INPUTS = ["lineitem", "orders", "customer", "part", "documents", "labels", "embeddings"]
+
+
+def _version(spark, sf_dir):
+    """Of the inputs and of the feature list: another of either makes other
+    tables and another model."""
+    data = MD.data_version(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in INPUTS])
+    return f"{data}|{MD.slot_names(VEC_DIM)}"
+
+
+def stored_train_rows(spark, sf_dir):
+    return MD.stored(spark, "train|" + _version(spark, sf_dir), lambda: train_rows(spark, sf_dir))
+
+
 def model_paths(spark, sf_dir):
-    rows = train_rows(spark, sf_dir).filter(~F.col("is_test"))
-    return MD.train(rows, key=f"pooled-v1|{sf_dir}", mode="pooled")
+    rows = stored_train_rows(spark, sf_dir).filter(~F.col("is_test"))
+    return MD.train(rows, key="pooled|" + _version(spark, sf_dir), mode="pooled")
+
+
+def stored_scores(spark, sf_dir, paths):
+    """I4's result with the feature vectors, written once per model."""
+    return MD.stored(spark, "scores|" + paths["*"], lambda: MD.score(score_rows(spark, sf_dir), paths))
 
 
 # ---------------------------------------------------------------- I1, I2
 
-def _i1_sql():
-    from .oracle_views import with_views
-    from .q_features import ENTITY_CTES, LOO_SQL
-    from .q_merge import GUIDE_SQL, TAG_CTES
-    ords = " + ".join(
-        f"coalesce(CASE g.{c} WHEN 'None' THEN 0 WHEN 'Mild' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Severe' THEN 3 END, -1)"
-        for c in ("sex_nudity", "violence_gore", "profanity", "alcohol_drugs", "intensity"))
-    extra = {**ENTITY_CTES, **TAG_CTES, "guide": GUIDE_SQL, "loo": LOO_SQL,
-             "ustats": "SELECT user_id, avg(rating) AS mu, CAST(count(*) AS DOUBLE) AS n FROM history_full GROUP BY user_id",
-             "ntags": "SELECT title_id, count(*) AS k FROM (SELECT DISTINCT title_id, category, value FROM tags_long) GROUP BY title_id",
-             "frows": f"""
-        SELECT l.user_id, l.title_id, l.rating,
-          coalesce(c.imdb_score, 0.0) + coalesce(CAST(t.box_office AS DOUBLE), 0.0)
-          + coalesce(CAST(t.runtime AS DOUBLE), 0.0) + coalesce(CAST(c.year AS DOUBLE), 0.0)
-          + CAST(l.director_film_count AS DOUBLE) + l.director_avg_rating
-          + CAST(l.actor1_film_count AS DOUBLE) + l.actor1_avg_rating
-          + CAST(l.studio_film_count AS DOUBLE) + l.studio_avg_rating
-          + u.mu + u.n + 1.0 + coalesce(CAST(k.k AS DOUBLE), 0.0) + CAST({ords} AS DOUBLE)
-          + coalesce(list_sum(list_transform(e.embedding, lambda v: CAST(v AS DOUBLE))), 0.0) AS slot_sum
+def _split_ctes():
+    """``attrs``: rated rows with their attributes; ``frows``: with the hold-out flag."""
+    nums = ", ".join(f"m.{c}" for c in ("metascore", "imdb_votes", "rt_score", "award_wins", "award_noms",
+                                        "oscar_win", "oscar_nom"))
+    return {**ENTITY_CTES, "loo": LOO_SQL, "replies": REPLY_SQL, "flat": FLAT_SQL,
+            "attrs": f"""
+        SELECT l.*, c.imdb_score, t.box_office, t.runtime, c.year, {nums}
         FROM loo l JOIN title_info t ON l.title_id = t.title_id
-        JOIN catalog_base c ON l.title_id = c.title_id
-        JOIN ustats u ON l.user_id = u.user_id
-        LEFT JOIN guide g ON l.title_id = g.title_id
-        LEFT JOIN ntags k ON l.title_id = k.title_id
-        LEFT JOIN embeddings e ON e.vec_id = l.title_id
-        WHERE l.user_id IN ('{A}', '{B}')""",
-             "split": """
-        SELECT user_id, title_id, COALESCE(rn <= round(n * 0.2), false) AS is_test FROM (
+        JOIN catalog_base c ON l.title_id = c.title_id LEFT JOIN flat m ON l.title_id = m.title_id""",
+            "frows": """
+        SELECT * EXCLUDE (rn, n, bin), bin IS NOT NULL AND rn <= round(n * 0.2) AS is_test FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id, bin ORDER BY md5(CAST(title_id AS VARCHAR) || ':42'), title_id) AS rn,
                     count(*) OVER (PARTITION BY user_id, bin) AS n
-          FROM (SELECT user_id, title_id,
-                       CASE WHEN rating > 0 AND rating <= 3 THEN 0 WHEN rating > 3 AND rating <= 5 THEN 1
+          FROM (SELECT *, CASE WHEN rating > 0 AND rating <= 3 THEN 0 WHEN rating > 3 AND rating <= 5 THEN 1
                             WHEN rating > 5 AND rating <= 7 THEN 2 WHEN rating > 7 AND rating <= 8 THEN 3
-                            WHEN rating > 8 AND rating <= 10 THEN 4 END AS bin FROM frows))"""}
-    n_slots = len(MD.slot_names(VEC_DIM))
-    sql = f"""
-    SELECT f.user_id, f.title_id, f.rating, s.is_test, {n_slots} AS n_slots, round(f.slot_sum, 6) AS slot_sum
-    FROM frows f JOIN split s ON f.user_id = s.user_id AND f.title_id = s.title_id"""
-    return with_views(sql, "history_full", "title_info", "catalog_base", extra=extra)
+                            WHEN rating > 8 AND rating <= 10 THEN 4 END AS bin FROM attrs))"""}
 
 
-@query("i1_build_features", _i1_sql())
-def i1_build_features(spark, sf_dir):
-    r = train_rows(spark, sf_dir)
-    return r.select("user_id", "title_id", "rating", "is_test", F.size("slots").alias("n_slots"),
-                    F.round(F.aggregate("slots", F.lit(0.0), lambda a, x: a + x), 6).alias("slot_sum"))
+def _split_sql(sql, **extra):
+    from .oracle_views import with_views
+    return with_views(sql, "history_full", "title_info", "catalog_base", extra={**_split_ctes(), **extra})
 
 
-@query("i2_embed_text")
+def _i1_sql():
+    from .q_merge import GUIDE_SQL, TAG_CTES
+    ords = [f"coalesce(CASE g.{c} WHEN 'None' THEN 0 WHEN 'Mild' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Severe' THEN 3 END, -1)"
+            for c in MD.GUIDE_COLUMNS]
+    nums = [f"coalesce(CAST(f.{c} AS DOUBLE), {f'u.med_{c}, ' if c in MD.MEDIAN_FILLED else ''}0.0)"
+            for c in MD.NUMERIC_FROM.values()]
+    decades = ["d < 1970", "d = 1970", "d = 1980", "d = 1990", "d = 2000", "d = 2010", "d >= 2020"]
+    flags = [f"(floor(coalesce(f.year, 2000) / 10) * 10 {x[2:]})" for x in decades]
+    flags += [f"coalesce(w.{c}, {int(c in ('rated_NR', 'lang_other', 'country_other'))})" for c in MD.FLAGS[len(decades):]]
+    tags = ["list_contains(k.names, '{}')".format(n.replace("'", "''")) for n in MD.TAGS]
+    slots = nums + [f"f.{c}" for c in MD.ENTITY] + ["u.mu", "u.n"] + flags + [f"coalesce({x}, false)" for x in tags] + ords
+    listed = ", ".join(f"CAST({x} AS DOUBLE)" for x in slots)
+    meds = ", ".join(f"median({c}) AS med_{c}" for c in MD.MEDIAN_FILLED)
+    return _split_sql(f"""
+    SELECT user_id, title_id, rating, is_test, CAST(len(x) AS INTEGER) AS n_slots,
+           list_sum(list_transform(x, lambda v: v / (1 + abs(v)))) AS slot_sum,
+           list_sum(list_transform(x, lambda v, i: i * (v / (1 + abs(v))))) AS slot_places
+    FROM (SELECT f.user_id, f.title_id, f.rating, f.is_test,
+                 [{listed}] || coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(range({VEC_DIM}), lambda v: 0.0)) AS x
+          FROM frows f JOIN ustats u ON f.user_id = u.user_id
+          LEFT JOIN guide g ON f.title_id = g.title_id LEFT JOIN ntags k ON f.title_id = k.title_id
+          LEFT JOIN flags w ON f.title_id = w.title_id
+          LEFT JOIN embeddings e ON e.vec_id = f.title_id)""",
+        ustats=f"""SELECT user_id, avg(rating) AS mu, CAST(count(*) AS DOUBLE) AS n, {meds}
+                   FROM frows WHERE NOT is_test GROUP BY user_id""",
+        flags=FLAGS_SQL, **TAG_CTES, guide=GUIDE_SQL,
+        ntags="""SELECT title_id, list('tag_' || category || '_' ||
+                 replace(replace(replace(replace(value, '&', 'and'), '/', '_'), ' ', '_'), '-', '_')) AS names
+                 FROM tags_long GROUP BY title_id""")
+
+
+@query("i1_build_features", _i1_sql())
+def i1_build_features(spark, sf_dir):
+    """Slots are compared by two sums over x / (1 + |x|), one weighted by the
+    slot's place, so that a swap of slots shows."""
+    def squash(x):
+        return x / (1 + F.abs(x))
+    places = F.transform("slots", lambda x, i: (i + 1) * squash(x))
+    return train_rows(spark, sf_dir).select(
+        "user_id", "title_id", "rating", "is_test", F.size("slots").alias("n_slots"),
+        F.aggregate("slots", F.lit(0.0), lambda a, x: a + squash(x)).alias("slot_sum"),
+        F.aggregate(places, F.lit(0.0), lambda a, x: a + x).alias("slot_places"))
+
+
+@query("i2_embed_text", rf"""
+    SELECT doc_id, CAST({VEC_DIM} AS INTEGER) AS dim,
+           CAST(CASE WHEN regexp_matches(coalesce(text, ''), '\w\w') THEN 1 ELSE 0 END AS DOUBLE) AS norm
+    FROM documents""")
 def i2_embed_text(spark, sf_dir):
-    docs = V.Tables(spark, sf_dir).documents.select("doc_id", "text")
+    """Width and length of each vector: 1, or 0 for a text without a word of
+    two letters."""
+    docs = V.Tables(spark, sf_dir).documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = MD.embed_text(docs, "text", dim=VEC_DIM)
     return out.select("doc_id", F.size("vec").alias("dim"),
-                      F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+                      F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
 # ---------------------------------------------------------------- I3, I4, A10, I6
@@ -126,26 +185,59 @@ def i3_train_and_evaluate(spark, sf_dir):
     """Fit (once) and report hold-out MAE / RMSE / R^2 per person with the
     'predict the mean' baseline beside it."""
     paths = model_paths(spark, sf_dir)
-    test = train_rows(spark, sf_dir).filter(F.col("is_test"))
-    pred = MD.predict(test, paths)
-    m = MD.evaluate(pred)
-    base = (test.join(train_rows(spark, sf_dir).filter(~F.col("is_test"))
-                      .groupBy("user_id").agg(F.avg("rating").alias("_mu")), "user_id")
-                .groupBy("user_id").agg(F.avg(F.abs(F.col("rating") - F.col("_mu"))).alias("baseline_mae")))
-    return m.join(base, "user_id")
+    rows = stored_train_rows(spark, sf_dir)
+    test = rows.filter(F.col("is_test"))
+    mean = rows.filter(~F.col("is_test")).groupBy("user_id").agg(F.avg("rating").alias("_mu"))
+    base = (test.join(mean, "user_id").groupBy("user_id")
+                .agg(F.avg(F.abs(F.col("rating") - F.col("_mu"))).alias("baseline_mae"),
+                     F.count(F.lit(1)).alias("n_test")))
+    return MD.evaluate(MD.predict(test, paths)).join(base, "user_id")
+
+
+@query("i3_evaluation_checked", _split_sql("""
+    SELECT t.user_id, count(*) AS n_test, avg(abs(t.rating - m.mu)) AS baseline_mae, true AS metrics_ok
+    FROM frows t JOIN (SELECT user_id, avg(rating) AS mu FROM frows WHERE NOT is_test GROUP BY user_id) m
+      ON t.user_id = m.user_id WHERE t.is_test GROUP BY t.user_id"""))
+def i3_evaluation_checked(spark, sf_dir):
+    """I3 beside SQL: hold-out rows and baseline; the metrics must lie in range."""
+    m = i3_train_and_evaluate(spark, sf_dir)
+    ok = F.col("mae").between(0, F.col("rmse")) & (F.col("rmse") <= 9) & (F.col("r2") <= 1)
+    return m.select("user_id", "n_test", "baseline_mae", F.coalesce(ok, F.lit(False)).alias("metrics_ok"))
 
 
 @query("i4_score_catalog")
 def i4_score_catalog(spark, sf_dir):
     paths = model_paths(spark, sf_dir)
-    return MD.score(score_rows(spark, sf_dir), paths).drop("features")
+    return stored_scores(spark, sf_dir, paths).drop("features")
+
+
+PEOPLE_TITLES_SQL = """(SELECT DISTINCT c_mktsegment AS user_id FROM customer) p,
+                       (SELECT p_partkey AS title_id FROM part) t"""
+
+
+@query("i4_scores_checked", f"SELECT user_id, title_id, true AS score_ok, true AS pct_ok FROM {PEOPLE_TITLES_SQL}")
+def i4_scores_checked(spark, sf_dir):
+    """I4 beside SQL: one score for every person and title, within 1 to 10,
+    and its match % by H20's formula."""
+    s = i4_score_catalog(spark, sf_dir)
+    off = F.abs(F.col("pct") - F.col("score") * 10)
+    return s.select("user_id", "title_id", F.coalesce(F.col("score").between(1, 10), F.lit(False)).alias("score_ok"),
+                    F.coalesce(off <= 0.0501, F.lit(False)).alias("pct_ok"))
 
 
 @query("a10_sample_predictions")
 def a10_sample_predictions(spark, sf_dir):
     paths = model_paths(spark, sf_dir)
-    test = train_rows(spark, sf_dir).filter(F.col("is_test"))
-    return MD.sample_predictions(MD.predict(test, paths))
+    return MD.sample_predictions(MD.predict(stored_train_rows(spark, sf_dir).filter(F.col("is_test")), paths))
+
+
+@query("a10_samples_checked", _split_sql("""
+    SELECT user_id, title_id, rating, true AS in_range FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY title_id) AS rn FROM frows WHERE is_test)
+    WHERE rn <= 10"""))
+def a10_samples_checked(spark, sf_dir):
+    return a10_sample_predictions(spark, sf_dir).select(
+        "user_id", "title_id", "rating", F.coalesce(F.col("predicted").between(1, 10), F.lit(False)).alias("in_range"))
 
 
 def _metrics_sql(pred):
@@ -174,7 +266,7 @@ def i6_promote_if_better(spark, sf_dir):
 
 def _contributions(spark, sf_dir):
     paths = model_paths(spark, sf_dir)
-    scored = MD.score(score_rows(spark, sf_dir), paths)
+    scored = stored_scores(spark, sf_dir, paths)
     path = paths["*"]
     from pyspark.ml import PipelineModel
     gbt_uid = PipelineModel.load(path + "/model").stages[2].uid
@@ -190,6 +282,19 @@ def i5_explain(spark, sf_dir):
     return c.select("user_id", "title_id", "feature", "value", "contrib", "base", "walk_pred")
 
 
+@query("i5_explanations_checked", f"SELECT user_id, title_id, true AS additive FROM {PEOPLE_TITLES_SQL}")
+def i5_explanations_checked(spark, sf_dir):
+    """I5 beside SQL: every person and title is explained, and base plus
+    contributions is the prediction that was scored."""
+    c, scored = _contributions(spark, sf_dir)
+    total = (c.groupBy("user_id", "title_id")
+             .agg((F.first("base") + F.sum("contrib")).alias("sum"), F.first("walk_pred").alias("walk"))
+             .withColumn("clipped", clip_rating("sum")))
+    ok = (F.abs(F.col("sum") - F.col("walk")) < 1e-6) & (F.abs(F.col("clipped") - F.col("score")) < 1e-6)
+    return (scored.select("user_id", "title_id", "score").join(total, ["user_id", "title_id"], "left")
+            .select("user_id", "title_id", F.coalesce(ok, F.lit(False)).alias("additive")))
+
+
 @query("e3_top_drivers_model")
 def e3_top_drivers_model(spark, sf_dir):
     c, _ = _contributions(spark, sf_dir)

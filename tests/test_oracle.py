@@ -19,6 +19,16 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_rounds():
+    """What the model queries are checked for holds at any number of rounds."""
+    from reelrank.plans import model
+    full = model.GBT_PARAMS
+    model.GBT_PARAMS = {**full, "maxIter": 10}
+    yield
+    model.GBT_PARAMS = full
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     s = E.queries()[name](spark, SF).toPandas()
