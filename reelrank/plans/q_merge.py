@@ -618,7 +618,7 @@ def f4_daily_budget(spark, sf_dir):
     return M.quota(todo, [F.col("title_id")], 100)
 
 
-# Provider names used to exercise the service-key rules.
+# Provider names that exercise the service-key rules.
 PROVIDERS = ["Netflix", "HBO Max", "Amazon Prime Video", "Disney Plus", "Hulu", "Apple TV+",
              "Peacock", "Paramount Plus", "Starz", "Hulu Live TV", "Prime Video Channel", "MAX",
              "Disney+", "Showmax", "Paramount+ Amazon Channel", "Pluto TV"]

@@ -78,11 +78,15 @@ def enrich_batch(batch: DataFrame, batch_id: int, table_dir: str) -> DataFrame:
 
 def incremental_enrich(spark: SparkSession, input_dir: str, table_dir: str, checkpoint_dir: str,
                        catalog_dir: str | None = None,
-                       scorer: Callable[[DataFrame], DataFrame] | None = None) -> None:
+                       scorer: Callable[[DataFrame], DataFrame] | None = None,
+                       files_per_batch: int = 1000) -> None:
     """Run K1 (and K2 when ``catalog_dir`` and ``scorer`` are given) over
-    every file not yet processed, then stop (``availableNow``)."""
+    every file not yet processed, then stop (``availableNow``).
+
+    A batch holds ``files_per_batch`` files at most; each batch costs one
+    pass over the stored ids, so fewer, larger batches suit a backlog."""
     stream = (spark.readStream.schema(REPLY_FILE_SCHEMA)
-                   .option("maxFilesPerTrigger", 1).parquet(input_dir))
+                   .option("maxFilesPerTrigger", files_per_batch).parquet(input_dir))
 
     def body(batch: DataFrame, batch_id: int) -> None:
         stored = enrich_batch(batch, batch_id, table_dir)
