@@ -53,7 +53,10 @@ RULES = [
     ("MPL", ["mpl"]), ("All rights reserved", ["rights"]),
 ]
 # a sentence ends at a line end or at ., !, ?, ; or : before white space or the end of the text
-BREAK = r"[.!?;:]+(?=[ \t\r\n]|$)|[\r\n]+"
+STOP = r"[.!?;:]+(?=[ \t\r\n]|$)"
+BREAK = STOP + r"|[\r\n]+"
+# wrapped lines go on; a line without letter or digit and one that opens with a dated copyright end a sentence
+FLOW_BREAK = STOP + r"|(?i)(?:\r\n|\r(?!\n)|\n)(?=[^\p{L}\p{N}\r\n]*(?:[\r\n]|copyright\s*(?:\(c\)|©|[0-9])))"
 
 
 def normalise(sentence: Column) -> Column:
@@ -62,12 +65,12 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^a-z#]+", " "))
 
 
-def sentence_ids(text: Column) -> Column:
-    """Array of the identifiers of a text's sentences that hold a word, ""
-    where unknown.  Lines that wrap a long licence sentence are also tried
+def sentence_ids(text: Column, ends: str = BREAK) -> Column:
+    """Array of the identifiers of a text's sentences, cut at ``ends``, that
+    hold a word, "" where unknown.  Lines that wrap a long licence sentence are also tried
     joined: see :func:`scan_licenses`."""
     known = F.create_map(*(F.lit(x) for s, i in ((s, i) for i, s in SENTENCES.items()) for x in (s, i)))
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK, -1), normalise), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ends, -1), normalise), lambda s: s != "")
     # only sentences that could be known by length and vocabulary reach the map
     return F.transform(parts, lambda s: F.when(F.length(s) > max(map(len, SENTENCES.values())), "").otherwise(
         F.coalesce(F.try_element_at(known, s), F.lit(""))))
@@ -86,12 +89,11 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", gap: int = 2, licenses
     ``license_sentences`` (identifiers found, in text order).
 
     Sentences are read twice: cut at line ends too, which finds notices that
-    stand in a line of their own, and with line ends as spaces, which finds
-    sentences wrapped over lines; rules are matched to either sequence.  Null
+    stand in a line of their own, and with wrapped lines joined up to a blank
+    line or a copyright line, which finds sentences wrapped over lines; rules are matched to either sequence.  Null
     and empty texts have none.  Existing columns of these names are replaced.
     """
-    unwrapped = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\r\n]+", " ")
-    found = docs.withColumns({"_lines": sentence_ids(F.col(text)), "_flow": sentence_ids(unwrapped)})
+    found = docs.withColumns({"_lines": sentence_ids(F.col(text)), "_flow": sentence_ids(F.col(text), FLOW_BREAK)})
     found = found.withColumns({"_by_line": F.concat(F.lit(","), F.array_join("_lines", ","), F.lit(",")),
                                "_by_flow": F.concat(F.lit(","), F.array_join("_flow", ","), F.lit(","))})
     matched = F.array(*(F.when(F.rlike("_by_line", F.lit(rule_pattern(ids, gap)))

@@ -214,6 +214,49 @@ def test_license_rules(spark):
         ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-2-Clause"], [], [], ["All rights reserved"]]
 
 
+MIT = """MIT License
+{gap}Copyright (c) 2020 Jane Doe
+{gap}Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+{gap}The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+{gap}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND
+"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def found_licenses(spark, texts):
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    return [r.licenses for r in out.orderBy("i").collect()]
+
+
+def test_wrapped_licenses(spark):
+    mit = MIT.format(gap="\n")
+    assert found_licenses(spark, [mit, mit.replace("\n", "\r\n"), BSD, BSD[:BSD.index("3. ")]]) == [
+        ["MIT"], ["MIT"], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-2-Clause"]]
+
+
 def test_pipeline(spark):
     """Stage by stage in Python: who stays, how often, and with which ids."""
     docs = [d for d in rows("documents")]
