@@ -257,6 +257,44 @@ def test_wrapped_licenses(spark):
         ["MIT"], ["MIT"], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-2-Clause"]]
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_license_wording(spark):
+    """Real notices, plain and as comments; notices inside a sentence."""
+    gpl2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    notices = [(MIT.format(gap=""), ["MIT"]), (GPL, ["GPL"]), (gpl2, ["GPL"]), (MPL, ["MPL"]), (APACHE, ["Apache"]),
+               (BSD, ["BSD-2-Clause", "BSD-3-Clause"])]
+    for mark in ("", "# ", " * ", "// "):
+        texts = ["".join(mark + line for line in t.splitlines(True)) for t, _ in notices]
+        assert found_licenses(spark, texts) == [names for _, names in notices], mark
+    inside = ["This project is released under the MIT License.", "Our code, licensed under the Apache License, Version 2.0, is free",
+              "The photos are licensed under CC BY-NC 4.0 by their owners", "Copyright 2020 Jane Doe, all rights reserved",
+              "My tool is licensed under the GNU General Public License v3.0", "unlicensed under the MIT Licenses"]
+    assert found_licenses(spark, inside) == [["MIT"], ["Apache"], ["CC-BY-NC"], ["All rights reserved"], ["GPL"], []]
+    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
+
+
 def test_pipeline(spark):
     """Stage by stage in Python: who stays, how often, and with which ids."""
     docs = [d for d in rows("documents")]
