@@ -8,7 +8,7 @@ passes over the source first, then the leading part of one more pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -55,6 +55,29 @@ def source_targets(sources: DataFrame, weights: tuple, max_epochs: int) -> DataF
                                                F.lit(at) * F.col("weight")))
 
 
+def _placed(docs: DataFrame, *, weights: tuple = (5, 2, 1), max_epochs: int = 3, seed: int = 1,
+            doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per distinct (doc_id, source, size, mix_key) of ``docs``, with
+    its ``copies``, the source's full passes (``epochs``) and the words that the
+    cut pass still has for it and what follows (``room``, below 0 past the cut)."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                       word_count(F.col(text)).alias("size"),
+                       mix_key(F.col(doc_id), F.col(text), seed).alias("mix_key"))
+    # equal rows are one weighted row, so that no key is hot in the sort
+    slim = checkpoint(slim.groupBy("doc_id", "source", "size", "mix_key").agg(F.count("*").alias("copies")))
+    sources = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
+    targets = source_targets(sources, weights, max_epochs)
+    joined = slim.join(targets.withColumnRenamed("source", "_source"),
+                       F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight", "cap")
+    order = [F.col("rank"), F.col("mix_key"), F.col("doc_id"), F.col("size")]
+    placed = running_sums(in_order(joined, *order), order,
+                          {"before": F.col("size") * F.col("copies")}, ["rank"])
+    budget = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    left = budget - F.col("epochs") * F.col("source_size")
+    return placed.withColumn("epochs", epochs.cast("long")).withColumn("room", (left - F.col("before")).cast("long"))
+
+
 def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), max_epochs: int = 3, seed: int = 1,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: what the mix takes of it.
@@ -70,24 +93,8 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), max_epochs: int = 3, see
     repeated rows each get their own row; an empty table gives no rows; other
     columns are ignored.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                       word_count(F.col(text)).alias("size"),
-                       mix_key(F.col(doc_id), F.col(text), seed).alias("mix_key"))
-    # equal rows are one weighted row, so that no key is hot in the sort
-    slim = checkpoint(slim.groupBy("doc_id", "source", "size", "mix_key").agg(F.count("*").alias("copies")))
-    sources = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
-    targets = source_targets(sources, weights, max_epochs)
-    joined = slim.join(targets.withColumnRenamed("source", "_source"),
-                       F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight", "cap")
-    order = [F.col("rank"), F.col("mix_key"), F.col("doc_id")]
-    placed = running_sums(in_order(joined, *order), order,
-                          {"before": F.col("size") * F.col("copies")}, ["rank"])
-    budget = F.floor(F.col("target") + 0.5)
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    left = budget - F.col("epochs") * F.col("source_size")
-    begins = F.col("before") + F.col("copy") * F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left - begins))
-    return (placed.withColumn("epochs", epochs.cast("long"))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("copy") * F.col("size")))
+    return (_placed(docs, weights=weights, max_epochs=max_epochs, seed=seed, doc_id=doc_id, text=text, source=source)
             .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
             .withColumn("part", part.cast("long"))
             .select("doc_id", "source", "size", "source_size", "target", "epochs", "part",
@@ -99,17 +106,30 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
 
     Documents stay whole here: the one in which a source's cut falls stands in
     the last pass if at least half its words lie before the cut.  Columns are
-    those of ``docs``.  Repeated rows are matched to their decisions in turn.
+    those of ``docs``.  Rows are matched to their decisions by id, source, size
+    and key; only where the cut falls among rows that share all four are these
+    numbered, in the order of their hashes.
     """
-    from pyspark.sql import Window
-    doc_id, text = kw.get("doc_id", "doc_id"), kw.get("text", "text")
-    plan = mix(docs, **kw).select(
-        F.col("mix_key").alias("_mix_key"), F.col("copy").cast("long").alias("_mix_copy"),
-        (F.col("epochs") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1)
-         .otherwise(0)).alias("_mix_passes")).where("_mix_passes > 0")
-    turn = Window.partitionBy("_mix_key").orderBy(F.lit(0))
-    rows = docs.withColumn("_mix_key", mix_key(F.col(doc_id), F.col(text), kw.get("seed", 1)))
-    rows = rows.withColumn("_mix_copy", (F.row_number().over(turn) - 1).cast("long"))
-    return (rows.join(plan, ["_mix_key", "_mix_copy"])
+    doc_id, text, source = kw.get("doc_id", "doc_id"), kw.get("text", "text"), kw.get("source", "source")
+    size, copies = F.col("size"), F.col("copies")
+    # so many of a row's copies have at least half their words before the cut
+    extra = F.when(size > 0, F.greatest(F.lit(0), F.least(copies, F.floor((2 * F.col("room") + size) / (2 * size))))).otherwise(0)
+    group = ["doc_id", "source", "size", "mix_key"]
+    plan = _placed(docs, **kw).withColumn("extra", extra.cast("long")).select(
+        *(F.col(c).alias(f"_mix_{c}") for c in [*group, "copies", "epochs", "extra"]))
+    plan = checkpoint(plan.where("_mix_epochs + _mix_extra > 0"))
+    rows = docs.withColumns({"_row_doc_id": F.col(doc_id), "_row_source": F.col(source), "_row_size": word_count(F.col(text)),
+                             "_row_mix_key": mix_key(F.col(doc_id), F.col(text), kw.get("seed", 1))})
+    same = [F.col(f"_row_{c}").eqNullSafe(F.col(f"_mix_{c}")) for c in ("doc_id", "source")]
+    same += [F.col(f"_row_{c}") == F.col(f"_mix_{c}") for c in ("size", "mix_key")]
+    parted = "_mix_extra > 0 and _mix_extra < _mix_copies"
+    whole = rows.join(plan.where(f"not ({parted})"), same).withColumn(
+        "_mix_passes", F.col("_mix_epochs") + F.when(F.col("_mix_extra") > 0, 1).otherwise(0))
+    # one such group per source at most
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    turn = Window.partitionBy(*(f"_mix_{c}" for c in group)).orderBy(F.md5(F.col(text).cast("binary")), F.xxhash64(*hashed))
+    cut = rows.join(F.broadcast(plan.where(parted)), same).withColumn(
+        "_mix_passes", F.col("_mix_epochs") + F.when(F.row_number().over(turn) <= F.col("_mix_extra"), 1).otherwise(0))
+    return (whole.unionByName(cut).where("_mix_passes > 0")
             .withColumn("_mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_passes"))))
             .select(*docs.columns))

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -348,3 +348,22 @@ def test_mix_targets(spark):
     assert abs(sum(r[0].target for r in by.values()) - sum(r["size"] for r in out)) < 1e-6
     for found in by.values():
         assert abs(sum(r.taken for r in found) - found[0].target) <= 0.5
+
+
+def test_mixed_rows(spark):
+    """Repeated ids with other texts and sources: every row has its own decision."""
+    table = [(1, "a b c", "s"), (1, "d e f g", "s"), (1, "h i", "t"), (None, "x y", "s"), (None, "x y", "t"),
+             (2, "k l", "u"), (2, "m n", "u"), (None, None, "s"), (None, None, None), (3, "o p q", None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    once = mixing.mixed_documents(docs, weights=(1,), max_epochs=1).collect()
+    assert Counter(map(tuple, once)) == Counter(table)
+    many = table + [(4, "a b c d e", "s")] * 9 + [(5, "b c", "u")] * 7
+    docs = spark.createDataFrame(many, "doc_id long, text string, source string")
+    for seed in range(1, 4):
+        want = Counter()
+        for r in mixing.mix(docs, seed=seed).collect():
+            want[r.doc_id, r["size"], r.source] += r.epochs + (r.part > 0 and 2 * r.part >= r["size"])
+        got = Counter((r.doc_id, len((r.text or "").split()), r.source) for r in mixing.mixed_documents(docs, seed=seed).collect())
+        assert got == +want
+        assert mixing.mixed_documents(docs, seed=seed).where("text in ('a b c', 'd e f g')").groupBy("text").count().count() == sum(
+            want[1, n, "s"] > 0 for n in (3, 4))
