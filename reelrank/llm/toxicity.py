@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import checkpoint, ship_package
 
 BUCKETS = 1 << 18          # hashed features; the model has a float for each telling one
 PREFIXES = (4, 5, 6)       # bytes; prefixes let inflected forms share weight
@@ -159,21 +159,22 @@ def is_held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int = 1,
           doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``max_rows`` labelled rows that are not held out, those
-    with the smallest seeded hash of their id (all, if there are fewer).
+    """Fit on at most ``max_rows`` labelled rows of ``docs`` that are not held
+    out, those with the smallest seeded hash of their id (all, if there are fewer).
 
-    Rows with a null label, id or text are left out; a repeated label row
+    Labels without a document do not count.  Rows with a null label, id or text are left out; a repeated label row
     counts once.  Without rows of both labels every sentence scores the same
     low value.
     """
     marked = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna()
               .where(~is_held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
               .withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30))))
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).dropna()
+    marked = checkpoint(marked.join(found.select("_id"), "_id", "left_semi"))
     known = marked.count()
     if known > max_rows:        # few more are sent than are kept
-        marked = marked.where(F.col("_at") < int(1.1 * (1 << 30) * max_rows / known))
-    rows = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).dropna()
-            .join(marked, "_id").select("_text", "_y", "_at").toArrow().sort_by([("_at", "ascending"), ("_text", "ascending")]).slice(0, max_rows))
+        marked = marked.where(F.col("_at") < int((1 << 30) * (1.1 * max_rows + 100) / known))
+    rows = (found.join(marked, "_id").select("_text", "_y", "_at").toArrow().sort_by([("_at", "ascending"), ("_text", "ascending")]).slice(0, max_rows))
     return fit(rows["_text"].to_pylist(), rows["_y"].to_pylist())
 
 

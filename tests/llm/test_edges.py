@@ -70,6 +70,20 @@ def test_toxicity(spark, table):
     assert toxicity.without_toxic(table, model).columns == table.columns
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    """Labels without a document take no room in the sample."""
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: fitted.append(sorted(zip(texts, labels))))
+    labels = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    some = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    some = some.withColumn("text", F.when(F.col("doc_id") >= 100, F.col("text")))
+    toxicity.train(some, labels, max_rows=200)
+    known = [r[0] for r in labels.where(~toxicity.is_held_out(F.col("doc_id"))).where("doc_id between 100 and 399").collect()]
+    assert len(fitted[0]) == 200 and {int(t) for t, _ in fitted[0]} <= set(known)
+    toxicity.train(some, labels, max_rows=1000)
+    assert fitted[1] == sorted((str(i), i % 2) for i in known)
+
+
 def test_merge_dropout(table):
     encoded = merge_dropout.encode_documents(table, PIECES)
     out = encoded.collect()
