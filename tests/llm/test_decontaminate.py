@@ -25,8 +25,7 @@ def plain(texts, items, window=10):
         for i in range(max(1, len(words) - window + 1) if words else 0):
             cut.setdefault(tuple(words[i:i + window]), set()).add("" if item is None else str(item))
     for text in texts:
-        spans = [m.span() for m in WORD.finditer(lower(text))]
-        words = [lower(text)[a:b] for a, b in spans] if len(lower(text)) < 100 else WORD.findall(lower(text))
+        spans, words = [m.span() for m in WORD.finditer(lower(text))], WORD.findall(lower(text))
         hit, found = set(), set()
         for n in {len(w) for w in cut}:
             for i in range(len(words) - n + 1):
