@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, ann, chat, decontaminate, fingerprints, licenses, merge_dropout, mixing, simhash,
+from . import (alignment, ann, chat, collocations, decontaminate, fingerprints, licenses, merge_dropout, mixing, simhash,
                token_files, token_scan, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,45 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_probe(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000, keep_below=80)
+
+
+ORACLE["op11_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+f AS (
+  SELECT lang, m, w[p:p + m - 1] AS p, count(*) AS a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m)
+  GROUP BY ALL),
+c AS (SELECT lang, m, p, a FROM f WHERE m > 1 AND a >= 30),
+cut AS (
+  SELECT c.lang, c.m, c.p, c.a, k, x.a AS l, y.a AS r,
+         CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k]
+  JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, p[i:i + n - 1] AS part FROM (
+      SELECT lang, m, p, a, n, unnest(range(1, m - n + 2)) AS i FROM c, (VALUES (2), (3)) v(n) WHERE n < m))
+  GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.part = best.p
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
