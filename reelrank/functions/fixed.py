@@ -104,6 +104,7 @@ SPLIT_SEED = 42
 # Boosted-tree settings of the per-person model.
 GBT_PARAMS = {"maxIter": 500, "stepSize": 0.03, "maxDepth": 5,
               "minInstancesPerNode": 12, "seed": 42}
+L2_REGULARIZATION = 0.5
 
 # champion/challenger promotion margin.
 PROMOTION_MARGIN = 0.005

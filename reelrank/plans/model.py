@@ -6,12 +6,14 @@ entity encodings, decades, 111 tags, 5 guide ordinals, text vector) plus a
 ``CountVectorizer`` genre block, assembled into one ML vector: no 500-column
 pivot is ever materialised.
 
-Training modes behind one interface (``train``):
-* ``per_user`` -- one GBT per person (a driver loop over a bounded list of
-  people, as the application does for its two people);
-* ``pooled`` -- one GBT for everyone, with the person's own average rating
-  and count as features, so the number of Spark jobs does not grow with the
-  number of people.  Registered queries use this mode.
+Registered queries train with ``boosted``, in either mode:
+* ``per_user`` -- trees of each person, all people at once
+  (``operators.boosting``);
+* ``pooled`` -- trees for everyone, with the person's own average rating and
+  count as features.
+
+``train`` fits Spark ML's GBT instead, one model for all or one per person of
+a given list.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions.display import clip_rating, match_pct
-from ..functions.fixed import (COUNTRY_NAMES, DECADE_COLUMNS, GBT_PARAMS, GUIDE_COLUMNS, PROMOTION_MARGIN,
+from ..functions.fixed import (COUNTRY_NAMES, DECADE_COLUMNS, GBT_PARAMS, GUIDE_COLUMNS, L2_REGULARIZATION, PROMOTION_MARGIN,
                                RATED_ONE_HOT, TAG_TAXONOMY)
 from ..operators import aggregates as agg
+from ..operators import boosting as boost
 from ..operators import encode as enc
 from ..session import ensure_checkpoint_dir
 
@@ -146,6 +149,83 @@ def train(train_rows: DataFrame, key: str, mode: str = "pooled", people=None,
     return out
 
 
+def _with_x(rows: DataFrame, genres: list[str]) -> DataFrame:
+    """``x``: the slots and a flag for each genre of the vocabulary."""
+    if not genres:
+        return rows.withColumn("x", F.col("slots"))
+    flags = F.transform(F.array(*map(F.lit, genres)), lambda g: F.coalesce(F.array_contains("genres", g), F.lit(False)).cast("double"))
+    return rows.withColumn("x", F.concat("slots", flags))
+
+
+def boosted(train_rows: DataFrame, key: str, vec_dim: int, mode: str = "pooled", params=None,
+            rounds_a_stage: int = 250, **fit) -> str:
+    """I3 + A9: folder of the fitted trees and the names of their features,
+    made once per ``key``, mode and settings.
+
+    Every ``rounds_a_stage`` rounds are one barrier stage whose trees are
+    saved and marked; a run that was lost goes on after the last of them.
+    """
+    spark = train_rows.sparkSession
+    p = {**GBT_PARAMS, **(params or {})}
+    settings = {"rate": p["stepSize"], "depth": p["maxDepth"], "least": p["minInstancesPerNode"], "l2": L2_REGULARIZATION}
+    path = artifact_dir(spark, json.dumps([key, "boosted", mode, p, settings], sort_keys=True))
+    if _exists(spark, path):
+        return path
+    genres = [r[0] for r in train_rows.select(F.explode("genres").alias("g")).distinct().orderBy("g").collect()]
+    names = slot_names(vec_dim) + [f"genre_{g}" for g in genres]
+    (spark.createDataFrame(list(enumerate(names)), "feature_index int, feature string").coalesce(1)
+     .write.mode("overwrite").parquet(path + "/names"))
+    rows = _with_x(train_rows, genres).select(model_key(mode).alias("key"), "title_id", "rating", "x", F.concat_ws(
+        ":", "user_id", "title_id").alias("row"))
+    edges = boost.bin_edges(rows)
+    done = None
+    for first in range(0, p["maxIter"], rounds_a_stage):
+        stage = f"{path}/stage={first}"
+        if not _exists(spark, stage):
+            begun = rows if done is None else boost.predict(rows, done, keep=["key", "row", "rating", "x"], key="key")
+            (boost.fit(begun, key="key", label="rating", order="row", edges=edges, first=first,
+                       begin=None if done is None else "prediction", rounds=min(rounds_a_stage, p["maxIter"] - first), **settings, **fit)
+             .write.mode("overwrite").parquet(stage + "/nodes"))
+            _mark(spark, stage)
+        more = spark.read.parquet(stage + "/nodes")
+        done = more if done is None else done.unionByName(more)
+    _mark(spark, path)
+    return path
+
+
+def model_key(mode: str):
+    return F.lit("*") if mode == "pooled" else F.col("user_id")
+
+
+def trees(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a fitted model (``boosting.NODES``)."""
+    return spark.read.parquet(f"{path}/stage=*/nodes")
+
+
+def boosted_names(spark: SparkSession, path: str) -> DataFrame:
+    """The index -> name contract of a fitted model."""
+    return spark.read.parquet(path + "/names")
+
+
+def model_input(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with the feature array ``x`` that the model at ``path`` takes."""
+    names = [r.feature for r in boosted_names(rows.sparkSession, path).orderBy("feature_index").collect()]
+    return _with_x(rows, [n[len("genre_"):] for n in names if n.startswith("genre_")])
+
+
+def boosted_predict(rows: DataFrame, path: str, mode: str = "pooled", keep=("user_id", "title_id", "rating")) -> DataFrame:
+    """``keep`` and the unclipped ``prediction`` of every row."""
+    keep = list(keep)
+    return boost.predict(model_input(rows, path), trees(rows.sparkSession, path), keep=keep,
+                         key=None if mode == "pooled" else "user_id")
+
+
+def boosted_score(rows: DataFrame, path: str, mode: str = "pooled") -> DataFrame:
+    """I4: clipped prediction and match % per (user, title), with ``x``."""
+    return boosted_predict(rows, path, mode, keep=("user_id", "title_id", "x")).select(
+        "user_id", "title_id", clip_rating("prediction").alias("score"), match_pct("prediction").alias("pct"), "x")
+
+
 def data_version(spark: SparkSession, paths: list[str]) -> str:
     """Digest of the files behind ``paths``: names, sizes and times, read
     through Spark, so that any change of the data makes a new version."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators import encode as enc
 from ..operators import explain as X
 from ..operators.aggregates import feature_importance, group_medians
@@ -86,14 +87,16 @@ def stored_train_rows(spark, sf_dir):
     return MD.stored(spark, "train|" + _version(spark, sf_dir), lambda: train_rows(spark, sf_dir))
 
 
-def model_paths(spark, sf_dir):
+def model_path(spark, sf_dir, mode="pooled"):
     rows = stored_train_rows(spark, sf_dir).filter(~F.col("is_test"))
-    return MD.train(rows, key="pooled|" + _version(spark, sf_dir), mode="pooled")
+    return MD.boosted(rows, _version(spark, sf_dir), VEC_DIM, mode)
 
 
-def stored_scores(spark, sf_dir, paths):
-    """I4's result with the feature vectors, written once per model."""
-    return MD.stored(spark, "scores|" + paths["*"], lambda: MD.score(score_rows(spark, sf_dir), paths))
+def stored_scores(spark, sf_dir, mode="pooled"):
+    """I4's result with the feature arrays, written once per model."""
+    path = model_path(spark, sf_dir, mode)
+    rows = MD.stored(spark, "score rows|" + _version(spark, sf_dir), lambda: score_rows(spark, sf_dir))
+    return MD.stored(spark, "scores|" + path, lambda: MD.boosted_score(rows, path, mode))
 
 
 # ---------------------------------------------------------------- I1, I2
@@ -184,14 +187,48 @@ def i2_embed_text(spark, sf_dir):
 def i3_train_and_evaluate(spark, sf_dir):
     """Fit (once) and report hold-out MAE / RMSE / R^2 per person with the
     'predict the mean' baseline beside it."""
-    paths = model_paths(spark, sf_dir)
+    test, base = _held_out(spark, sf_dir)
+    return MD.evaluate(MD.boosted_predict(test, model_path(spark, sf_dir))).join(base, "user_id")
+
+
+def _held_out(spark, sf_dir):
+    """Hold-out rows, and the error there of each person's train mean."""
     rows = stored_train_rows(spark, sf_dir)
     test = rows.filter(F.col("is_test"))
     mean = rows.filter(~F.col("is_test")).groupBy("user_id").agg(F.avg("rating").alias("_mu"))
     base = (test.join(mean, "user_id").groupBy("user_id")
                 .agg(F.avg(F.abs(F.col("rating") - F.col("_mu"))).alias("baseline_mae"),
                      F.count(F.lit(1)).alias("n_test")))
-    return MD.evaluate(MD.predict(test, paths)).join(base, "user_id")
+    return test, base
+
+
+@query("i3_evaluate_per_person")
+def i3_evaluate_per_person(spark, sf_dir):
+    """Hold-out MAE / RMSE / R^2 of each person's own trees, all people's grown
+    at once, beside the pooled model's MAE and the mean's.
+
+    A leave-one-out average is a function of the row's own rating, which trees
+    can read back; ``unseen_mae`` is the error on the same rows when their
+    entities are looked up in the train rows, as a title's that nobody rated.
+    """
+    test, base = _held_out(spark, sf_dir)
+    path = model_path(spark, sf_dir, "per_user")
+    pooled = MD.evaluate(MD.boosted_predict(test, model_path(spark, sf_dir))).select("user_id", F.col("mae").alias("pooled_mae"))
+    own = MD.evaluate(MD.boosted_predict(test, path, "per_user"))
+    unseen = MD.evaluate(MD.boosted_predict(_looked_up(spark, sf_dir), path, "per_user")).select(
+        "user_id", F.col("mae").alias("unseen_mae"))
+    return own.join(pooled, "user_id").join(unseen, "user_id").join(base, "user_id")
+
+
+def _looked_up(spark, sf_dir):
+    """Feature rows of the hold-out ratings, entities encoded by C6 from the
+    train rows alone."""
+    rows = _rated_rows(spark, V.Tables(spark, sf_dir))
+    train, test = rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
+    look = enc.lookup_entity_stats(test.select("user_id", "title_id", "director", "actors", "studio"),
+                                   enc.entity_stats(train), enc.overall_average(train))
+    plain = test.drop(*MD.ENTITY).join(look, ["user_id", "title_id"]).join(_fill_stats(rows), "user_id")
+    return MD.feature_rows(plain, VEC_DIM).select("user_id", "title_id", "rating", "slots", "genres")
 
 
 @query("i3_evaluation_checked", _split_sql("""
@@ -207,8 +244,13 @@ def i3_evaluation_checked(spark, sf_dir):
 
 @query("i4_score_catalog")
 def i4_score_catalog(spark, sf_dir):
-    paths = model_paths(spark, sf_dir)
-    return stored_scores(spark, sf_dir, paths).drop("features")
+    return stored_scores(spark, sf_dir).drop("x")
+
+
+@query("i4_score_catalog_per_person")
+def i4_score_catalog_per_person(spark, sf_dir):
+    """Every title's score for each person by that person's own trees."""
+    return stored_scores(spark, sf_dir, "per_user").drop("x")
 
 
 PEOPLE_TITLES_SQL = """(SELECT DISTINCT c_mktsegment AS user_id FROM customer) p,
@@ -227,8 +269,8 @@ def i4_scores_checked(spark, sf_dir):
 
 @query("a10_sample_predictions")
 def a10_sample_predictions(spark, sf_dir):
-    paths = model_paths(spark, sf_dir)
-    return MD.sample_predictions(MD.predict(stored_train_rows(spark, sf_dir).filter(F.col("is_test")), paths))
+    test = stored_train_rows(spark, sf_dir).filter(F.col("is_test"))
+    return MD.sample_predictions(MD.boosted_predict(test, model_path(spark, sf_dir)))
 
 
 @query("a10_samples_checked", _split_sql("""
@@ -265,15 +307,11 @@ def i6_promote_if_better(spark, sf_dir):
 # ---------------------------------------------------------------- I5, E3, E4, D10 on the model
 
 def _contributions(spark, sf_dir):
-    paths = model_paths(spark, sf_dir)
-    scored = stored_scores(spark, sf_dir, paths)
-    path = paths["*"]
-    from pyspark.ml import PipelineModel
-    gbt_uid = PipelineModel.load(path + "/model").stages[2].uid
-    nodes = X.tree_nodes(spark, f"{path}/model/stages/2_{gbt_uid}")
-    names = MD.feature_names(spark, path, VEC_DIM)
-    c = X.path_contributions(scored, nodes)
-    return c.join(F.broadcast(names), "feature_index"), scored   # names: bounded by the model width
+    path = model_path(spark, sf_dir)
+    scored = stored_scores(spark, sf_dir)
+    c = boosting.explain(scored, MD.trees(spark, path), keep=["user_id", "title_id"])
+    names = F.broadcast(MD.boosted_names(spark, path))          # bounded by the model's width
+    return c.join(names, "feature_index"), scored
 
 
 @query("i5_explain")
