@@ -122,26 +122,25 @@ class Grower:
         sums[:, single], counts[:, single] = total[:, None], size[:, None]
         return [sums, counts]
 
-    def best_splits(self, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best bin of each node to split after (-1: none), and its gain; ties
-        go to the first feature and bin."""
+    def best_splits(self, sums: np.ndarray, counts: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Best bin of each node to split after (-1: none), and the residual
+        sum and count left of it; ties go to the first feature and bin."""
         l2, least = self.p["l2"], self.p["least"]
 
         def left(h):
             run = np.cumsum(h, axis=1)
             before = np.concatenate((np.zeros((len(h), 1)), run[:, self.start[1:-1] - 1]), axis=1)
             return run - np.repeat(before, self.sizes, axis=1)
-        g, n = sums[:, :self.sizes[0]].sum(1, keepdims=True), counts[:, :self.sizes[0]].sum(1, keepdims=True)
+        g, n = g[:, None], n[:, None]
         gl, nl = left(sums), left(counts)
         gain = gl * gl / (nl + l2) + (g - gl) ** 2 / (n - nl + l2) - g * g / (n + l2)
         gain[(nl < least) | (n - nl < least) | self.is_end] = 0
-        at = gain.argmax(1)
-        best = gain[np.arange(len(at)), at]
-        return np.where(best > 1e-9, at, -1), best
+        at, row = gain.argmax(1), np.arange(len(sums))
+        return np.where(gain[row, at] > 1e-9, at, -1), gl[row, at], nl[row, at]
 
     def tree(self) -> dict[str, np.ndarray]:
         """One more tree of every key; rows move by their leaf's value."""
-        rate, l2 = self.p["rate"], self.p["l2"]
+        rate, l2, least, depth = self.p["rate"], self.p["l2"], self.p["least"], self.p["depth"]
         g = self.y - self.f
         node = self.key.astype(np.int64)                    # of this level
         rows = np.arange(len(self.y))
@@ -149,11 +148,17 @@ class Grower:
         keys, ids = np.arange(self.n_keys), np.zeros(self.n_keys, np.int64)      # of the level's nodes
         next_id = np.ones(self.n_keys, np.int64)
         sums, counts = self.sum_up(self.histograms(rows, node, self.n_keys, g))
+        total, size = sums[:, :self.sizes[0]].sum(1), counts[:, :self.sizes[0]].sum(1)
+        opened = (size >= 2 * least) & (depth > 0)          # nodes that may split; the others keep no histogram
+        sums, counts = sums[opened], counts[opened]
         value_of = np.zeros(len(self.y))
-        for depth in range(self.p["depth"] + 1):
-            total, size = sums[:, :self.sizes[0]].sum(1), counts[:, :self.sizes[0]].sum(1)
+        for level in range(depth + 1):
             value = rate * total / (size + l2)
-            split, _ = self.best_splits(sums, counts) if depth < self.p["depth"] else (np.full(len(keys), -1), None)
+            split, gl, nl = np.full(len(keys), -1), np.zeros(len(keys)), np.zeros(len(keys))
+            slot = np.full(len(keys), -1)
+            if opened.any():
+                slot[opened] = np.arange(len(sums))
+                split[opened], gl[opened], nl[opened] = self.best_splits(sums, counts, total[opened], size[opened])
             parents = np.flatnonzero(split >= 0)
             left, right = np.full(len(keys), -1), np.full(len(keys), -1)
             for k in np.unique(keys[parents]):
@@ -162,44 +167,41 @@ class Grower:
                 right[mine] = left[mine] + 1
                 next_id[k] += 2 * len(mine)
             feature = np.where(split >= 0, self.feature_of[split], -1)
-            for c, v in zip(out, (keys, ids, feature, np.where(split >= 0, split - self.start[feature], -1), left, right, value, size)):
+            bins = np.where(split >= 0, split - self.start[feature], -1)
+            for c, v in zip(out, (keys, ids, feature, bins, left, right, value, size)):
                 out[c].append(v)
             value_of[rows] = value[node[rows]]
-            if depth == self.p["depth"]:
+            if not len(parents):
                 break
-            child = np.full((len(keys), 2), -1)
-            child[parents, 0] = np.arange(len(parents)) * 2
-            child[parents, 1] = child[parents, 0] + 1
+            child = np.full(len(keys), -1)
+            child[parents] = np.arange(len(parents)) * 2
             rows = rows[split[node[rows]] >= 0]
-            if len(rows):
-                at = node[rows]
-                goes_right = self.x[rows, feature[at]] > (split - self.start[feature])[at]
-                node[rows] = child[at, goes_right.astype(int)]
+            at = node[rows]
+            node[rows] = child[at] + (self.x[rows, feature[at]] > bins[at])
             # the smaller child's histogram is counted, the other's is what is left of the parent's
-            nl = self._left_counts(counts, split, feature)[parents]
-            small = child[parents, (nl > size[parents] - nl).astype(int)]
-            number = np.full(2 * len(parents), -1)
-            number[small] = np.arange(len(small))
-            some = rows[number[node[rows]] >= 0]
-            renamed = node.copy()
-            renamed[some] = number[node[some]]
-            part = self.sum_up(self.histograms(some, renamed, len(small), g))
-            both = []
-            for whole, one in zip((sums, counts), part):
-                h = np.zeros((2 * len(parents), self.bins))
-                h[small] = one
-                h[small ^ 1] = whole[parents] - one
-                both.append(h)
-            sums, counts = both
+            both = np.stack((nl[parents], size[parents] - nl[parents]), 1)
+            opened = ((both >= 2 * least) & (level + 1 < depth)).ravel()
+            pairs = np.flatnonzero(opened.reshape(-1, 2).any(1))
+            if len(pairs):
+                small = 2 * pairs + (both[pairs, 0] > both[pairs, 1])
+                number = np.full(2 * len(parents), -1)
+                number[small] = np.arange(len(small))
+                some = rows[number[node[rows]] >= 0]
+                renamed = np.full(len(node), -1)
+                renamed[some] = number[node[some]]
+                part = self.sum_up(self.histograms(some, renamed, len(small), g))
+                kept = []
+                for whole, one in zip((sums, counts), part):
+                    h = np.empty((2 * len(parents), self.bins))
+                    h[small] = one
+                    h[small ^ 1] = whole[slot[parents[pairs]]] - one
+                    kept.append(h[opened])
+                sums, counts = kept
+            total, size = np.stack((gl[parents], total[parents] - gl[parents]), 1).ravel(), both.ravel()
             keys, ids = np.repeat(keys[parents], 2), np.stack((left[parents], right[parents]), 1).ravel()
         self.f += value_of
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    def _left_counts(self, counts: np.ndarray, split: np.ndarray, feature: np.ndarray) -> np.ndarray:
-        run = np.concatenate((np.zeros((len(counts), 1)), np.cumsum(counts, axis=1)), axis=1)
-        at = np.arange(len(counts))
-        return np.where(split >= 0, run[at, split + 1] - run[at, self.start[np.maximum(feature, 0)]], 0)
-
     def grow(self, names: np.ndarray, first: int, rounds: int) -> Iterator[pa.RecordBatch]:
         for t in range(first, first + rounds):
             tree = self.tree()

@@ -16,13 +16,13 @@ from ..functions.parse import severity_ordinal
 from ..functions.fixed import GUIDE_COLUMNS
 
 
-def _one_row(df: DataFrame, key: str) -> DataFrame:
+def _one_row(df: DataFrame, *key: str) -> DataFrame:
     """One row per key of a lookup table, so that a join cannot multiply rows:
     the last by ``_ord`` where the table has it, else the least row."""
     if "_ord" in df.columns:
-        return dedupe(df, key, "_ord", keep="last")
-    rest = [c for c in df.columns if c != key]
-    return dedupe(df, key, rest, keep="first")
+        return dedupe(df, list(key), "_ord", keep="last")
+    rest = [c for c in df.columns if c not in key]
+    return dedupe(df, list(key), rest, keep="first")
 
 
 def join_cast_studio(titles: DataFrame, enrich: DataFrame | None, key="title_id") -> DataFrame:
@@ -70,10 +70,12 @@ def retry_set(all_rows: DataFrame, done: DataFrame, result_col: str, key="title_
 def attach_scores_to_hits(hits: DataFrame, scores: DataFrame, n: int = 10, order=("rank", "title_id"),
                           key="title_id", query_col="query_id") -> DataFrame:
     """Left join catalog scores onto the first ``n`` search hits of every
-    query (a per-query window limit, applied map-side before the shuffle)."""
+    query (a per-query window limit, applied map-side before the shuffle).
+    ``scores`` may hold a row for each person (``user_id``); of rows that
+    repeat a title, or title and person, one counts."""
     w = Window.partitionBy(query_col).orderBy(*order)
     top = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    return top.join(scores, key, "left")
+    return top.join(_one_row(scores, *[c for c in (key, "user_id") if c in scores.columns]), key, "left")
 
 
 def reuse_or_refetch(listing: DataFrame, cache: DataFrame, extended: list[str],
@@ -83,8 +85,7 @@ def reuse_or_refetch(listing: DataFrame, cache: DataFrame, extended: list[str],
     ``refresh`` = cached but some extended field missing; rows without an id
     stay in the listing with status ``no_id`` and are never fetched.
     """
-    c = cache.select(key, F.lit(True).alias("_cached"),
-                     *[F.col(x).alias("_x_" + x) for x in extended])
+    c = _one_row(cache, key).select(key, F.lit(True).alias("_cached"), *[F.col(x).alias("_x_" + x) for x in extended])
     missing = F.lit(False)
     for x in extended:
         missing = missing | F.col("_x_" + x).isNull()

@@ -17,7 +17,7 @@ DOUBLE_COLUMNS = {
     'b5_catalog_cards': ['imdb'],
     'c10_closest_for_pair': ['a_sim', 'a_rating', 'b_sim', 'b_rating'],
     'c6_lookup_entity_stats': ['director_avg_rating', 'actor1_avg_rating', 'studio_avg_rating'],
-    'c8_attach_scores': ['a_pct'],
+    'c8_attach_scores': ['pct'],
     'c9_nearest_rated': ['similarity', 'match_rating'],
     'd10_feature_importance': ['importance'],
     'd11_coverage_report': ['pct_ok'],
@@ -52,5 +52,5 @@ DOUBLE_COLUMNS = {
     'i5_standin_contributions': ['value', 'contrib'],
     'i8_precompute_checked': ['similarity'],
     'i8_flagship_unseen_ranked': ['pct', 'similarity', 'vibe_pct'],
-    'k2_incremental_score': ['a_pct', 'b_pct'],
+    'k2_incremental_score': ['pct'],
 }

@@ -103,9 +103,17 @@ C6_SQL = """
     GROUP BY c.user_id, c.title_id"""
 
 
-def people_titles(df, people):
-    """Every row of ``df`` once per person of interest (a generator, not a join)."""
-    return df.withColumn("user_id", F.explode(F.array(*[F.lit(p) for p in people])))
+def people_titles(df, people, block=1000):
+    """Every row of ``df`` once per row of ``people`` (user_id, each once).
+
+    People are gathered into lists of about ``block``; a row meets every list
+    by the list's number and is exploded over it, so that neither side need
+    fit anywhere whole."""
+    blocks = -(-people.count() // block) or 1
+    lists = (people.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_block"))
+             .agg(F.collect_list("user_id").alias("_people")))
+    met = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(lists, "_block")
+    return met.withColumn("user_id", F.explode("_people")).drop("_block", "_people")
 
 
 def unseen_candidates(t):

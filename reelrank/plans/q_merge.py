@@ -331,18 +331,17 @@ def c11_resolve_titles(spark, sf_dir):
 
 
 @query("c8_attach_scores", with_views("""
-    SELECT h.query_id, h.title_id, h.rank, s.pct AS a_pct FROM (
+    SELECT h.query_id, h.title_id, h.rank, s.user_id, s.pct FROM (
         SELECT query_id, title_id, CAST(rank AS INTEGER) AS rank FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, title_id) AS rn FROM hits)
         WHERE rn <= 10) h
-    LEFT JOIN scores s ON h.title_id = s.title_id AND s.user_id = '""" + A + "'",
+    LEFT JOIN scores s ON h.title_id = s.title_id""",
     "rated", "seen", "listing", "catalog_base", extra={**CATALOG_CTES, **C11_CTES}))
 def c8_attach_scores(spark, sf_dir):
+    """Scores of everyone who has one for the title."""
     t = V.Tables(spark, sf_dir)
     hits = resolved(spark, sf_dir).select("query_id", "title_id", F.col("rank").cast("int"))
-    scores = cat.person_scores(V.rated(t)).filter(F.col("user_id") == A) \
-                .select("title_id", F.col("pct").alias("a_pct"))
-    return M.attach_scores_to_hits(hits, scores, n=10)
+    return M.attach_scores_to_hits(hits, cat.person_scores(V.rated(t)).select("title_id", "user_id", "pct"), n=10)
 
 
 # ---------------------------------------------------------------- C12, G4, G5

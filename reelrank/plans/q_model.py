@@ -95,10 +95,14 @@ def model_path(spark, sf_dir, mode="pooled"):
 def stored_scores(spark, sf_dir, mode="pooled"):
     """I4's result with the feature arrays, written once per model."""
     path = model_path(spark, sf_dir, mode)
-    rows = MD.stored(spark, "score rows|" + _version(spark, sf_dir), lambda: score_rows(spark, sf_dir))
+    rows = stored_score_rows(spark, sf_dir)
     return MD.stored(spark, "scores|" + path, lambda: MD.boosted_score(rows, path, mode))
 
 
+def stored_score_rows(spark, sf_dir):
+    return MD.stored(spark, "score rows|" + _version(spark, sf_dir), lambda: score_rows(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- I1, I2
 
 def _split_ctes():

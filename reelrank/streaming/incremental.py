@@ -5,12 +5,14 @@ on the next day.  Here the file source's checkpoint replaces the counters:
 
 * K1 ``incremental_enrich``: new reply files -> flatten (A2) -> de-duplicate
   inside the batch (E2) -> drop ids already stored (C4) -> append (G7, first
-  wins).  Each micro-batch writes its own ``batch_id=N`` folder in overwrite
-  mode, so a batch replayed after a failure rewrites the same folder: the
-  sink is idempotent and the result equals a single batch run.
-* K2 ``incremental_score``: the same batch scores the new titles and writes
-  catalog version ``v=N`` = merge(previous version, new rows) (G4); readers
-  take the newest complete version, nothing is overwritten in place.
+  wins).  The table is a bucket store (``store.py``): a batch reads only the
+  buckets that may hold its ids.
+* K2 ``incremental_score``: the same batch scores the new titles for everyone
+  and merges them into the catalog (G4), another bucket store, of which only
+  the touched buckets are written anew.
+
+A store remembers the last batch it took, so a batch replayed after a failure
+changes nothing and passes on the same rows: the result equals a single run.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import dedupe
-from ..operators.merge import merge_catalog
 from ..sources.ingest import flatten_metadata
+from .store import BucketStore
 
 REPLY_FILE_SCHEMA = T.StructType([T.StructField("title_id", T.LongType()),
                                   T.StructField("reply", T.StringType()),
@@ -50,30 +52,16 @@ def _children(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(out)
 
 
-def read_stored(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """All complete ``batch_id=N`` folders (N < before when given)."""
-    ids = [i for i in _children(spark, table_dir, "batch_id=") if before is None or i < before]
-    if not ids:
-        return None
-    return spark.read.parquet(*[f"{table_dir}/batch_id={i}" for i in ids])
-
-
-def latest_version(spark: SparkSession, catalog_dir: str, before: int | None = None) -> DataFrame | None:
-    vs = [v for v in _children(spark, catalog_dir, "v=") if before is None or v < before]
-    return spark.read.parquet(f"{catalog_dir}/v={vs[-1]}") if vs else None
+def read_stored(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """All rows of the newest version of a stored table."""
+    return BucketStore(spark, table_dir).rows()
 
 
 def enrich_batch(batch: DataFrame, batch_id: int, table_dir: str) -> DataFrame:
     """K1 body for one micro-batch; returns the rows it stored."""
-    spark = batch.sparkSession
     flat = flatten_metadata(batch, keep=("title_id", "_ord"))
     flat = flat.filter(F.col("title_id").isNotNull())
-    new = dedupe(flat, "title_id", "_ord", keep="first")
-    stored = read_stored(spark, table_dir, before=batch_id)
-    if stored is not None:
-        new = new.join(stored.select("title_id"), "title_id", "left_anti")
-    new.write.mode("overwrite").parquet(f"{table_dir}/batch_id={batch_id}")
-    return spark.read.parquet(f"{table_dir}/batch_id={batch_id}")
+    return BucketStore(batch.sparkSession, table_dir).add_missing(dedupe(flat, "title_id", "_ord", keep="first"), batch_id)
 
 
 def incremental_enrich(spark: SparkSession, input_dir: str, table_dir: str, checkpoint_dir: str,
@@ -83,8 +71,7 @@ def incremental_enrich(spark: SparkSession, input_dir: str, table_dir: str, chec
     """Run K1 (and K2 when ``catalog_dir`` and ``scorer`` are given) over
     every file not yet processed, then stop (``availableNow``).
 
-    A batch holds ``files_per_batch`` files at most; each batch costs one
-    pass over the stored ids, so fewer, larger batches suit a backlog."""
+    A batch holds ``files_per_batch`` files at most."""
     stream = (spark.readStream.schema(REPLY_FILE_SCHEMA)
                    .option("maxFilesPerTrigger", files_per_batch).parquet(input_dir))
 
@@ -101,10 +88,6 @@ def incremental_enrich(spark: SparkSession, input_dir: str, table_dir: str, chec
 
 def incremental_score_batch(new_titles: DataFrame, batch_id: int, catalog_dir: str,
                             scorer: Callable[[DataFrame], DataFrame]) -> None:
-    """K2 body: score the new titles, merge into the previous catalog version
-    (new rows replace old ones, G4) and write version ``v=batch_id``."""
-    spark = new_titles.sparkSession
-    scored = scorer(new_titles)
-    prev = latest_version(spark, catalog_dir, before=batch_id)
-    merged = scored if prev is None else merge_catalog(prev, scored, keep_unlisted=True)
-    merged.write.mode("overwrite").parquet(f"{catalog_dir}/v={batch_id}")
+    """K2 body: score the new titles and merge them into the catalog (G4: a
+    title's new rows replace its old ones)."""
+    BucketStore(new_titles.sparkSession, catalog_dir).upsert(scorer(new_titles), batch_id)
