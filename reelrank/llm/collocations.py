@@ -34,7 +34,7 @@ BREAK = b"\xff"          # in no UTF-8 text
 # A-Z to a-z, tab to space, what ends a piece to BREAK
 NORMAL = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ROTATE = 21
-STRIPE = "lang string, prefix string, seg int, nexts array<string>, counts array<long>"
+STRIPE = "lang string, prefix string, seg int, nexts string, counts array<int>"
 
 
 class Words(dict):
@@ -113,14 +113,16 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int, frequent: bytes = b"")
 def stripes_of(block: Block, prefix_words: list[np.ndarray], prefix: np.ndarray, next_word: np.ndarray,
                counts: np.ndarray, totals: np.ndarray | None, segments: np.ndarray) -> pa.RecordBatch:
     """Stripes of a block: ``prefix_words`` are the words of each prefix,
-    (prefix, next_word, counts) the extensions, ``totals`` each prefix's own."""
+    (prefix, next_word, counts) the extensions, ``totals`` each prefix's own.
+    A stripe's words travel as one string, the prefix's own total first, under
+    an empty word."""
     hashes = np.array(block.hashes, np.uint64)
     seg = (hashes[next_word] % segments[prefix].astype(np.uint64)).astype(np.int64)
     if totals is not None:
         own = np.flatnonzero(totals)
         prefix, next_word, counts, seg = (np.concatenate(x) for x in (
             (own, prefix), (np.full(len(own), -1), next_word), (totals[own], counts), (np.zeros(len(own), np.int64), seg)))
-    order = np.lexsort((seg, prefix))
+    order = np.lexsort((next_word, seg, prefix))
     prefix, next_word, counts, seg = prefix[order], next_word[order], counts[order], seg[order]
     first = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (seg[1:] != seg[:-1]))) if len(prefix) else np.empty(0, int)
     words, at = block.word_array(), prefix[first]
@@ -128,10 +130,11 @@ def stripes_of(block: Block, prefix_words: list[np.ndarray], prefix: np.ndarray,
     for more in prefix_words[1:]:
         text = pc.binary_join_element_wise(text, words.take(pa.array(more[at])), pa.scalar(b" ", pa.binary()))
     ends = pa.array(np.append(first, len(prefix)), pa.int32())
-    nexts = words.cast(pa.string()).take(pa.array(next_word, mask=next_word < 0))
+    said = pa.concat_arrays([words, pa.array([b""], pa.binary())]).take(pa.array(np.where(next_word < 0, len(words), next_word)))
+    nexts = pc.binary_join(pa.ListArray.from_arrays(ends, said), pa.scalar(b" ", pa.binary()))
     return pa.RecordBatch.from_arrays(
         [block.lang_array(prefix_words[0][at]), text.cast(pa.string()), pa.array(seg[first], pa.int32()),
-         pa.ListArray.from_arrays(ends, nexts), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))],
+         nexts.cast(pa.string()), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))],
         ["lang", "prefix", "seg", "nexts", "counts"])
 
 
@@ -195,9 +198,9 @@ def merged(stripes: DataFrame, least: int) -> DataFrame:
     or more; a null next is the prefix itself.  A stripe is shuffled whole,
     and its elements are summed where it arrives."""
     dealt = stripes.repartition("lang", "prefix", "seg")
-    return (dealt.select("lang", "prefix", "seg", F.inline(F.arrays_zip("nexts", "counts")).alias("next", "n"))
+    return (dealt.select("lang", "prefix", "seg", F.inline(F.arrays_zip(F.split("nexts", " "), "counts")).alias("next", "n"))
             .groupBy("lang", "prefix", "seg", "next").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least).drop("seg"))
+            .where(F.col("n") >= least).select("lang", "prefix", F.nullif("next", F.lit("")).alias("next"), "n"))
 
 
 def bitmap(hashes: DataFrame, max_bits: int) -> bytes:
