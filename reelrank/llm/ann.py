@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by a forest of random-projection trees (operator 8).
 
 Trees are fitted on a bounded sample and sent to the executors; every vector
-is indexed in one leaf of each tree.  A query walks all trees through one
-priority queue, nearest cell first, until the leaves taken hold enough
-vectors.  Queries and vectors then meet by leaf, in blocks of bounded size,
-where exact inner products rank them.
+is indexed in one leaf of each tree.  The leaves of all trees stand in one
+priority queue of a query, those first that promise the largest inner product:
+that of the query and the leaf's mean vector, and three times the spread of its
+vectors along a direction.  Lengths count in both, so the order is one of inner
+products, not of distances.  Leaves are taken until they hold enough vectors.
+Queries and vectors then meet by leaf, in blocks of bounded size, where exact
+inner products rank them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -37,23 +39,24 @@ class Forest:
                 out[:, t] = 2 * out[:, t] + (projected[:, level] > cut[out[:, t]])
         return out
 
-    def probe(self, projected: list[np.ndarray], held: np.ndarray, enough: float) -> list[tuple[int, int]]:
-        """Leaves (tree, leaf) that one query visits.  The queue's priority is
-        the squared distance from the query to a node's cell, a lower bound
-        for all vectors in it; ``held`` counts the vectors of each leaf."""
-        queue, taken, rows = [(0.0, t, 0, 0) for t in range(len(self.cuts))], [], 0
-        while queue and rows < enough:
-            far, t, level, node = heappop(queue)
-            if level == len(self.cuts[t]):
-                if held[t, node]:
-                    taken.append((t, node))
-                    rows += held[t, node]
-                continue
-            off = projected[t][level] - self.cuts[t][level][node]
-            near = 2 * node + (off > 0)
-            heappush(queue, (far, t, level + 1, near))
-            heappush(queue, (far + off * off, t, level + 1, near ^ 1))
-        return taken
+
+@dataclass
+class Leaves:
+    """What the queue knows of the leaves that hold vectors, of all trees."""
+    tree: np.ndarray
+    leaf: np.ndarray
+    held: np.ndarray          # vectors
+    mean: np.ndarray          # (leaves, dim)
+    spread: np.ndarray        # root mean square distance from the mean, along one direction
+
+    def probe(self, queries: np.ndarray, enough: float, reach: float = 3.0) -> list[np.ndarray]:
+        """Places of the leaves that each query takes: in the order of the
+        largest product that a leaf promises, until they hold ``enough``."""
+        length = np.linalg.norm(queries, axis=1)[:, None]
+        promise = queries @ self.mean.T + reach * self.spread * length
+        order = np.argsort(-promise, axis=1, kind="stable")
+        before = np.cumsum(self.held[order], axis=1) - self.held[order]
+        return [o[b < enough] for o, b in zip(order, before)]
 
 
 def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
@@ -84,7 +87,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, trees: int = 8, sample_rows: int = 32768,
-           share: float = 0.9, least_rows: int = 4096, block_rows: int = 8192, seed: int = 1, vec_id: str = "vec_id",
+           share: float = 0.9, block_rows: int = 8192, seed: int = 1, vec_id: str = "vec_id",
            embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query.
 
@@ -92,8 +95,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, trees: int =
     precision; ties go to the smaller id; a query's own id is no candidate.
     ``sample_rows`` bounds the sample on which the trees are fitted;
     ``share`` is the number of vectors that a query's leaves hold in all
-    trees together, as a part of all vectors (each tree holds them all once),
-    and ``least_rows`` the least such number.
+    trees together, as a part of all vectors (each tree holds them all once);
+    they hold k + 1 vectors a tree at least, and so k candidates.
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which are
     all that a result can hold; equal queries are searched once.
@@ -142,30 +145,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, trees: int =
 
     indexed = distinct.select("rep", "ids", "vec").mapInPandas(
         index, "rep long, ids array<long>, vec array<double>, tree int, leaf long")
-    counts = np.zeros((trees, 1 << depth), np.int64)
-    for r in indexed.groupBy("tree", "leaf").count().collect():        # trees x leaves rows
-        counts[r["tree"], r["leaf"]] = r["count"]
-    held = spark.sparkContext.broadcast(counts)
-    enough, q_blocks = max(share * n, least_rows), -(-n_heads // 16384)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = 1 << depth
+        held, sums, squares = np.zeros(trees * width, np.int64), np.zeros((trees * width, dim)), np.zeros(trees * width)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy())
+                for t, leaf in enumerate(forest.value.leaves(x).T):
+                    np.add.at(sums, leaf + t * width, x)
+                    held[t * width:(t + 1) * width] += np.bincount(leaf, minlength=width)
+                    squares[t * width:(t + 1) * width] += np.bincount(leaf, (x * x).sum(1), width)
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"tree": (at // width).astype(np.int32), "leaf": at % width, "held": held[at],
+                            "sums": list(sums[at]), "squares": squares[at]})
+
+    def total(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values(["held", "squares"])          # sums do not depend on the order of arrival
+        return pd.DataFrame({"tree": parts["tree"][:1], "leaf": parts["leaf"][:1], "held": [parts["held"].sum()],
+                             "sums": [np.stack(parts["sums"].to_numpy()).sum(0)], "squares": [parts["squares"].sum()]})
+
+    kinds = "tree int, leaf long, held long, sums array<double>, squares double"
+    # trees x leaves rows
+    known = distinct.select("vec").mapInPandas(tally, kinds).groupBy("tree", "leaf").applyInPandas(total, kinds).toPandas()
+    known = known.sort_values(["tree", "leaf"])
+    mean = np.stack(known["sums"].to_numpy()) / known["held"].to_numpy()[:, None]
+    spread = np.sqrt(np.maximum(known["squares"].to_numpy() / known["held"].to_numpy() - (mean * mean).sum(1), 0) / dim)
+    leaves_known = Leaves(known["tree"].to_numpy(), known["leaf"].to_numpy(), known["held"].to_numpy(), mean, spread)
+    shared = spark.sparkContext.broadcast(leaves_known)
+    enough, q_blocks = max(share * n, trees * (k + 1)), -(-n_heads // 16384)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["vec"].to_numpy())
-            projected = [(x @ d).tolist() for d in forest.value.directions]
-            for at in range(0, len(pdf), 256):
-                found = []
-                for i in range(at, min(at + 256, len(pdf))):
-                    found += [(i, t, leaf, c) for t, leaf in
-                              forest.value.probe([p[i] for p in projected], held.value, enough)
-                              for c in range(-(-int(held.value[t, leaf]) // block_rows))]
-                i, t, leaf, c = np.array(found, np.int64).T
+            x, known = np.stack(pdf["vec"].to_numpy()), shared.value
+            for at in range(0, len(pdf), 128):
+                taken = known.probe(x[at:at + 128], enough)
+                i, place = np.repeat(np.arange(at, at + len(taken)), [len(p) for p in taken]), np.concatenate(taken)
+                chunks = -(-known.held[place] // block_rows)
+                chunk = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                i, place = np.repeat(i, chunks), np.repeat(place, chunks)
                 yield pd.DataFrame({"head": pdf["head"].to_numpy()[i], "q": pdf["vec"].to_numpy()[i],
-                                    "tree": t.astype(np.int32), "leaf": leaf, "chunk": c,
+                                    "tree": known.tree[place], "leaf": known.leaf[place], "chunk": chunk,
                                     "q_block": pdf["head"].to_numpy()[i] % q_blocks})
 
-    visits = heads.select("head", F.col("vec")).mapInPandas(
+    visits = heads.select("head", F.col("vec")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(
         probe, "head long, q array<double>, tree int, leaf long, chunk long, q_block long")
 
     def rank(vecs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -174,28 +199,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, trees: int =
             v, ids, reps = np.stack(vecs["vec"].to_numpy()), vecs["ids"].tolist(), vecs["rep"].to_numpy()
             by_id = np.argsort(reps)
             v, reps, ids = v[by_id], reps[by_id], [ids[i] for i in by_id]
-            keep = min(len(v), k + 9)       # rounding of block products is settled below
+            kth, longest = max(0, len(v) - k - 1), np.linalg.norm(v, axis=1).max()
             for at in range(0, len(asks), 512):
                 q = np.stack(asks["q"].to_numpy()[at:at + 512])
-                some = np.argpartition(-(q @ v.T), keep - 1, axis=1)[:, :keep]
-                some.sort(axis=1)
-                exact = np.einsum("qcd,qd->qc", v[some], q)
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :k + 1]
-                for head, which, scores in zip(asks["head"].to_numpy()[at:at + 512],
-                                               np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)):
-                    near = sorted((-s, i) for w, s in zip(which.tolist(), scores.tolist()) for i in ids[w])[:k + 1]
+                block = q @ v.T
+                # all that may be among the first k + 1, however many tie there: block products are rounded
+                slack = 4 * q.shape[1] * np.finfo(float).eps * longest * np.linalg.norm(q, axis=1)
+                row, which = np.nonzero(block >= (np.partition(block, kth, axis=1)[:, kth] - slack)[:, None])
+                exact = np.einsum("cd,cd->c", v[which], q[row])
+                order = np.lexsort((which, -exact, row))
+                ends = np.searchsorted(row[order], np.arange(len(q) + 1))
+                for head, a, b in zip(asks["head"].to_numpy()[at:at + 512], ends, ends[1:]):
+                    some = order[a:b]
+                    # of a vector's equals the k + 1 smallest ids are known; vectors that tie share their places
+                    near = sorted((-s, i) for w, s in zip(which[some].tolist(), exact[some].tolist()) for i in ids[w])[:k + 1]
                     out.append((head, [{"far": f, "id": i} for f, i in near]))
         return pd.DataFrame(out, columns=["head", "near"])
 
     block = ["tree", "leaf", "chunk", "q_block"]
-    size = F.create_map(*(F.lit(int(x)) for tl in np.argwhere(counts > block_rows)
-                          for x in (tl[0] * counts.shape[1] + tl[1], -(-int(counts[tuple(tl)]) // block_rows)))) \
-        if (counts > block_rows).any() else None
-    pieces = F.coalesce(F.try_element_at(size, (F.col("tree") * counts.shape[1] + F.col("leaf")).cast("int")),
-                        F.lit(1)) if size is not None else F.lit(1)
-    dealt = indexed.withColumns({
-        "chunk": F.pmod(F.xxhash64("rep"), pieces).cast("long"),
-        "q_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))})
+    # leaves of more than a block; at most trees x leaves
+    large = known[known["held"] > block_rows]
+    pieces = spark.createDataFrame([(int(t), int(leaf), int(-(-h // block_rows))) for t, leaf, h in
+                                    zip(large["tree"], large["leaf"], large["held"])], "tree int, leaf long, pieces long")
+    dealt = indexed.join(F.broadcast(pieces), ["tree", "leaf"], "left").withColumns({
+        "chunk": F.pmod(F.xxhash64("rep"), F.coalesce("pieces", F.lit(1).cast("long"))),
+        "q_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))}).drop("pieces")
     met = dealt.groupBy(*block).cogroup(visits.groupBy(*block)).applyInPandas(
         rank, "head long, near array<struct<far:double,id:long>>")
     # at most trees x leaves lists of k + 1 for a query

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -15,7 +16,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
-from reelrank.llm import licenses, merge_dropout, mixing, simhash, toxicity
+from pyspark.sql import functions as F
+from reelrank.llm import ann, licenses, merge_dropout, mixing, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,6 +179,40 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("lengths", ["equal", "mixed"])
+def test_nearest_recall_where_trees_prune(spark, lengths):
+    """On 20,000 vectors, of one length or of log-normal ones."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "mixed":
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    asked = np.arange(0, len(x), 200)
+    found = defaultdict(set)
+    for r in ann.search(vectors, vectors.where(F.col("vec_id") % 200 == 0), k=20).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(asked)
+
+
+def test_nearest_ties(spark):
+    """Fifty vectors of one product: the smallest ids, whatever the block does."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((400, 8))
+    x[:, 1:] = rng.integers(-3, 4, (400, 7))
+    x[:, 0] = np.where(np.arange(400) % 8 == 3, 2.0, 1.0)
+    order = rng.permutation(400)
+    rows = [(int(i), [float(c) for c in x[i]]) for i in order] + [(1000, [1.0] + [0.0] * 7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.where("vec_id = 1000"), k=20, share=8.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 2.0) for i in range(3, 400, 8)][:20]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in rows("labels", sf)}
