@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import clip_rating
+from .joins import join_per_person
 
 
 def exact_median(df: DataFrame, col: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
@@ -84,7 +85,7 @@ def scaler_stats(df: DataFrame, cols: list[str], by: str = "user_id") -> DataFra
 
 def standardise(df: DataFrame, stats: DataFrame, cols: list[str], by: str = "user_id") -> DataFrame:
     """D3 (apply): (x - mean) / stddev_pop; zero spread divides by 1; null -> mean."""
-    out = df.join(stats, by, "left")
+    out = join_per_person(df, stats, [c for c in df.columns if c != by], key=by)
     def z(c):
         sd = F.col("_sd_" + c)
         sd = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import primary_actor, primary_director, studio_key
+from .joins import join_per_person
 
 KINDS = ("director", "actor1", "studio")
 
@@ -57,8 +58,7 @@ def leave_one_out(history: DataFrame) -> DataFrame:
     sums = (long.groupBy("user_id", "kind", "entity")
                 .agg(F.sum("rating").alias("s"), F.count("rating").alias("n")))
     ov = overall_average(history)
-    j = (long.join(sums, ["user_id", "kind", "entity"], "left")
-             .join(ov, "user_id"))
+    j = join_per_person(long.join(sums, ["user_id", "kind", "entity"], "left"), ov, ["title_id"], "inner")
     cnt = F.coalesce(F.col("n"), F.lit(1)) - 1
     avg = F.coalesce((F.col("s") - F.col("rating")) / F.nullif(cnt, F.lit(0)).cast("double"),
                      F.col("overall_avg"))
@@ -78,8 +78,7 @@ def lookup_entity_stats(candidates: DataFrame, stats: DataFrame, overall: DataFr
     long = with_entities(candidates).select("user_id", "title_id", F.explode(F.array(*[
         F.struct(F.lit(k).alias("kind"), F.col("_" + k).alias("entity")) for k in KINDS
     ])).alias("e")).select("user_id", "title_id", "e.kind", "e.entity")
-    j = (long.join(stats, ["user_id", "kind", "entity"], "left")
-             .join(overall, "user_id", "left"))
+    j = join_per_person(long.join(stats, ["user_id", "kind", "entity"], "left"), overall, ["title_id"])
     per = j.select("user_id", "title_id", "kind",
                    F.coalesce(F.col("n"), F.lit(0)).alias("cnt"),
                    F.coalesce(F.col("avg"), F.col("overall_avg")).alias("avg"))

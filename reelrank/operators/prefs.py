@@ -1,9 +1,10 @@
 """Preference statistics for one person and one title (D7), for every
 (person, title) pair of a candidate table at once.
 
-Genre and director matching is by list item (case ignored) rather than by
-substring: ``Music`` no longer matches ``Musical``, and the match becomes an
-equi-join on a small per-person statistics table.
+A title's main genre and first director match every rated row whose list
+contains that text, case ignored (``Music`` matches ``Musical``).  The match is
+made between the distinct texts of both sides, through an index of short pieces
+(``joins.containing``); ratings are summed by (person, whole text) before.
 """
 
 from __future__ import annotations
@@ -12,10 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import first_item
-
-
-def _items(c):
-    return F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+from .joins import containing, join_per_person
 
 
 def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: DataFrame,
@@ -34,31 +32,33 @@ def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: Da
     base = base.select("user_id", "total_rated", "avg_overall",
                        F.when(F.col("_nl") > 5, F.bround("_rl", 0).cast("int")).alias("avg_runtime_liked"))
 
-    def item_stats(col, name, min_n):
-        ex = history.select("user_id", "rating", F.explode(F.array_distinct(_items(col))).alias("_k"))
-        st = ex.filter(F.col("_k") != "").groupBy("user_id", "_k").agg(
-            F.count(F.lit(1)).alias(f"{name}_count"), F.avg("rating").alias("_a"))
+    def text_stats(col, key, name, min_n):
+        whole = (history.select("user_id", "rating", F.lower(col).alias("text")).where(F.col("text").isNotNull())
+                 .groupBy("user_id", "text").agg(F.count(F.lit(1)).alias("_n"), F.sum("rating").alias("_s")))
+        pairs = containing(c.select(key).distinct(), whole.select("text").distinct())
+        st = (whole.join(pairs, "text").groupBy("user_id", F.col("needle").alias(key))
+              .agg(F.sum("_n").alias(f"{name}_count"), F.sum("_s").alias("_s")))
         return st.filter(F.col(f"{name}_count") >= min_n).select(
-            "user_id", "_k", f"{name}_count", F.bround("_a", 1).alias(f"{name}_avg"))
+            "user_id", key, f"{name}_count", F.bround(F.col("_s") / F.col(f"{name}_count"), 1).alias(f"{name}_avg"))
 
-    g = item_stats("genre", "genre", 3).withColumnRenamed("_k", "_gk")
-    d = item_stats("director", "director", 2).withColumnRenamed("_k", "_dk")
     c = candidates.select("user_id", "title_id",
                           first_item("genre").alias("genre_name"),
                           F.lower(first_item("genre")).alias("_gk"),
                           F.lower(first_item("director")).alias("_dk"))
-    out = (c.join(base, "user_id", "left")
-            .join(g, ["user_id", "_gk"], "left")
-            .join(d, ["user_id", "_dk"], "left"))
+    g, d = text_stats("genre", "_gk", "genre", 3), text_stats("director", "_dk", "director", 2)
+    out = (join_per_person(c, base, ["title_id"])
+           .join(g, ["user_id", "_gk"], "left")
+           .join(d, ["user_id", "_dk"], "left"))
 
     # tag with >= 5 rated titles whose rounded mean deviates most from the average
     ht = history.select("user_id", "title_id", "rating").join(history_tags.select("title_id", "tag"), "title_id")
     ts = (ht.groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("_n"), F.avg("rating").alias("_a"))
             .filter(F.col("_n") >= 5).select("user_id", "tag", "_n", F.bround("_a", 1).alias("_ta")))
     ct = candidates.select("user_id", "title_id").join(candidate_tags, "title_id")
-    cand = (ct.join(ts, ["user_id", "tag"]).join(base.select("user_id", "avg_overall"), "user_id")
-              .withColumn("_delta", F.abs(F.col("_ta") - F.col("avg_overall")))
-              .filter(F.col("_delta") > 0))
+    # the average goes with the tags' few rows, not with the candidates
+    ts = (join_per_person(ts, base.select("user_id", "avg_overall"), ["tag"], "inner")
+          .withColumn("_delta", F.abs(F.col("_ta") - F.col("avg_overall"))).filter(F.col("_delta") > 0))
+    cand = ct.join(ts, ["user_id", "tag"])
     top = cand.groupBy("user_id", "title_id").agg(F.max_by(
         F.struct(F.col("tag").alias("top_tag"), F.col("_ta").alias("top_tag_avg"),
                  F.col("_n").alias("top_tag_count")),

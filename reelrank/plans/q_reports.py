@@ -167,12 +167,12 @@ def d7_parts():
                    CASE WHEN count(*) FILTER (WHERE rating >= 7 AND runtime IS NOT NULL) > 5
                         THEN CAST(round_even(avg(CAST(runtime AS DOUBLE)) FILTER (WHERE rating >= 7), 0) AS INTEGER) END AS avg_runtime_liked
                    FROM history_full GROUP BY user_id""",
-             "gst": """SELECT user_id, k AS gk, count(*) AS genre_count, round_even(avg(rating), 1) AS genre_avg FROM (
-                   SELECT DISTINCT user_id, title_id, rating, lower(trim(unnest(string_split(coalesce(genre, ''), ',')))) AS k FROM history_full)
-                   WHERE k <> '' GROUP BY user_id, k HAVING count(*) >= 3""",
-             "dst": """SELECT user_id, k AS dk, count(*) AS director_count, round_even(avg(rating), 1) AS director_avg FROM (
-                   SELECT DISTINCT user_id, title_id, rating, lower(trim(unnest(string_split(coalesce(director, ''), ',')))) AS k FROM history_full)
-                   WHERE k <> '' GROUP BY user_id, k HAVING count(*) >= 2""",
+             "gst": """SELECT user_id, k AS gk, count(*) AS genre_count, round_even(avg(rating), 1) AS genre_avg
+                   FROM history_full h JOIN (SELECT DISTINCT lower(nullif(trim(split_part(coalesce(genre, ''), ',', 1)), '')) AS k FROM title_info) n
+                     ON contains(lower(h.genre), n.k) GROUP BY user_id, k HAVING count(*) >= 3""",
+             "dst": """SELECT user_id, k AS dk, count(*) AS director_count, round_even(avg(rating), 1) AS director_avg
+                   FROM history_full h JOIN (SELECT DISTINCT lower(nullif(trim(split_part(coalesce(director, ''), ',', 1)), '')) AS k FROM title_info) n
+                     ON contains(lower(h.director), n.k) GROUP BY user_id, k HAVING count(*) >= 2""",
              "cand": f"""SELECT p.user_id, t.title_id, t.genre, t.director FROM title_info t, (SELECT DISTINCT c_mktsegment AS user_id FROM customer) p""",
              "tst": """SELECT h.user_id, k.tag, count(*) AS n, round_even(avg(h.rating), 1) AS ta
                    FROM history_full h JOIN tkeys k ON h.title_id = k.title_id GROUP BY ALL HAVING count(*) >= 5""",
