@@ -15,7 +15,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,41 +34,111 @@ PARQUET = {
     "parquet.enable.dictionary#offset": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
 SEPARABLE = re.compile(r"(?= \S)")
+SPACE_RUN = re.compile(r" \s")
+_ENCODERS: dict[tuple[str, int], Callable] = {}          # of this worker process, which serves many tasks
 
 
-def encoder(tokenizer_file: str, end_id: int, room: int = 600_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def worker_encoder(tokenizer_file: str, end_id: int) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """:func:`encoder`, made once per worker process."""
+    if (tokenizer_file, end_id) not in _ENCODERS:
+        _ENCODERS[tokenizer_file, end_id] = encoder(tokenizer_file, end_id)
+    return _ENCODERS[tokenizer_file, end_id]
+
+
+class Remembered(dict):
+    """Values by unit.  Over ``room`` units, those not used since the last such
+    time are forgotten."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.older = room, {}
+
+    def missing(self, units: Iterable[str]) -> list[str]:
+        """Units whose values must be made; older ones are taken over."""
+        if len(self) > self.room:
+            self.older = dict(self)
+            self.clear()
+        new = set(units).difference(self)
+        back = new.intersection(self.older)
+        self.update(zip(back, map(self.older.__getitem__, back)))
+        return list(new.difference(back))
+
+
+def byte_of_char() -> dict[str, int]:
+    """Byte of each character of a byte-level vocabulary: printable bytes
+    stand for themselves, the others for the characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
+
+
+def is_separable(tokenizer) -> bool:
+    """Whether the tokenizer always cuts before a space that no white space follows."""
+    spec = json.loads(tokenizer.to_str())
+    before = spec.get("pre_tokenizer") or {}
+    return bool(before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                and not before.get("add_prefix_space") and not spec.get("normalizer"))
+
+
+def encode_words(tokenizer, sizes: np.ndarray, words: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a space and each word, end to end, and where each word's end.
+
+    Words hold no space and do not begin with white space, so a separable
+    tokenizer cuts between them: many are encoded as one text, and its ids
+    are dealt by the byte ``sizes`` of the tokens.
+    """
+    joined = [" " + " ".join(words[i:i + together]) for i in range(0, len(words), together)]
+    found = [e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+    ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+    ends = np.cumsum(sizes[ids])
+    word_ends = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in words])
+    cuts = np.searchsorted(ends, word_ends) + 1
+    if len(words) and not np.array_equal(ends[cuts - 1], word_ends):
+        raise ValueError("the tokenizer merges across its cuts")
+    return ids, cuts
+
+
+def encoder(tokenizer_file: str, end_id: int, room: int = 300_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Function from texts to their ids, each followed by ``end_id``, as one
     uint32 array and the documents' lengths.  Strings of special tokens in a
     text are ordinary text.
 
     A byte-level tokenizer always cuts before a space that no white space
     follows, and merges nothing across its cuts.  Its texts are cut there, and
-    the library encodes each different unit once (``room`` units are
-    remembered); other tokenizers encode texts whole.
+    the library encodes each different unit once (up to twice ``room`` units
+    are remembered); other tokenizers encode texts whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"        # the tasks are the parallelism
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.encode_special_tokens = True
-    spec = json.loads(tokenizer.to_str())
-    before = spec.get("pre_tokenizer") or {}
-    separable = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
-                 and not before.get("add_prefix_space") and not spec.get("normalizer"))
-    known: dict[str, list[int]] = {}
+    separable = is_separable(tokenizer)
+    sizes = np.zeros(max(tokenizer.get_vocab().values()) + 1, np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        sizes[i] = len(token)                             # a character stands for a byte
+    after, alone = Remembered(room), Remembered(room if separable else 0)      # ids as bytes
+    end = np.array([end_id], np.uint32).tobytes()
+
+    def cut(text: str) -> tuple[list[str], list[str]]:
+        """Units to encode as they are, and the words after single spaces behind them."""
+        if not separable:
+            return [text], []
+        if SPACE_RUN.search(text) or text.endswith(" "):
+            return SEPARABLE.split(text), []
+        parts = text.split(" ")
+        return parts[:1], parts[1:]
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        units = [SEPARABLE.split(t) if separable else [t] for t in texts]
-        new = list(set().union(*units).difference(known))
-        known.update(zip(new, [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
-        end, arrays, sizes = [end_id], [], []
-        for some in units:
-            ids = list(chain.from_iterable(map(known.__getitem__, some)))
-            ids += end
-            sizes.append(len(ids))
-            arrays.append(np.array(ids, np.uint32))
-        if len(known) > room or not separable:
-            known.clear()
-        return (np.concatenate(arrays) if arrays else np.empty(0, np.uint32)), np.array(sizes, np.int64)
+        plans = [cut(t) for t in texts]
+        if new := after.missing(chain.from_iterable([words for _, words in plans])):
+            ids, cuts = encode_words(tokenizer, sizes, new)
+            data, at = ids.tobytes(), (cuts * 4).tolist()
+            after.update((w, data[a:b]) for w, a, b in zip(new, [0, *at], at))
+        new = alone.missing(chain.from_iterable([units for units, _ in plans]))
+        alone.update((u, np.array(e.ids, np.uint32).tobytes())
+                     for u, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        rows = [b"".join([*map(alone.__getitem__, units), *map(after.__getitem__, words), end]) for units, words in plans]
+        return np.frombuffer(b"".join(rows), np.uint32), np.array([len(r) // 4 for r in rows], np.int64)
     return encode
 
 
@@ -107,7 +177,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()           # remembered units hold no cycles
-        encode_texts = encoder(SparkFiles.get(name), end_id)
+        encode_texts = worker_encoder(SparkFiles.get(name), end_id)
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in in_chunks(whole, "text"):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship_package
-from .token_files import encoder, in_chunks
+from .token_files import in_chunks, worker_encoder
 
 BLOCK = 1 << 20     # ids in a block
 KINDS = {2: "<u2", 4: "<u4"}     # by the bytes of an id
@@ -49,7 +49,7 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer_file: str, separato
     name = tokenizer_file.rsplit("/", 1)[-1]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = encoder(SparkFiles.get(name), separator)
+        encode_texts = worker_encoder(SparkFiles.get(name), separator)
         part, ordinal = TaskContext.get().partitionId(), 0
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.tokens"
         store, inside = _open(path)
