@@ -6,6 +6,9 @@ last-bit difference between the engines never reaches a value hash.
 """
 
 DOUBLE_COLUMNS = {
+    'a10_saved_metrics': ['mae', 'r2'],
+    'a9_saved_entity_stats': ['avg'],
+    'i6_current_model': ['mae', 'r2'],
     'a1_ingest_ratings': ['rating'],
     'a2_flatten_metadata': ['imdb_rating', 'metascore', 'box_office', 'rt_score', 'award_wins', 'award_noms', 'oscar_win', 'oscar_nom'],
     'b1_clean_training_rows': ['rating'],

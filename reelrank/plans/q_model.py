@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import boosting
@@ -11,6 +13,8 @@ from ..operators.aggregates import feature_importance, group_medians
 from ..operators.split import stratified_split
 from ..functions import parse as P
 from ..functions.display import clip_rating
+from ..session import ensure_checkpoint_dir
+from . import champions as C
 from . import model as MD
 from . import views as V
 from .q_features import ENTITY_CTES, LOO_SQL, entity_sql, people_titles
@@ -308,6 +312,60 @@ def i6_promote_if_better(spark, sf_dir):
     return MD.promote_if_better(chal, champ)
 
 
+def _two_submissions(spark, sf_dir):
+    """Two versions submitted to an empty registry: the first actor's
+    leave-one-out mean, then the director's."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    h = V.history_full(V.Tables(spark, sf_dir))
+    loo = enc.leave_one_out(h)
+    for version, column in (("v1", "actor1_avg_rating"), ("v2", "director_avg_rating")):
+        C.submit(spark, base, version, MD.evaluate(loo.withColumn("prediction", F.col(column))), f"{base}/{version}",
+                 {"entity_stats": enc.entity_stats(h), "history": h.select("user_id", "title_id", "rating")})
+    return base
+
+
+METRIC_CTES = {"m1": _metrics_sql("actor1_avg_rating"), "m2": _metrics_sql("director_avg_rating")}
+
+
+@query("i6_current_model", entity_sql("""
+    SELECT a.user_id, CASE WHEN up THEN 'v2' ELSE 'v1' END AS model_version,
+           CASE WHEN up THEN b.mae ELSE a.mae END AS mae, CASE WHEN up THEN b.r2 ELSE a.r2 END AS r2
+    FROM (SELECT m1.*, m1.mae - m2.mae >= 0.005 - 1e-12 OR m2.r2 - m1.r2 >= 0.005 - 1e-12 AS up
+          FROM m1 JOIN m2 ON m1.user_id = m2.user_id) a JOIN m2 b ON a.user_id = b.user_id""", METRIC_CTES))
+def i6_current_model(spark, sf_dir):
+    """Each person's current model, read back after both submissions."""
+    return C.current_models(spark, _two_submissions(spark, sf_dir)).select("user_id", "model_version", "mae", "r2")
+
+
+@query("a10_saved_metrics", entity_sql("""
+    SELECT 'v1' AS model_version, user_id, mae, r2 FROM m1 UNION ALL SELECT 'v2', user_id, mae, r2 FROM m2""", METRIC_CTES))
+def a10_saved_metrics(spark, sf_dir):
+    return C.saved_metrics(spark, _two_submissions(spark, sf_dir)).select("model_version", "user_id", "mae", "r2")
+
+
+@query("a9_saved_entity_stats", entity_sql("SELECT user_id, kind, entity, n, avg FROM estats"))
+def a9_saved_entity_stats(spark, sf_dir):
+    """A side table of the second version, read back."""
+    return C.saved_table(spark, _two_submissions(spark, sf_dir), "v2", "entity_stats").select("user_id", "kind", "entity", "n", "avg")
+
+
+@query("a9_saved_run")
+def a9_saved_run(spark, sf_dir):
+    """The trained model submitted with all its side tables; rows of each as read back."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    t, path = V.Tables(spark, sf_dir), model_path(spark, sf_dir)
+    h = V.history_full(t)
+    test, _ = _held_out(spark, sf_dir)
+    side = {"entity_stats": enc.entity_stats(h), "feature_names": MD.boosted_names(spark, path), "trees": MD.trees(spark, path),
+            "history": h.select("user_id", "title_id", "rating").join(
+                t.embeddings.select(F.col("vec_id").alias("title_id"), "embedding"), "title_id", "left")}
+    C.submit(spark, base, "pooled", MD.evaluate(MD.boosted_predict(test, path)), path, side)
+    out = C.current_models(spark, base).select(F.lit("current_model").alias("name"))
+    for name in side:
+        out = out.unionByName(C.saved_table(spark, base, "pooled", name).select(F.lit(name).alias("name")))
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # ---------------------------------------------------------------- I5, E3, E4, D10 on the model
 
 def _contributions(spark, sf_dir):
