@@ -369,11 +369,16 @@ def a9_saved_run(spark, sf_dir):
 # ---------------------------------------------------------------- I5, E3, E4, D10 on the model
 
 def _contributions(spark, sf_dir):
-    path = model_path(spark, sf_dir)
     scored = stored_scores(spark, sf_dir)
+    return contributions_of(spark, sf_dir, scored), scored
+
+
+def contributions_of(spark, sf_dir, scored):
+    """I5 of scored rows with their features' names."""
+    path = model_path(spark, sf_dir)
     c = boosting.explain(scored, MD.trees(spark, path), keep=["user_id", "title_id"])
     names = F.broadcast(MD.boosted_names(spark, path))          # bounded by the model's width
-    return c.join(names, "feature_index"), scored
+    return c.join(names, "feature_index")
 
 
 @query("i5_explain")
