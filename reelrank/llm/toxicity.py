@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship_package
+from .names import free_prefix
 
 BUCKETS = 1 << 18          # hashed features; the model has a float for each telling one
 PREFIXES = (4, 5, 6)       # bytes; prefixes let inflected forms share weight
@@ -162,19 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, seed: int
     """Fit on at most ``max_rows`` labelled rows of ``docs`` that are not held
     out, those with the smallest seeded hash of their id (all, if there are fewer).
 
-    Labels without a document do not count.  Rows with a null label, id or text are left out; a repeated label row
-    counts once.  Without rows of both labels every sentence scores the same
-    low value.
+    Labels without a document do not count.  Rows with a null label, id or
+    text are left out; a repeated label row counts once, repeated documents
+    each time.  Without rows of both labels, as in empty tables, every sentence
+    scores the same low value.
     """
     marked = (labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna()
               .where(~is_held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
               .withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30))))
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).dropna()
-    marked = checkpoint(marked.join(found.select("_id"), "_id", "left_semi"))
-    known = marked.count()
-    if known > max_rows:        # few more are sent than are kept
-        marked = marked.where(F.col("_at") < int((1 << 30) * (1.1 * max_rows + 100) / known))
-    rows = (found.join(marked, "_id").select("_text", "_y", "_at").toArrow().sort_by([("_at", "ascending"), ("_text", "ascending")]).slice(0, max_rows))
+    # at most max_rows ids go to the scan of the texts, and at most max_rows of its rows to the driver
+    marked = checkpoint(marked.join(found.select("_id").distinct(), "_id", "left_semi").orderBy("_at", "_id").limit(max_rows))
+    rows = found.join(F.broadcast(marked), "_id").orderBy("_at", "_id", "_text").limit(max_rows).select("_text", "_y").toArrow()
     return fit(rows["_text"].to_pylist(), rows["_y"].to_pylist())
 
 
@@ -184,7 +184,8 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", thresh
     end, score) of the sentences that score at least ``threshold`` alone.
 
     Whole texts are scored.  Null, empty and wordless texts have score 0 and
-    no sentence.  Existing columns of these names are replaced.
+    no sentence; repeated rows repeat their score; an empty table gives no
+    rows.  Existing columns of these names are replaced, all others kept.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -200,12 +201,13 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", thresh
                 score_col: [p for p, _ in rows],
                 spans_col: [[{"start": a, "end": b, "score": p} for a, b, p in found] for _, found in rows]})
 
-    out = docs.withColumn("_scored", scored(F.col(text)))
-    return out.withColumns({score_col: F.col(f"_scored.{score_col}"),
-                            spans_col: F.col(f"_scored.{spans_col}")}).drop("_scored")
+    both = free_prefix(docs, "_scored_")
+    out = docs.withColumn(both, scored(F.col(text)))
+    return out.withColumns({c: F.col(both)[c] for c in (score_col, spans_col)}).drop(both)
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, with the same columns."""
-    return (score_documents(docs, model, text=text, threshold=threshold, score_col="_tox", spans_col="_tox_spans")
-            .where(F.col("_tox") < threshold).select(*docs.columns))
+    mark = free_prefix(docs, "_tox_")
+    scored = score_documents(docs, model, text=text, threshold=threshold, score_col=mark + "score", spans_col=mark + "spans")
+    return scored.where(F.col(mark + "score") < threshold).select(*docs.columns)
