@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import free_prefix
+
 # Wording of public licences and of their usual notices, as
 # normalised parts of a sentence ("#" stands for a number).  None spans a mark
 # at which STOP cuts the real text; names that users fill in are left out.
@@ -94,16 +96,21 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", gap: int = 2, licenses
     Sentences are read twice: cut at line ends too, which finds notices that
     stand in a line of their own, and with wrapped lines joined up to a blank
     line or a copyright line, which finds sentences wrapped over lines; rules
-    are matched to either sequence.  Null and empty texts have none.  Existing columns of these names are replaced.
+    are matched to either sequence.  Null and empty texts have none; texts of
+    any length are read whole; repeated rows repeat their result; an empty
+    table gives no rows.  Existing columns of these two names are replaced,
+    all others kept.
     """
-    found = docs.withColumns({"_lines": sentence_ids(F.col(text)), "_flow": sentence_ids(F.col(text), FLOW_BREAK)})
-    found = found.withColumns({"_by_line": F.concat(F.lit(","), F.array_join("_lines", ","), F.lit(",")),
-                               "_by_flow": F.concat(F.lit(","), F.array_join("_flow", ","), F.lit(","))})
-    matched = F.array(*(F.when(F.rlike("_by_line", F.lit(rule_pattern(ids, gap)))
-                               | F.rlike("_by_flow", F.lit(rule_pattern(ids, gap))), name)
+    mark = free_prefix(docs, "_license_")
+    lines, flow, by_line, by_flow = (mark + n for n in ("lines", "flow", "by_line", "by_flow"))
+    found = docs.withColumns({lines: sentence_ids(F.col(text)), flow: sentence_ids(F.col(text), FLOW_BREAK)})
+    found = found.withColumns({by_line: F.concat(F.lit(","), F.array_join(lines, ","), F.lit(",")),
+                               by_flow: F.concat(F.lit(","), F.array_join(flow, ","), F.lit(","))})
+    matched = F.array(*(F.when(F.rlike(by_line, F.lit(rule_pattern(ids, gap)))
+                               | F.rlike(by_flow, F.lit(rule_pattern(ids, gap))), name)
                         for name, ids in RULES))
     known = lambda c: F.filter(c, lambda i: i != "")
     return (found.withColumns({licenses_col: F.array_distinct(F.filter(matched, lambda n: n.isNotNull())),
-                               sentences_col: F.when(F.size(known("_lines")) >= F.size(known("_flow")), known("_lines"))
-                               .otherwise(known("_flow"))})
-            .drop("_lines", "_flow", "_by_line", "_by_flow"))
+                               sentences_col: F.when(F.size(known(lines)) >= F.size(known(flow)), known(lines))
+                               .otherwise(known(flow))})
+            .drop(lines, flow, by_line, by_flow))

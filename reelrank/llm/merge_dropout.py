@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from ..session import ship_package
+from .names import free_prefix
 from .token_files import in_chunks
 
 SPACE = "\u2581"                       # the model's mark for a space
@@ -285,6 +286,15 @@ def document_key(doc_id: Column, text: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text), F.lit("")))
 
 
+_SEGMENTERS: dict[tuple[str, float], Segmenter] = {}          # of this worker process, which serves many tasks
+
+
+def _segmenter(model_file: str, dropout: float) -> Segmenter:
+    if (model_file, dropout) not in _SEGMENTERS:
+        _SEGMENTERS[model_file, dropout] = Segmenter(model_file, dropout)
+    return _SEGMENTERS[model_file, dropout]
+
+
 def encode_documents(docs: DataFrame, model_file: str, *, dropout: float = 0.1, seed: int = 1,
                      doc_id: str = "doc_id", text: str = "text", ids_col: str = "piece_ids",
                      lossless_col: str = "lossless") -> DataFrame:
@@ -293,8 +303,9 @@ def encode_documents(docs: DataFrame, model_file: str, *, dropout: float = 0.1,
 
     Whole texts are encoded.  Null and empty texts have no ids; a null text
     counts as empty.  Rows that repeat an id and text repeat its
-    segmentation; another ``seed`` gives another one.  Existing columns of
-    these names are replaced.
+    segmentation; another ``seed`` gives another one.  Texts of any length are
+    encoded; an empty table gives no rows.  Existing columns of these names are
+    replaced, all others kept.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -303,16 +314,18 @@ def encode_documents(docs: DataFrame, model_file: str, *, dropout: float = 0.1,
 
     rows = docs.drop(ids_col, lossless_col)
     kept = rows.columns
-    rows = rows.withColumns({"_merge_text": F.coalesce(F.col(text), F.lit("")),
-                             "_merge_key": document_key(F.col(doc_id), F.col(text), seed)})
+    mark = free_prefix(rows, "_merge_")
+    whole_text, key = mark + "text", mark + "key"
+    rows = rows.withColumns({whole_text: F.coalesce(F.col(text), F.lit("")),
+                             key: document_key(F.col(doc_id), F.col(text), seed)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()           # the many remembered units hold no cycles; walking them takes a fifth of the time
-        segmenter = Segmenter(SparkFiles.get(name), dropout)
+        segmenter = _segmenter(SparkFiles.get(name), dropout)
         for whole in batches:
-            for batch in in_chunks(whole, "_merge_text", 1 << 21):
-                texts = batch.column("_merge_text").to_pylist()
-                ids = segmenter.encode_batch(texts, batch.column("_merge_key").to_pylist())
+            for batch in in_chunks(whole, whole_text, 1 << 21):
+                texts = batch.column(whole_text).to_pylist()
+                ids = segmenter.encode_batch(texts, batch.column(key).to_pylist())
                 lossless = [a == b for a, b in zip(segmenter.library.decode(ids), texts)]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .names import free_prefix
 from .ordering import in_order, running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,26 +111,29 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     and key; only where the cut falls among rows that share all four are these
     numbered, in the order of their hashes.
     """
+    row, pre = free_prefix(docs, "_row_"), free_prefix(docs, "_mix_")
     doc_id, text, source = kw.get("doc_id", "doc_id"), kw.get("text", "text"), kw.get("source", "source")
     size, copies = F.col("size"), F.col("copies")
     # so many of a row's copies have at least half their words before the cut
     extra = F.when(size > 0, F.greatest(F.lit(0), F.least(copies, F.floor((2 * F.col("room") + size) / (2 * size))))).otherwise(0)
     group = ["doc_id", "source", "size", "mix_key"]
     plan = _placed(docs, **kw).withColumn("extra", extra.cast("long")).select(
-        *(F.col(c).alias(f"_mix_{c}") for c in [*group, "copies", "epochs", "extra"]))
-    plan = checkpoint(plan.where("_mix_epochs + _mix_extra > 0"))
-    rows = docs.withColumns({"_row_doc_id": F.col(doc_id), "_row_source": F.col(source), "_row_size": word_count(F.col(text)),
-                             "_row_mix_key": mix_key(F.col(doc_id), F.col(text), kw.get("seed", 1))})
-    same = [F.col(f"_row_{c}").eqNullSafe(F.col(f"_mix_{c}")) for c in ("doc_id", "source")]
-    same += [F.col(f"_row_{c}") == F.col(f"_mix_{c}") for c in ("size", "mix_key")]
-    parted = "_mix_extra > 0 and _mix_extra < _mix_copies"
+        *(F.col(c).alias(pre + c) for c in [*group, "copies", "epochs", "extra"]))
+    plan = checkpoint(plan.where(f"{pre}epochs + {pre}extra > 0"))
+    rows = docs.withColumns({row + "doc_id": F.col(doc_id), row + "source": F.col(source), row + "size": word_count(F.col(text)),
+                             row + "mix_key": mix_key(F.col(doc_id), F.col(text), kw.get("seed", 1))})
+    same = [F.col(row + c).eqNullSafe(F.col(pre + c)) for c in ("doc_id", "source")]
+    same += [F.col(row + c) == F.col(pre + c) for c in ("size", "mix_key")]
+    parted = f"{pre}extra > 0 and {pre}extra < {pre}copies"
     whole = rows.join(plan.where(f"not ({parted})"), same).withColumn(
-        "_mix_passes", F.col("_mix_epochs") + F.when(F.col("_mix_extra") > 0, 1).otherwise(0))
-    # one such group per source at most
+        pre + "passes", F.col(pre + "epochs") + F.when(F.col(pre + "extra") > 0, 1).otherwise(0))
+    # one such group per source at most; so few are sent to the rows, more meet them by a shuffle
+    parts = plan.where(parted)
+    parts = F.broadcast(parts) if parts.count() <= 10_000 else parts
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    turn = Window.partitionBy(*(f"_mix_{c}" for c in group)).orderBy(F.md5(F.col(text).cast("binary")), F.xxhash64(*hashed))
-    cut = rows.join(F.broadcast(plan.where(parted)), same).withColumn(
-        "_mix_passes", F.col("_mix_epochs") + F.when(F.row_number().over(turn) <= F.col("_mix_extra"), 1).otherwise(0))
-    return (whole.unionByName(cut).where("_mix_passes > 0")
-            .withColumn("_mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_passes"))))
+    turn = Window.partitionBy(*(pre + c for c in group)).orderBy(F.md5(F.col(text).cast("binary")), F.xxhash64(*hashed))
+    cut = rows.join(parts, same).withColumn(
+        pre + "passes", F.col(pre + "epochs") + F.when(F.row_number().over(turn) <= F.col(pre + "extra"), 1).otherwise(0))
+    return (whole.unionByName(cut).where(f"{pre}passes > 0")
+            .withColumn(pre + "pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col(pre + "passes"))))
             .select(*docs.columns))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship_package
 from .components import connected_components
+from .names import free_prefix
 
 BITS = 64
 
@@ -141,11 +142,13 @@ def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     then smallest text hash; of fully repeated rows, one."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **kw)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash"))
+    mark = free_prefix(docs, "_near_")
+    key, same_id, number = mark + "key", mark + "id", mark + "turn"
     keep = found.groupBy("component_fp").agg(first.alias("k")).select(
-        F.xxhash64("k.doc_id", "k.text_hash").alias("_near_key"), F.coalesce("k.doc_id", F.lit(-1)).alias("_near_id"))
-    rows = docs.withColumns({"_near_key": F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))),
-                             "_near_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))})
-    turn = Window.partitionBy("_near_key", "_near_id").orderBy(F.lit(0))
-    return (rows.join(keep.distinct(), ["_near_key", "_near_id"])
-            .withColumn("_near_turn", F.row_number().over(turn)).where("_near_turn = 1")
+        F.xxhash64("k.doc_id", "k.text_hash").alias(key), F.coalesce("k.doc_id", F.lit(-1)).alias(same_id))
+    rows = docs.withColumns({key: F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))),
+                             same_id: F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))})
+    turn = Window.partitionBy(key, same_id).orderBy(F.lit(0))
+    return (rows.join(keep.distinct(), [key, same_id])
+            .withColumn(number, F.row_number().over(turn)).where(F.col(number) == 1)
             .select(*docs.columns))

@@ -17,7 +17,9 @@ ROWS = [(1, "one two three four five", "en", "a", 5), (1, "one two three four fi
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CLASH = ["size", "fp", "key", "side", "u", "place", "_part", "score", "offending", "piece_ids", "lossless", "words",
-         "licenses", "turns", "part", "offset", "tokens", "node", "root", "taken", "target", "n", "h", "rep", "_text"]
+         "licenses", "turns", "part", "offset", "tokens", "node", "root", "taken", "target", "n", "h", "rep", "_text", "_lines",
+         "_license_lines", "_by_flow", "_scored_", "_scored", "_tox_score", "_tox", "_merge_text", "_merge_key", "_row_size",
+         "_mix_passes", "_MIX_copies", "_near_key", "_near_turn", "_id", "_y", "_at"]
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +86,16 @@ def test_toxicity_sample(spark, monkeypatch):
     assert fitted[1] == sorted((str(i), i % 2) for i in known)
 
 
+def test_toxicity_repeated_id(spark, monkeypatch):
+    """An id that repeats sends no more rows to the driver than the sample holds."""
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: fitted.append(texts))
+    many = spark.range(20000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    toxicity.train(many, labels.where(~toxicity.is_held_out(F.col("doc_id"))), max_rows=50)
+    assert fitted[0] == sorted(map(str, range(20000)))[:50]
+
+
 def test_merge_dropout(table):
     encoded = merge_dropout.encode_documents(table, PIECES)
     out = encoded.collect()
