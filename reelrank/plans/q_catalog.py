@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.display import confidence, runtime_text
 from ..functions.parse import genre_list
 from ..operators import catalog as cat
+from ..operators.rank_index import read_page, write_rank_index
+from ..session import ensure_checkpoint_dir
 from . import views as V
 from .oracle_views import with_views
 from .registry import query
@@ -200,6 +204,19 @@ def f2_unseen_best_for_a(spark, sf_dir):
     return _page(spark, sf_dir, "a", 8, seen_filter=[("a_seen", False)])
 
 
+DEEP = 8 + 16 * 6          # the desktop's first page and six more
+
+
+@query("f2_deep_page", _page_sql("(a_pct + b_pct) / 2 DESC NULLS LAST, title_id", 16, DEEP))
+def f2_deep_page(spark, sf_dir):
+    """A page far down, from the rank index of the whole catalog."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rank-{uuid.uuid4().hex}"
+    columns = ["title_id", "a_pct", "b_pct", "imdb_score", "year"]
+    order = cat.sort_keys("compat")
+    write_rank_index(catalog(spark, sf_dir).select(*columns), order, path)
+    return read_page(spark, path, order, 16, DEEP).select(*columns, F.col("pos").cast("int").alias("pos"))
+
+
 @query("f2_remaining_count", catalog_sql(
     "SELECT CAST(greatest(count(*) - 8, 0) AS BIGINT) AS remaining FROM catalog WHERE type = 'movie'"))
 def f2_remaining_count(spark, sf_dir):
