@@ -6,6 +6,7 @@ last-bit difference between the engines never reaches a value hash.
 """
 
 DOUBLE_COLUMNS = {
+    'i2_trained_vectors': ['norm'],
     'f2_deep_page': ['a_pct', 'b_pct', 'imdb_score'],
     'a10_saved_metrics': ['mae', 'r2'],
     'a9_saved_entity_stats': ['avg'],

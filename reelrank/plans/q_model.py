@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting
 from ..operators import encode as enc
 from ..operators import explain as X
+from ..operators import text_vectors
 from ..operators.aggregates import feature_importance, group_medians
 from ..operators.split import stratified_split
 from ..functions import parse as P
@@ -189,6 +190,21 @@ def i2_embed_text(spark, sf_dir):
                       F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
+TRAINED_DIM = 384
+
+
+@query("i2_trained_vectors", rf"""
+    SELECT doc_id, CAST({TRAINED_DIM} AS INTEGER) AS dim,
+           CAST(CASE WHEN regexp_matches(coalesce(text, ''), '\w\w') THEN 1 ELSE 0 END AS DOUBLE) AS norm
+    FROM documents""")
+def i2_trained_vectors(spark, sf_dir):
+    """Width and length of the trained vectors of all documents."""
+    docs = V.Tables(spark, sf_dir).documents.select("doc_id", "text")
+    out = text_vectors.embed_svd(docs, "text", text_vectors.fit_svd(docs, "text", TRAINED_DIM))
+    return out.select("doc_id", F.size("vec").alias("dim"),
+                      F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
 # ---------------------------------------------------------------- I3, I4, A10, I6
 
 @query("i3_train_and_evaluate")
