@@ -6,6 +6,8 @@ last-bit difference between the engines never reaches a value hash.
 """
 
 DOUBLE_COLUMNS = {
+    'b5_full_cards': ['imdb'],
+    'b6_full_details': ['imdb'],
     'i2_trained_vectors': ['norm'],
     'f2_deep_page': ['a_pct', 'b_pct', 'imdb_score'],
     'a10_saved_metrics': ['mae', 'r2'],

@@ -153,8 +153,13 @@ def _with_x(rows: DataFrame, genres: list[str]) -> DataFrame:
     """``x``: the slots and a flag for each genre of the vocabulary."""
     if not genres:
         return rows.withColumn("x", F.col("slots"))
-    flags = F.transform(F.array(*map(F.lit, genres)), lambda g: F.coalesce(F.array_contains("genres", g), F.lit(False)).cast("double"))
-    return rows.withColumn("x", F.concat("slots", flags))
+    return rows.withColumn("x", F.concat("slots", genre_flags(genres)))
+
+
+def genre_flags(vocabulary: list[str]):
+    """A flag for each genre of the vocabulary in ``genres``."""
+    return F.transform(F.array(*map(F.lit, vocabulary)),
+                       lambda g: F.coalesce(F.array_contains("genres", g), F.lit(False)).cast("double"))
 
 
 def boosted(train_rows: DataFrame, key: str, vec_dim: int, mode: str = "pooled", params=None,
