@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_cards, q_catalog, q_features, q_ingest, q_merge, q_reports, q_model, q_explain, q_stream  # noqa: F401
+    from . import q_cards, q_catalog, q_features, q_files, q_ingest, q_merge, q_reports, q_model, q_explain, q_stream  # noqa: F401
 
 
 def _rounded_query(fn, cols):
