@@ -13,6 +13,7 @@ Groups are written as text, ``a1,a2|b1;a3|b2,b3``: token ids of both sides;
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import re
@@ -23,12 +24,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint, ship_package
-from .token_files import PARQUET, in_chunks, scratch_folder
+from .token_files import (PARQUET, SPACE_RUN, Remembered, byte_of_char, encode_words, in_chunks, is_separable,
+                          scratch_folder)
 
 # Before a space that follows no space and that no white space follows.  A
 # byte-level tokenizer cuts there, and no piece of the other reaches across.
@@ -71,9 +74,9 @@ def group(a: str, b: str, size_b: int) -> Body:
 
 
 def joined(bodies: Iterable[Body]) -> Body:
-    bodies = [b for b in bodies if b.n_groups]
-    return Body(";".join([b.groups for b in bodies]), sum([b.n_a for b in bodies]), sum([b.n_b for b in bodies]),
-                sum([b.n_groups for b in bodies]), tuple(chain.from_iterable([b.links for b in bodies])))
+    bodies = [b for b in bodies if b[3]]
+    return Body(";".join([b[0] for b in bodies]), sum([b[1] for b in bodies]), sum([b[2] for b in bodies]),
+                sum([b[3] for b in bodies]), tuple(chain.from_iterable([b[4] for b in bodies])))
 
 
 def compose(x: Fragment, y: Fragment, size_b: int) -> Fragment:
@@ -95,18 +98,15 @@ def whole(fragment: Fragment, size_b: int) -> Body:
 
 
 class Aligner:
-    """Both tokenizers, and the aligned units they have met (at most ``room``)."""
+    """Both tokenizers, and the aligned units they have met (at most twice ``room``)."""
 
-    def __init__(self, a_file: str, b_file: str, room: int = 250_000):
+    def __init__(self, a_file: str, b_file: str, room: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"        # the tasks are the parallelism
-        import json
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        spec = json.loads(self.a.to_str())
         back = byte_of_char()
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
@@ -118,67 +118,98 @@ class Aligner:
         model = sentencepiece_model_pb2.ModelProto()
         with open(b_file, "rb") as f:
             model.ParseFromString(f.read())
-        before, normal = spec.get("pre_tokenizer") or {}, model.normalizer_spec
-        self.separable = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
-                          and not before.get("add_prefix_space") and not spec.get("normalizer")
-                          and normal.add_dummy_prefix and not normal.remove_extra_whitespaces
+        normal = model.normalizer_spec
+        self.separable = (is_separable(self.a) and normal.add_dummy_prefix and not normal.remove_extra_whitespaces
                           and not normal.precompiled_charsmap and not model.trainer_spec.treat_whitespace_as_suffix
                           and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces))
-        self.room = room
-        self.known: dict[str, Body | None] = {}
+        self.a_sizes = np.array([len(x) for x in self.a_bytes])
+        self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        # ids as text, inside and at the end of a group
+        self.said = [np.array([f"{i}{mark}" for i in range(n)], object) for n, mark in (
+            (len(self.a_bytes), ","), (len(self.a_bytes), "|"), (self.size_b, ","), (self.size_b, ";"))]
+        self.known = Remembered(room if self.separable else 0)          # Body, or None, by the unit less its space
 
     def units(self, text: str) -> list[str]:
-        """Units of a text that begins with the space before it, or at a safe cut."""
-        return SAFE.split(text) if self.separable else [text]
+        """Units, each less the space that begins it, of a text less the space
+        that begins it (or the safe cut where it begins)."""
+        if not self.separable:
+            return [text]
+        if SPACE_RUN.search(text) or text[:1].isspace() or text.endswith(" "):
+            return [u[1:] for u in SAFE.split(" " + text)]
+        return text.split(" ")
 
     def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """A and B ids of each unit; None if the bytes of either are not the unit's."""
-        left = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        right = self.b.encode([u[1:] for u in units], num_threads=1)
+        left = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        right = self.b.encode(units, num_threads=1)
         a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for unit, a, b in zip(units, left, right):
-            data = unit.encode()
+            data = (" " + unit).encode()
             yield (a, b) if b"".join(map(a_of, a)) == data == b"".join(map(b_of, b)) else None
 
+    def words(self, words: list[str], together: int = 64) -> list[Body]:
+        """The groups of words without spaces or U+2581, each with the space
+        before it.  Many are encoded as one text, which both tokenizers cut
+        between them, and all are aligned at once by the bytes where tokens end."""
+        if not words:
+            return []
+        ids_a, cuts_a = encode_words(self.a, self.a_sizes, words, together)
+        found = self.b.encode([" ".join(words[i:i + together]) for i in range(0, len(words), together)], num_threads=1)
+        ids_b = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        if ends_a[-1] != ends_b[-1]:
+            raise ValueError("the piece model changes the text")
+        last_a = np.flatnonzero(ends_b[np.searchsorted(ends_b, ends_a)] == ends_a)          # tokens that end a group
+        last_b = np.searchsorted(ends_b, ends_a[last_a])
+        cuts = np.searchsorted(last_a, cuts_a - 1) + 1                                       # groups up to each word's end
+        if not np.array_equal(last_a[cuts - 1], cuts_a - 1):
+            raise ValueError("the piece model merges across its cuts")
+        # a group's tokens stand side by side: those of A, those of B
+        group_a = np.searchsorted(last_a, np.arange(len(ids_a)))
+        group_b = np.searchsorted(last_b, np.arange(len(ids_b)))
+        pieces = np.empty(len(ids_a) + len(ids_b), object)
+        at_a = np.arange(len(ids_a)) + np.concatenate(([0], last_b + 1))[group_a]
+        at_b = np.arange(len(ids_b)) + (last_a + 1)[group_b]
+        said_a, said_b = self.said[0][ids_a], self.said[2][ids_b]
+        said_a[last_a], said_b[last_b] = self.said[1][ids_a[last_a]], self.said[3][ids_b[last_b]]
+        pieces[at_a], pieces[at_b] = said_a, said_b
+        pieces, ends = pieces.tolist(), (at_b[last_b] + 1)[cuts - 1].tolist()
+        links = (ids_a[last_a].astype(np.int64) * self.size_b + ids_b[last_b]).tolist()
+        n_a = np.diff(cuts_a, prepend=0).tolist()
+        n_b = np.diff(last_b[cuts - 1] + 1, prepend=0).tolist()
+        cuts = cuts.tolist()
+        make = tuple.__new__           # without the checks of Body()
+        return [make(Body, ("".join(pieces[p:q])[:-1], a, b, d - c, tuple(links[c:d])))
+                for p, q, a, b, c, d in zip([0, *ends], ends, n_a, n_b, [0, *cuts], cuts)]
+
     def learn(self, units: Iterable[str]) -> None:
         """Align the units not met yet."""
-        new = list(set(units).difference(self.known))
-        a_bytes, b_bytes, size_b = self.a_bytes, self.b_bytes, self.size_b
-        for unit, ids in zip(new, self.tokens(new)):
-            if ids is None:
-                self.known[unit] = None
-                continue
-            a, b = ids
-            groups, links, i, j, n = [], [], 0, 0, len(a)
-            while i < n:
-                i0, j0 = i, j
-                behind = len(a_bytes[a[i]]) - len(b_bytes[b[j]])
-                i, j = i + 1, j + 1
-                while behind:
-                    if behind > 0:
-                        behind -= len(b_bytes[b[j]])
-                        j += 1
-                    else:
-                        behind += len(a_bytes[a[i]])
-                        i += 1
-                groups.append(f"{a[i0]}|{b[j0]}" if i - i0 == j - j0 == 1 else
-                              f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                links.append(a[i - 1] * size_b + b[j - 1])
-            self.known[unit] = Body(";".join(groups), n, len(b), len(groups), tuple(links))
-
-    def forget(self) -> None:
-        if len(self.known) > self.room or not self.separable:
-            self.known.clear()
+        new = self.known.missing(units)
+        plain = [u for u in new if u and " " not in u and SPACE_MARK not in u and not u[0].isspace()] if self.separable else []
+        self.known.update(zip(plain, self.words(plain)))
+        other = list(set(new).difference(plain))
+        for unit, ids in zip(other, self.tokens(other)):
+            self.known[unit] = None if ids is None else self._aligned(*ids)
+
+    def _aligned(self, a: list[int], b: list[int]) -> Body:
+        """The groups of one unit's tokens."""
+        ends = [list(accumulate(sizes[i] for i in ids)) for sizes, ids in ((self.a_sizes, a), (self.b_sizes, b))]
+        i = j = 0
+        bodies = []
+        for end in sorted(set(ends[0]).intersection(ends[1])):
+            p, q = ends[0].index(end, i) + 1, ends[1].index(end, j) + 1
+            bodies.append(group(",".join(map(str, a[i:p])), ",".join(map(str, b[j:q])), self.size_b))
+            i, j = p, q
+        return joined(bodies)
 
     def documents(self, texts: list[str | None]) -> list[Body]:
         """The groups of whole texts; none where they do not stand for the text."""
-        units = [self.units(" " + t) if t else [] for t in texts]
+        units = [self.units(t) if t else [] for t in texts]
         self.learn(chain.from_iterable(units))
         known, out = self.known.__getitem__, []
         for some in units:
             bodies = list(map(known, some))
             out.append(NOTHING if None in bodies else joined(bodies))
-        self.forget()
         return out
 
     def ends_inside(self, unit: str, low: int, high: int) -> Fragment | None:
@@ -201,11 +232,11 @@ class Aligner:
     def fragment(self, piece: str, low: int, high: int) -> Fragment | None:
         """The fragment of the bytes (low, high] of a piece that begins and
         ends at safe cuts; None if its tokens do not stand for it."""
-        units = self.units(piece)
+        units = self.units(piece[1:])
         self.learn(units)
         out, closed, at = EMPTY, [], 0
         for unit in units:
-            end = at + len(unit.encode())
+            end = at + 1 + len(unit.encode())
             if (body := self.known[unit]) is None:
                 return None
             if at >= low and end <= high and out.body is not None:
@@ -214,7 +245,6 @@ class Aligner:
                 out = compose(self._with(out, closed), self.ends_inside(unit, low - at, high - at), self.size_b)
                 closed = []
             at = end
-        self.forget()
         return self._with(out, closed)
 
     @staticmethod
@@ -232,28 +262,35 @@ class Aligner:
                 + sum(n * a.get(x[i:], 0) for x, n in b.items() for i in range(1, len(x))))
 
 
-def byte_of_char() -> dict[str, int]:
-    """Byte of each character of a byte-level vocabulary: printable bytes
-    stand for themselves, the others for the characters from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
-
-
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}          # of this worker process, which serves many tasks
 
 
 def _aligner(a_name: str, b_name: str) -> Aligner:
     if (a_name, b_name) not in _ALIGNERS:
+        gc.disable()           # the many remembered units hold no cycles; walking them takes a fifth of the time
         _ALIGNERS[a_name, b_name] = Aligner(SparkFiles.get(a_name), SparkFiles.get(b_name))
     return _ALIGNERS[a_name, b_name]
 
 
+def _forget_aligners() -> None:
+    """Encoding is over: what this worker remembers would only take room."""
+    if _ALIGNERS:
+        _ALIGNERS.clear()
+        gc.enable()
+        gc.collect()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def byte_ranges(text: str, chunk_bytes: int, units: list[str]) -> Iterator[tuple[str, int, int]]:
     """(piece, low, high): a text's ranges of about ``chunk_bytes`` bytes, each
     with the bytes around it up to safe cuts.  Bounds fall anywhere, but not
     inside a unit longer than a range, which only one range encodes."""
-    cuts = np.concatenate(([0], np.cumsum([len(u.encode()) for u in units])))
+    cuts = np.concatenate(([0], np.cumsum([1 + len(u.encode()) for u in units])))
     total = int(cuts[-1])
     bounds = [0]
     for at in range(chunk_bytes, total, chunk_bytes):
@@ -263,7 +300,7 @@ def byte_ranges(text: str, chunk_bytes: int, units: list[str]) -> Iterator[tuple
     for low, high in zip(bounds, [*bounds[1:], total]):
         first, last = int(np.searchsorted(cuts, low, "right")) - 1, int(np.searchsorted(cuts, high, "left"))
         begin = int(cuts[first])
-        yield "".join(units[first:last]), low - begin, high - begin
+        yield " " + " ".join(units[first:last]), low - begin, high - begin
 
 
 BODY = "groups string, n_a long, n_b long, n_groups long, links array<long>"
@@ -334,7 +371,7 @@ def align_documents(docs: DataFrame, a_file: str, b_file: str, *, chunk_bytes: i
         align = _aligner(a_name, b_name)
         for batch in batches:
             for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                parts = list(byte_ranges(t, chunk_bytes, align.units(" " + t)))
+                parts = list(byte_ranges(t, chunk_bytes, align.units(t)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array([p for p, _, _ in parts]),
                      pa.array([a for _, a, _ in parts], pa.int64()), pa.array([b for _, _, b in parts], pa.int64())],
@@ -347,8 +384,9 @@ def align_documents(docs: DataFrame, a_file: str, b_file: str, *, chunk_bytes: i
             for r in rows:
                 yield _fragments([r["key"]], [r["k"]], [align.fragment(r["piece"], r["low"], r["high"])])
 
+    size_b = sentencepiece.SentencePieceProcessor(model_file=b_file).get_piece_size()
+
     def reduce_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_b = _aligner(a_name, b_name).size_b
         for batch in batches:
             for r in batch.to_pylist():
                 some = [_from_row(x) for x in r["some"]]
@@ -356,7 +394,6 @@ def align_documents(docs: DataFrame, a_file: str, b_file: str, *, chunk_bytes: i
                 yield _fragments([r["key"]], [r["k"]], [one])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_b = _aligner(a_name, b_name).size_b
         for batch in batches:
             for r in batch.to_pylist():
                 f = _from_row(r)
@@ -398,8 +435,9 @@ def link_counts(aligned: DataFrame, a_file: str, b_file: str) -> tuple[np.ndarra
     (:meth:`Aligner.most_links`), whatever the corpus.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_aligners()
         links, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             new, n = np.unique(batch.column("links").flatten().to_numpy(zero_copy_only=False), return_counts=True)
             links, at = np.unique(np.concatenate((links, new)), return_inverse=True)
             counts = np.bincount(at, np.concatenate((counts, n)), len(links)).astype(np.int64)
@@ -424,8 +462,9 @@ def with_link_statistics(aligned: DataFrame, a_file: str, b_file: str) -> DataFr
     rest = [f for f in aligned.schema.fields if f.name != "links"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_aligners()
         links, counts, best = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column("links")
             sizes = np.diff(lists.offsets.to_numpy())
             at = np.searchsorted(links, lists.flatten().to_numpy(zero_copy_only=False))
