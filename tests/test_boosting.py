@@ -127,3 +127,26 @@ def test_edges(spark):
     assert edges[1] == [0.0] and edges[2] == [] and 0 < len(edges[0]) <= 7
     empty = spark.createDataFrame([], "key string, id long, x array<double>, y double")
     assert B.fit(empty, key="key", label="y", order="id", rounds=2).count() == 0
+
+
+def test_a_level_of_a_wide_key_costs_no_waits(spark, data):
+    """A barrier stage's gather waits a second, one a level."""
+    import time
+    rows, *_, edges = data
+    begun = time.time()
+    p = {**PARAMS, "rounds": 30}
+    assert B.fit(rows, key="key", label="y", order="id", edges=edges, rows_a_task=90, **p).where("tree = 29").count()
+    assert time.time() - begun < 60
+
+
+def test_joint_codes_hold_every_feature():
+    rng = np.random.default_rng(1)
+    sizes = np.array([2, 1, 30, 64, 2, 2, 3, 256])
+    x = np.column_stack([rng.integers(0, n, 500) for n in sizes]).astype(np.uint8)
+    joint, node, g = B.Joint(sizes), rng.integers(0, 3, 500), rng.normal(size=500)
+    codes = joint.codes(x)
+    for f in np.flatnonzero(sizes > 1):
+        assert (joint.bins(codes, np.arange(500), np.full(500, f)) == x[:, f]).all()
+    sums, counts = joint.histograms([(codes[:, a:a + 250], np.arange(250), node[a:a + 250], g[a:a + 250]) for a in (0, 250)], 3)
+    plain = B.Grower(x, [[0.0] * (n - 1) for n in sizes], np.zeros(500, int), 1, g, PARAMS).histograms(np.arange(500), node, 3, g)
+    assert sums == pytest.approx(plain[0], abs=1e-9) and (counts == plain[1]).all()
