@@ -14,7 +14,7 @@ from ..operators.aggregates import feature_importance, group_medians
 from ..operators.split import stratified_split
 from ..functions import parse as P
 from ..functions.display import clip_rating
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint, ensure_checkpoint_dir
 from . import champions as C
 from . import model as MD
 from . import views as V
@@ -55,7 +55,7 @@ def _rated_rows(spark, t):
     """Everyone's ratings with attributes and the hold-out flag, written once
     per data version: the medians, the averages and the rows all read them."""
     def build():
-        return stratified_split(enc.leave_one_out(V.history_full(t)).join(_title_attrs(spark, t), "title_id"))
+        return stratified_split(enc.leave_one_out(V.history_full(t, "rating")).join(_title_attrs(spark, t), "title_id"))
     return MD.stored(spark, "rated|" + _version(spark, t.sf_dir), build)
 
 
@@ -71,7 +71,7 @@ def train_rows(spark, sf_dir):
 def score_rows(spark, sf_dir):
     """Feature rows of every (person, title)."""
     t = V.Tables(spark, sf_dir)
-    h = V.history_full(t)
+    h = V.history_full(t, "rating")
     cand = people_titles(V.title_info(t), V.people(t)).select("user_id", "title_id", "director", "actors", "studio")
     look = enc.lookup_entity_stats(cand, enc.entity_stats(h), enc.overall_average(h)).drop("director", "actors", "studio")
     rows = look.join(_title_attrs(spark, t), "title_id").join(_fill_stats(_rated_rows(spark, t)), "user_id")
@@ -322,7 +322,8 @@ def _metrics_sql(pred):
 def i6_promote_if_better(spark, sf_dir):
     """The rule on two metric tables: challenger = the leave-one-out director
     mean, champion = the first actor's."""
-    loo = enc.leave_one_out(V.history_full(V.Tables(spark, sf_dir)))
+    loo = checkpoint(enc.leave_one_out(V.history_full(V.Tables(spark, sf_dir), "rating")).select(
+        "user_id", "rating", "director_avg_rating", "actor1_avg_rating"))
     chal, champ = (MD.evaluate(loo.withColumn("prediction", F.col(c)))
                    for c in ("director_avg_rating", "actor1_avg_rating"))
     return MD.promote_if_better(chal, champ)
@@ -330,10 +331,11 @@ def i6_promote_if_better(spark, sf_dir):
 
 def _two_submissions(spark, sf_dir):
     """Two versions submitted to an empty registry: the first actor's
-    leave-one-out mean, then the director's."""
+    leave-one-out mean, then the director's.  Both read one history and one
+    leave-one-out table, written once."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
-    h = V.history_full(V.Tables(spark, sf_dir))
-    loo = enc.leave_one_out(h)
+    h = checkpoint(V.history_full(V.Tables(spark, sf_dir), "rating").select("user_id", "title_id", "rating", "director", "actors", "studio"))
+    loo = checkpoint(enc.leave_one_out(h).select("user_id", "rating", "actor1_avg_rating", "director_avg_rating"))
     for version, column in (("v1", "actor1_avg_rating"), ("v2", "director_avg_rating")):
         C.submit(spark, base, version, MD.evaluate(loo.withColumn("prediction", F.col(column))), f"{base}/{version}",
                  {"entity_stats": enc.entity_stats(h), "history": h.select("user_id", "title_id", "rating")})
@@ -370,7 +372,7 @@ def a9_saved_run(spark, sf_dir):
     """The trained model submitted with all its side tables; rows of each as read back."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
     t, path = V.Tables(spark, sf_dir), model_path(spark, sf_dir)
-    h = V.history_full(t)
+    h = V.history_full(t, "rating")
     test, _ = _held_out(spark, sf_dir)
     side = {"entity_stats": enc.entity_stats(h), "feature_names": MD.boosted_names(spark, path), "trees": MD.trees(spark, path),
             "history": h.select("user_id", "title_id", "rating").join(
