@@ -7,9 +7,8 @@ all rows in one task, so the cut-off is found in two cheap passes instead:
 
 1. count rows per (stratum, first 16 bits of the hash) -- at most 65,536
    small rows per stratum, combined map-side;
-2. a running sum over those counts finds the one bucket that holds the
-   cut-off; rows of lower buckets are test, higher buckets train;
-3. only the boundary bucket (about n / 65,536 rows) is ranked exactly.
+2. a running sum over those counts says how many rows lie in lower buckets;
+3. rows are ranked inside their bucket (about n / 65,536 rows).
 
 The result equals the full sort exactly.
 """
@@ -38,22 +37,15 @@ def stratified_split(df: DataFrame, id_col: str = "title_id", rating_col: str =
     """Add ``bin`` and boolean ``is_test``; rows outside every bin are train."""
     by = list(by)
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
-    d = df.withColumns({"bin": rating_bin(rating_col), "_h": h})
-    d = d.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    d = df.withColumns({"bin": rating_bin(rating_col), "_b": F.conv(F.substring(h, 1, 4), 16, 10).cast("int")})
     keys = by + ["bin"]
     counts = d.filter(F.col("bin").isNotNull()).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_b")          # <= 65,536 rows per stratum
     counts = (counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
                     .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
                     .withColumn("_k", F.round(F.col("_n") * share).cast("long")))
-    sized = d.join(counts.select(*keys, "_b", "_before", "_k", F.col("_c").alias("_c2")),
-                   [*keys, "_b"], "left")
-    below = F.col("_before") + F.col("_c2") <= F.col("_k")  # whole bucket fits
-    # rank inside a bucket only where the cut-off falls in that bucket
-    boundary = (F.col("_before") < F.col("_k"))
-    wb = Window.partitionBy(*keys, "_b").orderBy("_h", id_col)
-    full_in = sized.filter(F.col("_k").isNull() | ~boundary | below) \
-                   .withColumn("is_test", F.coalesce(below & boundary, F.lit(False)))
-    part = sized.filter(F.col("_k").isNotNull() & boundary & ~below) \
-                .withColumn("is_test", (F.col("_before") + F.row_number().over(wb)) <= F.col("_k"))
-    return full_in.unionByName(part).drop("_h", "_b", "_before", "_k", "_c2")
+    sized = d.join(counts.select(*keys, "_b", "_before", "_k").hint("merge"), [*keys, "_b"], "left")
+    # ranked where the join left them, one shuffle for both; the hash is made again, not carried
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(h, id_col))
+    is_test = F.coalesce(F.col("_before") + rank <= F.col("_k"), F.lit(False))
+    return sized.withColumn("is_test", is_test).drop("_b", "_before", "_k")

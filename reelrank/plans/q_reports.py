@@ -121,7 +121,7 @@ def e5_argmax_per_key(spark, sf_dir):
                         WHEN rating > 8 AND rating <= 10 THEN 4 END AS bin
             FROM history))""", "history"))
 def e6_stratified_split(spark, sf_dir):
-    h = V.history(V.Tables(spark, sf_dir)).select("user_id", "title_id", "rating")
+    h = V.history(V.Tables(spark, sf_dir), "rating")
     return stratified_split(h).select("user_id", "title_id", "rating", "bin", "is_test")
 
 
@@ -199,7 +199,7 @@ def d7_parts():
 @query("d7_preference_stats", _d7_sql())
 def d7_preference_stats(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
-    h = V.history_full(t)
+    h = V.history_full(t, "rating")
     cands = people_titles(V.title_info(t), V.people(t)).select("user_id", "title_id", "genre", "director")
     keys = _tag_keys(spark, t)
     return prefs.preference_stats(h, cands, keys.select("title_id", "tag"), keys)
