@@ -12,7 +12,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest
     node reachable.  Edges are rewritten until each node points to its root;
     each round is checkpointed, and only its count and checksum reach the
-    driver.  Hubs are joined, not collected, so AQE can split them.
+    driver.  Hubs are joined, not collected, so AQE can split them; sides that
+    grow with the input are never broadcast, which would pass the driver.
     """
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                        .where("u <> v").distinct())
@@ -21,12 +22,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a node points to the node's smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = (both.join(least, "u").where("v > u")
+        edges = (both.join(least.hint("merge"), "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         edges = checkpoint(edges)
         # small star: smaller neighbours and the node itself point to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = (edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
         edges = checkpoint(small)
         now = _sum(edges)

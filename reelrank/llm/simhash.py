@@ -105,7 +105,7 @@ def near_links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     left = index.where("side in (0, 2)").select("key", "side", F.col("fp").alias("l"))
     right = index.where("side in (1, 2)").select("key", F.col("fp").alias("r"))
     near = F.bit_count(F.col("l").bitwiseXOR(F.col("r"))) <= max_bits
-    met = left.join(right, (left.key == right.key) & ((F.col("side") == 0) | (F.col("l") < F.col("r"))) & near)
+    met = left.join(right.hint("merge"), (left.key == right.key) & ((F.col("side") == 0) | (F.col("l") < F.col("r"))) & near)
     return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
 
 
@@ -128,11 +128,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2,
                                   fingerprint_column(F.col(text), shingle).alias("fp")))
     distinct = checkpoint(slim.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(near_links(distinct, max_bits))
-    classes = (distinct.join(roots, distinct.fp == roots.node, "left")
+    classes = (distinct.join(roots.hint("merge"), distinct.fp == roots.node, "left")
                .select("fp", "first_id", F.coalesce("root", "fp").alias("component_fp")))
     ids = classes.groupBy("component_fp").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(ids, "component_fp").select("fp", "component_fp", "component_id")
-    return slim.join(named, "fp").select(
+    named = classes.join(ids.hint("merge"), "component_fp").select("fp", "component_fp", "component_id")
+    return slim.join(named.hint("merge"), "fp").select(
         "doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_fp", "component_id")
 
@@ -149,6 +149,6 @@ def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     rows = docs.withColumns({key: F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))),
                              same_id: F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))})
     turn = Window.partitionBy(key, same_id).orderBy(F.lit(0))
-    return (rows.join(keep.distinct(), [key, same_id])
+    return (rows.join(keep.distinct().hint("merge"), [key, same_id])
             .withColumn(number, F.row_number().over(turn)).where(F.col(number) == 1)
             .select(*docs.columns))
