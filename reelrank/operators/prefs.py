@@ -5,6 +5,8 @@ A title's main genre and first director match every rated row whose list
 contains that text, case ignored (``Music`` matches ``Musical``).  The match is
 made between the distinct texts of both sides, through an index of short pieces
 (``joins.containing``); ratings are summed by (person, whole text) before.
+Sides that grow with titles are never broadcast: titles of a small, well packed
+file unfold to many times its size in the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: Da
         whole = (history.select("user_id", "rating", F.lower(col).alias("text")).where(F.col("text").isNotNull())
                  .groupBy("user_id", "text").agg(F.count(F.lit(1)).alias("_n"), F.sum("rating").alias("_s")))
         pairs = containing(c.select(key).distinct(), whole.select("text").distinct())
-        st = (whole.join(pairs, "text").groupBy("user_id", F.col("needle").alias(key))
+        st = (whole.join(pairs.hint("merge"), "text").groupBy("user_id", F.col("needle").alias(key))
               .agg(F.sum("_n").alias(f"{name}_count"), F.sum("_s").alias("_s")))
         return st.filter(F.col(f"{name}_count") >= min_n).select(
             "user_id", key, f"{name}_count", F.bround(F.col("_s") / F.col(f"{name}_count"), 1).alias(f"{name}_avg"))
@@ -47,14 +49,14 @@ def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: Da
                           F.lower(first_item("director")).alias("_dk"))
     g, d = text_stats("genre", "_gk", "genre", 3), text_stats("director", "_dk", "director", 2)
     out = (join_per_person(c, base, ["title_id"])
-           .join(g, ["user_id", "_gk"], "left")
-           .join(d, ["user_id", "_dk"], "left"))
+           .join(g.hint("merge"), ["user_id", "_gk"], "left")
+           .join(d.hint("merge"), ["user_id", "_dk"], "left"))
 
     # tag with >= 5 rated titles whose rounded mean deviates most from the average
-    ht = history.select("user_id", "title_id", "rating").join(history_tags.select("title_id", "tag"), "title_id")
+    ht = history.select("user_id", "title_id", "rating").join(history_tags.select("title_id", "tag").hint("merge"), "title_id")
     ts = (ht.groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("_n"), F.avg("rating").alias("_a"))
             .filter(F.col("_n") >= 5).select("user_id", "tag", "_n", F.bround("_a", 1).alias("_ta")))
-    ct = candidates.select("user_id", "title_id").join(candidate_tags, "title_id")
+    ct = candidates.select("user_id", "title_id").join(candidate_tags.hint("merge"), "title_id")
     # the average goes with the tags' few rows, not with the candidates
     ts = (join_per_person(ts, base.select("user_id", "avg_overall"), ["tag"], "inner")
           .withColumn("_delta", F.abs(F.col("_ta") - F.col("avg_overall"))).filter(F.col("_delta") > 0))
@@ -63,7 +65,7 @@ def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: Da
         F.struct(F.col("tag").alias("top_tag"), F.col("_ta").alias("top_tag_avg"),
                  F.col("_n").alias("top_tag_count")),
         F.struct(F.col("_delta"), -F.col("pos"))).alias("t"))
-    out = out.join(top.select("user_id", "title_id", "t.*"), ["user_id", "title_id"], "left")
+    out = out.join(top.select("user_id", "title_id", "t.*").hint("merge"), ["user_id", "title_id"], "left")
     return out.select("user_id", "title_id", "total_rated", "avg_overall", "avg_runtime_liked",
                       F.when(F.col("genre_count").isNotNull(), F.col("genre_name")).alias("genre_name"),
                       "genre_count", "genre_avg", "director_count", "director_avg",
