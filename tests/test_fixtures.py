@@ -206,6 +206,36 @@ def test_resolve_titles_exact_first(spark):
     assert out[(1, 11)] == 0 and out[(1, 10)] == 2 and out[(2, 10)] == 1
 
 
+def test_resolve_titles_of_shared_names(spark):
+    """Ids of several names, repeated rows and null ids, in blocks of two
+    queries; and the hits that can be a query's first ones."""
+    texts = [(i, ["spiderman", "Spider Man", "spider-man", "Heat", "nothing"][i % 5]) for i in range(40)] + [(0, "heat"), (None, "HEAT")]
+    titles = [(i, ["Spider Man", "spiderman", "HEAT", "Heat", "Alien", None][i % 6]) for i in range(60)] \
+        + [(3, "Spider Man"), (6, "spiderman"), (6, "spiderman"), (None, "heat"), (None, "spiderman"), (None, None)]
+    q = one(spark, texts, "query_id int, query string")
+    c = one(spark, titles, "title_id int, title string")
+    want = {}
+    for v in R.title_variants(q).collect():
+        for i, title in titles:
+            if title is not None and v.variant.lower() == title.lower():
+                want[v.query_id, i] = min(v["rank"], want.get((v.query_id, i), 9))
+    low = lambda x: (x is not None, x or 0)
+    full = R.resolve_titles(q, c, block=2)
+    assert sorted((low(r.query_id), low(r.title_id), r["rank"]) for r in full.collect()) \
+        == sorted((low(a), low(b), n) for (a, b), n in want.items())
+    # only ids of several names are aggregated behind the join
+    assert "_block" in full._jdf.queryExecution().optimizedPlan().toString()
+
+    def firsts(hits):
+        out = {}
+        for a, b, n in hits:
+            out.setdefault(a, []).append((n, low(b)))
+        return {a: sorted(found)[:4] for a, found in out.items()}
+    some = [(r.query_id, r.title_id, r["rank"]) for r in R.resolve_titles(q, c, first=4).collect()]
+    assert firsts(some) == firsts((a, b, n) for (a, b), n in want.items())
+    assert len(some) < len(want)
+
+
 # ---------------------------------------------------------------- C13
 
 def test_match_pages_by_slug_year(spark):
