@@ -33,3 +33,22 @@ def test_dedupe_is_an_aggregate(spark):
     p = plan(spark, "e2_dedupe_keep_first")
     assert "Window" not in p
     assert "Aggregate" in p
+
+
+def test_nearest_rated_reads_the_history_once(spark):
+    """History and matches are stored, not made anew for each use."""
+    for name in ["c9_nearest_rated", "c10_closest_for_pair"]:
+        p = plan(spark, name)
+        assert "lineitem" not in p, name
+        assert p.count("FlatMapCoGroupsInPandas") <= (name == "c9_nearest_rated"), name
+
+
+def test_history_of_some_titles(spark):
+    """Other titles' line items go before the joins."""
+    from reelrank.plans import views as V
+    t = V.Tables(spark, SF)
+    some = t.part.filter("p_partkey % 7 = 0").selectExpr("p_partkey AS title_id")
+    part = V.history(t, "rating", titles=some.union(some))
+    want = V.history(t, "rating").filter("title_id % 7 = 0").collect()
+    assert sorted(part.collect()) == sorted(want) and want
+    assert "LeftSemi" in part._jdf.queryExecution().optimizedPlan().toString()
