@@ -31,6 +31,7 @@ from .token_files import in_chunks
 SPACE = "\u2581"                       # the model's mark for a space
 GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 DRAWS = 32                             # decisions drawn for a unit in one go
+RESTS = [(1 << n) - 1 for n in range(DRAWS + 2)]         # the first n decisions
 NEVER = np.int32(2 ** 31 - 1)
 
 
@@ -50,10 +51,11 @@ def _mix_array(z: np.ndarray) -> np.ndarray:
 class Segmenter:
     """Agenda segmentation over the pieces and scores of one model file.
 
-    ``room`` bounds the units whose segmentations are remembered.
+    ``room`` bounds the units whose segmentations are remembered; their ids are
+    held as bytes, a tenth of the room that lists of integers take.
     """
 
-    def __init__(self, model_file: str, dropout: float = 0.1, room: int = 400_000):
+    def __init__(self, model_file: str, dropout: float = 0.1, room: int = 100_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         found = [(sp.get_score(i), sp.id_to_piece(i), i) for i in range(sp.get_piece_size())
@@ -62,7 +64,8 @@ class Segmenter:
         ranks = np.searchsorted(np.unique(-scores), -scores)         # equal scores rank equal
         self.pieces = {p: (int(r), i) for (_, p, i), r in zip(found, ranks)}
         self.threshold = round(dropout * 65536)
-        self.room, self.known = room, {"": (0, [self.byte_ids[b] for b in SPACE.encode()])}
+        self.mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes()
+        self.room, self.known = room, {"": (0, self.mark)}
         self._pairs(sp.get_piece_size())
         self._boundaries()
 
@@ -164,9 +167,10 @@ class Segmenter:
                 heappush(agenda, (hit[0], before, left, size + len(symbols[before])))
         return self._plain([get(s, (0, -1))[1] for s in symbols if s], unit), used
 
-    def agendas(self, units: list[str], keys: np.ndarray, threshold: int) -> tuple[list[list[int]], np.ndarray]:
+    def agendas(self, units: list[str], keys: np.ndarray, threshold: int) -> tuple[list[bytes], np.ndarray]:
         """The same for many units of similar length at once: in each step every
-        unit takes the best candidate of its agenda, and skips or merges it."""
+        unit takes the best candidate of its agenda, and skips or merges it.
+        Ids come as the bytes of 32-bit integers."""
         m = len(units)
         sizes = np.fromiter(map(len, units), np.int64, m)
         width = int(sizes.max()) + 1
@@ -180,7 +184,8 @@ class Segmenter:
         rank[:, :-1], into[:, :-1] = r.reshape(m, -1), i.reshape(m, -1)
         following = np.minimum(np.tile(np.arange(1, width + 1, dtype=np.int32), (m, 1)), width - 1)
         previous = np.tile(np.arange(-1, width - 1, dtype=np.int32), (m, 1))
-        used, row, step, draws = np.zeros(m, np.int64), np.arange(m), 0, None
+        row_numbers = np.arange(m)
+        used, row, step, draws = np.zeros(m, np.int64), row_numbers, 0, None
         while True:
             best = rank[row].argmin(axis=1)
             on = rank[row, best] != NEVER
@@ -205,15 +210,17 @@ class Segmenter:
             r, left, before = r[has], left[has], before[has]
             rank[r, before], into[r, before] = self._merged(symbols[r, before], symbols[r, left])
         keep = (symbols != -2) & inside
-        ends = np.cumsum(keep.sum(axis=1)).tolist()
-        flat = symbols[keep].tolist()
-        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
-        if -1 in flat:
-            out = [self._plain(ids, unit) for ids, unit in zip(out, units)]
+        counts = keep.sum(axis=1)
+        ends = (4 * np.cumsum(counts)).tolist()
+        flat = symbols[keep]
+        data = flat.tobytes()
+        out = [data[a:b] for a, b in zip([0, *ends], ends)]
+        for n in np.unique(np.repeat(row_numbers, counts)[flat == -1]).tolist():
+            out[n] = np.array(self._plain(np.frombuffer(out[n], np.int32).tolist(), units[n]), np.int32).tobytes()
         return out, used
 
-    def _solve(self, units: list[str], keys: np.ndarray, threshold: int) -> tuple[list, np.ndarray]:
-        """Agendas of any units: by lengths, long ones by the heap."""
+    def _solve(self, units: list[str], keys: np.ndarray, threshold: int) -> tuple[list[bytes], np.ndarray]:
+        """Agendas of any units, as bytes: by lengths, long ones by the heap."""
         out: list = [None] * len(units)
         used = np.zeros(len(units), np.int64)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
@@ -228,7 +235,8 @@ class Segmenter:
                 for i, ids in zip(part.tolist(), found):
                     out[i] = ids
         for i in np.flatnonzero(sizes > low).tolist():
-            out[i], used[i] = self.agenda(units[i], int(keys[i]), threshold)
+            ids, used[i] = self.agenda(units[i], int(keys[i]), threshold)
+            out[i] = np.array(ids, np.int32).tobytes()
         return out, used
 
     def encode_batch(self, texts: list[str | None], keys: list[int]) -> list[list[int]]:
@@ -251,7 +259,7 @@ class Segmenter:
         known = self.known
         if new := list(set(units).difference(known)):
             found, used = self._solve(new, np.zeros(len(new), np.uint64), 0)
-            known.update(zip(new, zip(((1 << np.minimum(used, DRAWS + 1)) - 1).tolist(), found)))
+            known.update(zip(new, zip(map(RESTS.__getitem__, np.minimum(used, DRAWS + 1).tolist()), found)))
         entries = [known[u] for u in units]
         got = [e[1] for e in entries]
         rests = np.fromiter((e[0] for e in entries), np.int64, len(entries))
@@ -264,8 +272,8 @@ class Segmenter:
                 got[i] = ids
         if len(known) > self.room:
             known.clear()
-            known[""] = (0, [self.byte_ids[b] for b in SPACE.encode()])
-        return [list(chain.from_iterable(got[a:b])) for a, b in zip([0, *ends], ends)]
+            known[""] = (0, self.mark)
+        return [np.frombuffer(b"".join(got[a:b]), np.int32).tolist() for a, b in zip([0, *ends], ends)]
 
     def _skip_bits(self, own: np.ndarray) -> np.ndarray:
         """Bit j: decision j is a skip; bit DRAWS, always set: more may be."""
@@ -323,7 +331,7 @@ def encode_documents(docs: DataFrame, model_file: str, *, dropout: float = 0.1,
         gc.disable()           # the many remembered units hold no cycles; walking them takes a fifth of the time
         segmenter = _segmenter(SparkFiles.get(name), dropout)
         for whole in batches:
-            for batch in in_chunks(whole, whole_text, 1 << 21):
+            for batch in in_chunks(whole, whole_text, 1 << 19):
                 texts = batch.column(whole_text).to_pylist()
                 ids = segmenter.encode_batch(texts, batch.column(key).to_pylist())
                 lossless = [a == b for a, b in zip(segmenter.library.decode(ids), texts)]

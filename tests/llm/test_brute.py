@@ -88,6 +88,15 @@ def test_merge_dropout():
     assert varied.encode_batch(texts, [8] * len(texts)) != together
 
 
+def test_remembered_units_are_small():
+    """A remembered unit's ids are bytes, not Python integers."""
+    segmenter = merge_dropout.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 0.1)
+    texts = [d["text"] for d in rows("documents")][:60]
+    segmenter.encode_batch(texts, list(range(60)))
+    known = [ids for unit, (_, ids) in segmenter.known.items() if unit]
+    assert len(known) > 100 and all(type(ids) is bytes for ids in known)
+
+
 @pytest.mark.parametrize("query, end", [("op9_token_files", 0), ("op3_token_scan", 50256)])
 def test_tokens(spark, query, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
