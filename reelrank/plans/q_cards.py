@@ -30,8 +30,12 @@ def _posters(t):
 
 
 def full_cards(base, metadata, posters):
-    """The card with content rating (``N/A``) and poster (empty) in place of nulls."""
-    return (cards(base).join(metadata.select(F.col("title_id").alias("id"), "rated"), "id", "left").join(posters, "id", "left")
+    """The card with content rating (``N/A``) and poster (empty) in place of nulls.
+
+    Side tables hold a row a title: their small files unfold to many times
+    their size, so they are never broadcast (``merge``)."""
+    rated = metadata.select(F.col("title_id").alias("id"), "rated")
+    return (cards(base).join(rated.hint("merge"), "id", "left").join(posters.hint("merge"), "id", "left")
             .withColumns({"rating": F.coalesce("rated", F.lit("N/A")), "poster": F.coalesce("poster", F.lit(""))}).drop("rated"))
 
 
@@ -53,7 +57,8 @@ def full_details(base, metadata, posters, guides):
         F.col("rt_score").cast("int").alias("rt_int"), F.col("metascore").cast("int").alias("meta_int"),
         award_text("oscar_win", "oscar_nom", "award_wins", "award_noms").alias("awards"))
     levels = guides.withColumnRenamed("title_id", "id")
-    out = full_cards(base, metadata, posters).join(more, "id", "left").join(levels.select("id", *G5), "id", "left")
+    out = (full_cards(base, metadata, posters).join(more.hint("merge"), "id", "left")
+           .join(levels.select("id", *G5).hint("merge"), "id", "left"))
     return out.withColumns({
         "synopsis": F.coalesce("synopsis", F.lit("")), "director": F.coalesce("director", F.lit("N/A")),
         "cast_list": F.coalesce("cast_list", F.array().cast("array<string>")),

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from reelrank.llm import simhash
 from reelrank.operators.split import stratified_split
-from reelrank.plans import q_model
+from reelrank.plans import q_cards, q_model
 from reelrank.plans import views as V
+from reelrank.session import checkpoint
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,14 @@ def test_history_is_never_broadcast(spark):
         assert "BroadcastHashJoin" not in plan(df)
 
 
+def test_details_never_broadcast_titles(spark):
+    """Metadata, posters and guides hold a row a title, whatever their files' sizes."""
+    t = V.Tables(spark, SF)
+    guides = t.documents.select(F.col("doc_id").alias("title_id"), *[F.col("lang").alias(c) for c in q_cards.G5])
+    out = q_cards.full_details(checkpoint(q_cards.catalog(spark, SF)), q_cards.flat(spark, SF), q_cards._posters(t), guides)
+    assert "BroadcastHashJoin" not in plan(out) and out.count()
+
+
 def test_history_columns(spark):
     t = V.Tables(spark, SF)
     assert V.history(t, "rating").columns == ["user_id", "title_id", "rating"]
