@@ -98,14 +98,60 @@ def encode_words(tokenizer, sizes: np.ndarray, words: list[str], together: int =
     return ids, cuts
 
 
-def encoder(tokenizer_file: str, end_id: int, room: int = 300_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+class Numbered:
+    """Numbers of units, and their ids end to end in one array.  Number 0 is
+    the end of a document.  ``after`` numbers words behind a space, ``alone``
+    other units; over ``room`` units, all are forgotten."""
+
+    def __init__(self, end_id: int, room: int):
+        self.end_id, self.room = end_id, room
+        self.forget()
+
+    def forget(self) -> None:
+        self.after, self.alone = {}, {}
+        self.ids, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.n = 0
+        self.add([self.end_id], [1])
+
+    def full(self) -> bool:
+        return self.n > self.room
+
+    @staticmethod
+    def _with_room(values: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(values):
+            return values
+        wider = np.zeros(max(n, len(values) * 3 // 2), values.dtype)
+        wider[:len(values)] = values
+        return wider
+
+    def add(self, ids, ends) -> range:
+        """Numbers of new units, whose ids stand end to end and end at ``ends``."""
+        at, n = int(self.begins[self.n]), self.n + len(ends)
+        self.ids, self.begins = self._with_room(self.ids, at + len(ids)), self._with_room(self.begins, n + 1)
+        self.ids[at:at + len(ids)] = ids
+        self.begins[self.n + 1:n + 1] = at + np.asarray(ends, np.int64)
+        numbers, self.n = range(self.n, n), n
+        return numbers
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.begins[numbers + 1] - self.begins[numbers]
+
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Ids of units, end to end."""
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]))
+        at += np.repeat(self.begins[numbers] - (ends - sizes), sizes)
+        return self.ids[at]
+
+
+def encoder(tokenizer_file: str, end_id: int, room: int = 1_000_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Function from texts to their ids, each followed by ``end_id``, as one
     uint32 array and the documents' lengths.  Strings of special tokens in a
     text are ordinary text.
 
     A byte-level tokenizer always cuts before a space that no white space
     follows, and merges nothing across its cuts.  Its texts are cut there, and
-    the library encodes each different unit once (up to twice ``room`` units
+    the library encodes each different unit once (until more than ``room``
     are remembered); other tokenizers encode texts whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"        # the tasks are the parallelism
@@ -116,29 +162,49 @@ def encoder(tokenizer_file: str, end_id: int, room: int = 300_000) -> Callable[[
     sizes = np.zeros(max(tokenizer.get_vocab().values()) + 1, np.int64)
     for token, i in tokenizer.get_vocab().items():
         sizes[i] = len(token)                             # a character stands for a byte
-    after, alone = Remembered(room), Remembered(room if separable else 0)      # ids as bytes
-    end = np.array([end_id], np.uint32).tobytes()
+    known = Numbered(end_id, room if separable else 0)
 
-    def cut(text: str) -> tuple[list[str], list[str]]:
-        """Units to encode as they are, and the words after single spaces behind them."""
+    def cut(text: str) -> tuple[list[str], str | None]:
+        """Units to encode as they are, and the words after single spaces behind them, if any."""
         if not separable:
-            return [text], []
+            return [text], None
         if SPACE_RUN.search(text) or text.endswith(" "):
-            return SEPARABLE.split(text), []
-        parts = text.split(" ")
-        return parts[:1], parts[1:]
+            return SEPARABLE.split(text), None
+        first, _, rest = text.partition(" ")
+        return [first], rest or None
+
+    def numbers_after(words: list[str]) -> np.ndarray:
+        found = list(map(known.after.get, words))
+        if new := [w for w, at in zip(words, found) if at is None]:
+            known.after.update(zip(new, known.add(*encode_words(tokenizer, sizes, new))))
+            found = list(map(known.after.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def numbers_alone(units: list[str]) -> np.ndarray:
+        if new := list(dict.fromkeys(u for u in units if u not in known.alone)):
+            ids = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ends = np.cumsum([len(i) for i in ids])
+            known.alone.update(zip(new, known.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1])), ends)))
+        return np.fromiter(map(known.alone.__getitem__, units), np.int64, len(units))
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if known.full():
+            known.forget()
         plans = [cut(t) for t in texts]
-        if new := after.missing(chain.from_iterable([words for _, words in plans])):
-            ids, cuts = encode_words(tokenizer, sizes, new)
-            data, at = ids.tobytes(), (cuts * 4).tolist()
-            after.update((w, data[a:b]) for w, a, b in zip(new, [0, *at], at))
-        new = alone.missing(chain.from_iterable([units for units, _ in plans]))
-        alone.update((u, np.array(e.ids, np.uint32).tobytes())
-                     for u, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        rows = [b"".join([*map(alone.__getitem__, units), *map(after.__getitem__, words), end]) for units, words in plans]
-        return np.frombuffer(b"".join(rows), np.uint32), np.array([len(r) // 4 for r in rows], np.int64)
+        lists = pc.split_pattern(pa.array([rest for _, rest in plans], pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()       # nulls hold no word
+        n_after = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n_alone = np.array([len(units) for units, _ in plans], np.int64)
+        after = numbers_after(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        alone = numbers_alone([u for units, _ in plans for u in units])
+        # a document: its units, its words, its end
+        kinds = np.tile(np.array([1, 2, 0], np.int8), len(texts)).repeat(
+            np.column_stack((n_alone, n_after, np.ones_like(n_after))).ravel())
+        numbers = np.zeros(len(kinds), np.int64)
+        numbers[kinds == 1], numbers[kinds == 2] = alone, after
+        lengths = known.sizes(numbers)
+        ends = np.cumsum(lengths)[np.flatnonzero(kinds == 0)]
+        return known.joined(numbers, lengths), np.diff(ends, prepend=0)
     return encode
 
 
@@ -180,7 +246,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
         encode_texts = worker_encoder(SparkFiles.get(name), end_id)
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in in_chunks(whole, "text"):
+            for batch in in_chunks(whole, "text", 4 << 20):
                 ids, sizes = encode_texts(batch.column("text").to_pylist())
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(

@@ -56,7 +56,7 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer_file: str, separato
         store.create_dir(inside.rpartition("/")[0], recursive=True)
         with store.open_output_stream(inside) as out:
             for whole in batches:
-                for batch in in_chunks(whole, "text"):
+                for batch in in_chunks(whole, "text", 4 << 20):
                     ids, _ = encode_texts(batch.column("text").to_pylist())
                     if width == 2 and len(ids) and ids.max() > 0xFFFF:
                         raise ValueError("an id needs more than two bytes")

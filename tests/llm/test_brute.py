@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as E
 import corpus_pipeline
 from pyspark.sql import functions as F
-from reelrank.llm import ann, licenses, merge_dropout, mixing, simhash, toxicity
+from reelrank.llm import ann, licenses, merge_dropout, mixing, simhash, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +112,39 @@ def test_tokens(spark, query, end):
         at += len(ids)
 
 
+def test_encoder_encodes_a_unit_once(monkeypatch):
+    """Words that repeat within and over calls go to the library once; texts
+    of any spacing, and units forgotten for want of room, keep their ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    texts = [d["text"] or "" for d in rows("documents")][:30] + [
+        "", " ", "a", " a", "a ", "a  b", "a \nb", "\n", "a\nb c", " é\u00a0 x  <|endoftext|> y", "日本 語 ", "b b b b"]
+    asked = []
+    real = token_files.encode_words
+    monkeypatch.setattr(token_files, "encode_words", lambda t, s, words: asked.extend(words) or real(t, s, words))
+    for room in (1_000_000, 5):
+        encode = token_files.encoder(path, 7, room)
+        asked.clear()
+        for some in (texts, texts[::-1], texts[:1], texts[-1:]):
+            ids, sizes = encode(some)
+            want = [whole.encode(t, add_special_tokens=False).ids + [7] for t in some]
+            assert ids.dtype == np.uint32 and ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+        assert (len(asked) == len(set(asked))) == (room > 5)
+
+
+def test_numbered_units():
+    """Ids of all units stand in one array, not in an object each."""
+    known = token_files.Numbered(9, room=2)
+    assert list(known.add([4, 5, 6], [1, 1, 3])) == [1, 2, 3] and known.full()
+    numbers = np.array([3, 0, 2, 1, 0])
+    sizes = known.sizes(numbers)
+    assert sizes.tolist() == [2, 1, 0, 1, 1] and known.joined(numbers, sizes).tolist() == [5, 6, 9, 4, 9]
+    assert list(known.add(range(100_000), [100_000])) == [4] and known.sizes(np.array([4, 1])).tolist() == [100_000, 1]
+    known.forget()
+    assert not known.full() and known.n == 1
+
+
 def test_chat(spark):
     said = defaultdict(list)
     for r in rows("conversations"):
