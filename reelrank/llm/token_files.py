@@ -144,7 +144,7 @@ class Numbered:
         return self.ids[at]
 
 
-def encoder(tokenizer_file: str, end_id: int, room: int = 1_000_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def encoder(tokenizer_file: str, end_id: int, room: int = 700_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Function from texts to their ids, each followed by ``end_id``, as one
     uint32 array and the documents' lengths.  Strings of special tokens in a
     text are ordinary text.
