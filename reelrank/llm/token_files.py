@@ -33,6 +33,8 @@ PARQUET = {
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#offset": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
+SLICE = 8 << 20            # bytes of text encoded at once: its different words are looked up once
+AT_ONCE = 1 << 14          # new words given to the library in a call, whose result takes far more room than the ids
 SEPARABLE = re.compile(r"(?= \S)")
 SPACE_RUN = re.compile(r" \s")
 _ENCODERS: dict[tuple[str, int], Callable] = {}          # of this worker process, which serves many tasks
@@ -101,7 +103,8 @@ def encode_words(tokenizer, sizes: np.ndarray, words: list[str], together: int =
 class Numbered:
     """Numbers of units, and their ids end to end in one array.  Number 0 is
     the end of a document.  ``after`` numbers words behind a space, ``alone``
-    other units; over ``room`` units, all are forgotten."""
+    other units.  Over ``room`` units, those that one call alone has used are
+    forgotten; at most half the room is kept, the units used most."""
 
     def __init__(self, end_id: int, room: int):
         self.end_id, self.room = end_id, room
@@ -110,12 +113,35 @@ class Numbered:
     def forget(self) -> None:
         self.after, self.alone = {}, {}
         self.ids, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int32)           # calls that used a unit
         self.n = 0
         self.add([self.end_id], [1])
 
     def full(self) -> bool:
         return self.n > self.room
 
+    def use(self, numbers: np.ndarray) -> None:
+        """One more call uses these units, however often they stand in it."""
+        self.uses[numbers] += 1
+
+    def forget_rare(self) -> None:
+        """Uses are halved, so that a unit no longer met goes next time."""
+        uses, half = self.uses[1:self.n], self.room // 2
+        least = 2
+        if np.count_nonzero(uses >= least) > half:
+            least = int(np.partition(uses, len(uses) - 1 - half)[len(uses) - 1 - half]) + 1
+        kept = 1 + np.flatnonzero(uses >= least)
+        sizes = self.sizes(kept)
+        ids, uses = self.joined(kept, sizes), self.uses[kept] // 2
+        numbers = np.zeros(self.n, np.int64)
+        numbers[kept] = np.arange(1, len(kept) + 1)
+        number = numbers.tolist()
+        after, alone = ({u: number[at] for u, at in units.items() if number[at]} for units in (self.after, self.alone))
+        self.forget()
+        self.after, self.alone = after, alone
+        self.add(ids, np.cumsum(sizes))
+        self.uses[1:self.n] = uses
+
     @staticmethod
     def _with_room(values: np.ndarray, n: int) -> np.ndarray:
         if n <= len(values):
@@ -128,20 +154,22 @@ class Numbered:
         """Numbers of new units, whose ids stand end to end and end at ``ends``."""
         at, n = int(self.begins[self.n]), self.n + len(ends)
         self.ids, self.begins = self._with_room(self.ids, at + len(ids)), self._with_room(self.begins, n + 1)
+        self.uses = self._with_room(self.uses, n)
         self.ids[at:at + len(ids)] = ids
         self.begins[self.n + 1:n + 1] = at + np.asarray(ends, np.int64)
         numbers, self.n = range(self.n, n), n
         return numbers
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
-        return self.begins[numbers + 1] - self.begins[numbers]
+        return np.diff(self.begins[:self.n + 1])[numbers]
 
     def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of units, end to end."""
-        ends = np.cumsum(sizes)
-        at = np.arange(int(ends[-1]))
-        at += np.repeat(self.begins[numbers] - (ends - sizes), sizes)
-        return self.ids[at]
+        begins = self.begins[:self.n + 1] * self.ids.itemsize
+        units = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), self.n, [None, pa.py_buffer(begins), pa.py_buffer(self.ids)])
+        _, _, data = units.take(pa.array(numbers)).buffers()
+        return np.frombuffer(data or b"", self.ids.dtype, int(sizes.sum()))
 
 
 def encoder(tokenizer_file: str, end_id: int, room: int = 1_000_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
@@ -152,7 +180,7 @@ def encoder(tokenizer_file: str, end_id: int, room: int = 1_000_000) -> Callable
     A byte-level tokenizer always cuts before a space that no white space
     follows, and merges nothing across its cuts.  Its texts are cut there, and
     the library encodes each different unit once (until more than ``room``
-    are remembered); other tokenizers encode texts whole.
+    are remembered, see :class:`Numbered`); other tokenizers encode texts whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"        # the tasks are the parallelism
     from tokenizers import Tokenizer
@@ -176,35 +204,42 @@ def encoder(tokenizer_file: str, end_id: int, room: int = 1_000_000) -> Callable
     def numbers_after(words: list[str]) -> np.ndarray:
         found = list(map(known.after.get, words))
         if new := [w for w, at in zip(words, found) if at is None]:
-            known.after.update(zip(new, known.add(*encode_words(tokenizer, sizes, new))))
+            for begin in range(0, len(new), AT_ONCE):
+                some = new[begin:begin + AT_ONCE]
+                known.after.update(zip(some, known.add(*encode_words(tokenizer, sizes, some))))
             found = list(map(known.after.__getitem__, words))
-        return np.array(found, np.int64)
+        return np.array(found, np.int32)
 
     def numbers_alone(units: list[str]) -> np.ndarray:
         if new := list(dict.fromkeys(u for u in units if u not in known.alone)):
             ids = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             ends = np.cumsum([len(i) for i in ids])
             known.alone.update(zip(new, known.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1])), ends)))
-        return np.fromiter(map(known.alone.__getitem__, units), np.int64, len(units))
+        return np.fromiter(map(known.alone.__getitem__, units), np.int32, len(units))
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if known.full():
-            known.forget()
+            known.forget_rare()
         plans = [cut(t) for t in texts]
+        units = [u for some, _ in plans for u in some]
+        n_alone = np.array([len(some) for some, _ in plans], np.int64)
         lists = pc.split_pattern(pa.array([rest for _, rest in plans], pa.large_string()), " ")
-        words = lists.flatten().dictionary_encode()       # nulls hold no word
+        del plans                                         # copies of the texts, as lists
         n_after = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        n_alone = np.array([len(units) for units, _ in plans], np.int64)
-        after = numbers_after(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        alone = numbers_alone([u for units, _ in plans for u in units])
+        words = lists.flatten().dictionary_encode()       # nulls hold no word
+        del lists
+        after = numbers_after(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        alone = numbers_alone(units)
+        known.use(after)
+        known.use(alone)
         # a document: its units, its words, its end
         kinds = np.tile(np.array([1, 2, 0], np.int8), len(texts)).repeat(
             np.column_stack((n_alone, n_after, np.ones_like(n_after))).ravel())
-        numbers = np.zeros(len(kinds), np.int64)
-        numbers[kinds == 1], numbers[kinds == 2] = alone, after
+        numbers = np.zeros(len(kinds), np.int32)
+        numbers[kinds == 1], numbers[kinds == 2] = alone, after[words.indices.to_numpy()]
         lengths = known.sizes(numbers)
-        ends = np.cumsum(lengths)[np.flatnonzero(kinds == 0)]
-        return known.joined(numbers, lengths), np.diff(ends, prepend=0)
+        begins = np.concatenate(([0], np.flatnonzero(kinds == 0)[:-1] + 1))
+        return known.joined(numbers, lengths), np.add.reduceat(lengths, begins)
     return encode
 
 
@@ -246,7 +281,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
         encode_texts = worker_encoder(SparkFiles.get(name), end_id)
         part, offset = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in in_chunks(whole, "text", 4 << 20):
+            for batch in in_chunks(whole, "text", SLICE):
                 ids, sizes = encode_texts(batch.column("text").to_pylist())
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(

@@ -145,6 +145,42 @@ def test_numbered_units():
     assert not known.full() and known.n == 1
 
 
+def test_encoder_keeps_used_units(monkeypatch):
+    """Units that many calls use are not encoded again when room runs out, and
+    the library gets new words in calls of bounded size."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    asked = []
+    real = token_files.encode_words
+    monkeypatch.setattr(token_files, "encode_words", lambda t, s, words: asked.append(words) or real(t, s, words))
+    monkeypatch.setattr(token_files, "AT_ONCE", 2)
+    encode = token_files.encoder(path, 7, room=16)         # seven units in each call, three in one call alone
+    for n in range(30):
+        texts = [f"x the of and w{n}a w{n}b", f"x of  the w{n}c"]
+        ids, sizes = encode(texts)
+        want = [whole.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    times = Counter(w for words in asked for w in words)
+    assert times["the"] == times["of"] == times["and"] == 1 and len(times) == 3 + 2 * 30
+    assert max(map(len, asked)) == 2
+
+
+def test_numbered_units_kept():
+    """At most half the room is kept, the units of most uses, with their ids."""
+    known = token_files.Numbered(9, room=4)
+    known.after = dict(zip("abcdef", known.add([1, 2, 2, 3, 3, 3, 4, 5, 6], [1, 3, 6, 7, 8, 9])))
+    for n, units in enumerate(("abcdef", "abcef", "ce", "e", "e")):
+        known.use(np.array([known.after[u] for u in units] * (1 + n)))
+    known.forget_rare()
+    assert known.after == {"c": 1, "e": 2} and known.n == 3 and known.uses[:4].tolist() == [0, 1, 2, 0]
+    numbers = np.array([2, 0, 1])
+    assert known.joined(numbers, known.sizes(numbers)).tolist() == [5, 9, 3, 3, 3]
+    known.forget_rare()
+    assert known.after == {"e": 1}
+    known.forget_rare()
+    assert known.n == 1 and not known.after
+
+
 def test_chat(spark):
     said = defaultdict(list)
     for r in rows("conversations"):
