@@ -172,7 +172,7 @@ class Numbered:
         return np.frombuffer(data or b"", self.ids.dtype, int(sizes.sum()))
 
 
-def encoder(tokenizer_file: str, end_id: int, room: int = 1_000_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+def encoder(tokenizer_file: str, end_id: int, room: int = 600_000) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Function from texts to their ids, each followed by ``end_id``, as one
     uint32 array and the documents' lengths.  Strings of special tokens in a
     text are ordinary text.
@@ -291,6 +291,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, end_id
                      batch.column("doc_id"), pa.array(sizes), lists],
                     ["part", "offset", "doc_id", "n_tokens", "tokens"])
                 offset += int(ends[-1])
+                pa.default_memory_pool().release_unused()        # beside the remembered units
 
     (sorted_texts(docs, doc_id, text)
      .mapInArrow(encode, "part int, offset long, doc_id long, n_tokens long, tokens array<int>")
