@@ -150,3 +150,61 @@ def test_joint_codes_hold_every_feature():
     sums, counts = joint.histograms([(codes[:, a:a + 250], np.arange(250), node[a:a + 250], g[a:a + 250]) for a in (0, 250)], 3)
     plain = B.Grower(x, [[0.0] * (n - 1) for n in sizes], np.zeros(500, int), 1, g, PARAMS).histograms(np.arange(500), node, 3, g)
     assert sums == pytest.approx(plain[0], abs=1e-9) and (counts == plain[1]).all()
+
+
+def jobs_of(spark, work):
+    group = f"jobs-{np.random.default_rng().integers(1 << 60)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_wide_keys_grow_in_one_job(spark, data, monkeypatch):
+    """Tasks that can run at once keep their rows for all rounds; the trees are those of a job a level."""
+    rows, *_, edges = data
+
+    def trees():
+        fitted = B.fit(rows, key="key", label="y", order="id", edges=edges, rows_a_task=90, **PARAMS).collect()
+        return {(r.key, r.tree, r.node): (r.feature, r.threshold, r.left, r.n, round(r.value, 9)) for r in fitted}
+    together, jobs = jobs_of(spark, trees)
+    assert jobs < PARAMS["rounds"] * PARAMS["depth"]
+    monkeypatch.setattr(B, "_slots", lambda spark: 0)
+    assert together == trees()
+
+
+def test_sums_over_tasks(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    values = np.random.default_rng(3).normal(size=(3, 4, 50))
+
+    def task(rank):
+        together = B.Together(str(tmp_path / "sums"), rank, 3)
+        return [together.is_slow(), *(together.total(v[:n]) for v, n in zip(values[rank], (50, 1, 0, 49)))]
+    with ThreadPoolExecutor(3) as pool:
+        found = [*pool.map(task, range(3))]
+    for slow, *sums in found:
+        assert not slow
+        for i, n in enumerate((50, 1, 0, 49)):
+            assert sums[i] == pytest.approx(values[:, i, :n].sum(0), abs=1e-12)
+
+
+def test_edges_of_many_values_lie_at_the_ranks(spark):
+    """Of more values than a task keeps, dealt unevenly: each edge's rank is off by a two-thousandth at most."""
+    n = 60_000
+    values = F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.pow(F.rand(5), F.lit(3.0)))
+    rows = spark.range(n).select(F.array(values, F.col("id").cast("double")).alias("x")).repartitionByRange(5, F.col("x")[1]).persist()
+    edges = B.bin_edges(rows)
+    x = np.array([r.x for r in rows.collect()])
+    rows.unpersist()
+    ranks = B.Ranks(100)
+    for part in np.array_split(x[:, 0], 50):
+        ranks.add(part)
+    v, some = np.sort(x[:, 0]), ranks.end()
+    off = np.cumsum(some[1]) - np.searchsorted(v, some[0], "right")
+    assert len(some[0]) <= 202 and len(ranks.levels) > 2 and some[1].sum() == n and np.abs(off).max() <= n / 100
+    for f, e in enumerate(edges):
+        v, want = np.sort(x[:, f]), np.arange(1, 63) / 64
+        low, high = np.searchsorted(v, e, "left") / n, np.searchsorted(v, e, "right") / n
+        for share in want:
+            assert ((low - 1 / 2000 <= share) & (share <= high + 1 / 2000)).any()
