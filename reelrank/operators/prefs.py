@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import first_item
+from ..session import checkpoint
 from .joins import containing, join_per_person
 
 
@@ -47,7 +48,8 @@ def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: Da
                           first_item("genre").alias("genre_name"),
                           F.lower(first_item("genre")).alias("_gk"),
                           F.lower(first_item("director")).alias("_dk"))
-    g, d = text_stats("genre", "_gk", "genre", 3), text_stats("director", "_dk", "director", 2)
+    # a row a person and text, or tag: stored, so that the driver holds their plans one at a time
+    g, d = checkpoint(text_stats("genre", "_gk", "genre", 3)), checkpoint(text_stats("director", "_dk", "director", 2))
     out = (join_per_person(c, base, ["title_id"])
            .join(g.hint("merge"), ["user_id", "_gk"], "left")
            .join(d.hint("merge"), ["user_id", "_dk"], "left"))
@@ -58,8 +60,8 @@ def preference_stats(history: DataFrame, candidates: DataFrame, history_tags: Da
             .filter(F.col("_n") >= 5).select("user_id", "tag", "_n", F.bround("_a", 1).alias("_ta")))
     ct = candidates.select("user_id", "title_id").join(candidate_tags.hint("merge"), "title_id")
     # the average goes with the tags' few rows, not with the candidates
-    ts = (join_per_person(ts, base.select("user_id", "avg_overall"), ["tag"], "inner")
-          .withColumn("_delta", F.abs(F.col("_ta") - F.col("avg_overall"))).filter(F.col("_delta") > 0))
+    ts = checkpoint(join_per_person(ts, base.select("user_id", "avg_overall"), ["tag"], "inner")
+                    .withColumn("_delta", F.abs(F.col("_ta") - F.col("avg_overall"))).filter(F.col("_delta") > 0))
     cand = ct.join(ts, ["user_id", "tag"])
     top = cand.groupBy("user_id", "title_id").agg(F.max_by(
         F.struct(F.col("tag").alias("top_tag"), F.col("_ta").alias("top_tag_avg"),

@@ -199,7 +199,7 @@ def d7_parts():
 @query("d7_preference_stats", _d7_sql())
 def d7_preference_stats(spark, sf_dir):
     t = V.Tables(spark, sf_dir)
-    h = V.history_full(t, "rating")
-    cands = people_titles(V.title_info(t), V.people(t)).select("user_id", "title_id", "genre", "director")
+    info, h = V.stored_history(t)
+    cands = people_titles(info, V.people(t)).select("user_id", "title_id", "genre", "director")
     keys = _tag_keys(spark, t)
     return prefs.preference_stats(h, cands, keys.select("title_id", "tag"), keys)

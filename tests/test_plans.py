@@ -52,3 +52,10 @@ def test_history_of_some_titles(spark):
     want = V.history(t, "rating").filter("title_id % 7 = 0").collect()
     assert sorted(part.collect()) == sorted(want) and want
     assert "LeftSemi" in part._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_preferences_and_prompts_read_the_history_once(spark):
+    """History, titles and the small tables of D7 are stored: neither is the plan of each use kept by the driver."""
+    for name in ["d7_preference_stats", "b8_narrative_prompts"]:
+        p = plan(spark, name)
+        assert "lineitem" not in p, name
