@@ -37,3 +37,15 @@ def test_music_matches_musical(spark):
     got = {r.title_id: r for r in prefs.preference_stats(history, cands, tags.drop("pos"), tags).collect()}
     assert (got[9].genre_name, got[9].genre_count, got[9].director_count) == ("Music", 3, 4)
     assert (got[8].genre_count, got[8].director_count) == (None, None)
+
+
+def test_rows_that_may_hold_a_key(spark):
+    """No row of a key is lost, few others stay, and nothing is shuffled by the rows' key."""
+    from reelrank.operators.joins import may_hold
+    rows = spark.range(100_000).selectExpr("id AS k", "id % 3 AS v").unionByName(spark.createDataFrame([(None, 1), (-5, 2)], "k long, v long"))
+    keys = spark.createDataFrame([(i * 97,) for i in range(500)] + [(-5,), (97,)], "k long")
+    found = may_hold(rows, "k", keys)
+    got = [r.k for r in found.collect()]
+    assert {r.k for r in keys.collect()} <= set(got) and len(got) < 700
+    assert may_hold(rows, "k", keys.limit(0)).count() == 0
+    assert "k#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(k" in x)
